@@ -116,3 +116,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """A cut frame, marked for broadcast if it has at most ``most`` rows; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
