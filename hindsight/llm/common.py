@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,3 +124,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def sized(df: DataFrame, most: int) -> DataFrame:
     """A cut frame, marked for broadcast if it has at most ``most`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    Smaller on disk than a checkpoint, and later reads take only the columns they need. The
+    folder is deleted when the application ends in an orderly way.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    top = context.getCheckpointDir()
+    if top is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        top = context.getCheckpointDir()
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

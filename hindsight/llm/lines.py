@@ -2,16 +2,17 @@
 
 Every step is a built-in expression, join or aggregate. A line is compared without the blanks
 around it and known by 128 bits of hash; blank lines are never touched. The place of a line is
-(doc_id, hash of the text, number of the line), nulls last. A line goes if its text has stood at
-an earlier place, or if a line within one edit (insertion, deletion or substitution of a
-character) has first stood earlier than it; the latter only for lines of ``min_fuzzy`` characters.
+(doc_id, hash of the text, number of the line), nulls last. A line goes if it has stood at an
+earlier place, or if a line within one edit has first stood earlier than it. An edit inserts,
+deletes or replaces one word (what stands between two blanks), and counts only between lines of
+at least ``min_words`` words.
 
 Two lines within one edit share the half before or the half behind the edit, so only lines that
-share a half with another line emit variants. A variant is the line without its i-th character,
-as a keyed sum of its characters' hashes that costs a line no more than its length. Lines that
-share a variant *and* i differ by one substitution; a line that equals another's variant differs
-by one deletion. Hence every member of such a group is within one edit of the group's earliest,
-one comparison for each member is enough, and no group is expanded into pairs.
+share a half with another line emit variants. A variant is the line without its i-th word, as a
+sum of hashes of words and places, which costs a line no more than its length. Lines that share a
+variant *and* i differ in that one word; a line that equals another's variant lacks one word.
+Hence every member of such a group is within one edit of the group's earliest, one comparison
+for each member is enough, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, empty_as, sized
+from .common import cut, empty_as, sized, stored
 
-MIN_FUZZY = 20
+MIN_WORDS = 10
 #: Rows of a checked frame up to which it is broadcast (some tens of bytes each).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 250_000
 _BITS = 1 << 40
+_LAST = (1 << 63) - 1
 
 
 def _row_hash(text: Column) -> Column:
@@ -32,91 +34,92 @@ def _row_hash(text: Column) -> Column:
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("row_hash"), F.col("line_no"))
+    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("row_hash"), F.col("line_no"))
 
 
-def occurrences(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Each line that is not blank: doc_id, row_hash, line_no, h1, h2 and, if asked for, its text."""
-    rows = docs.select("doc_id", _row_hash(F.col("text")).alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "row_hash", "line_no", F.trim("raw").alias("line")).where("line <> ''")
-    found = rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), F.col("line")))
-    return found if with_text else found.drop("line")
+def _halves(words: Column) -> Column:
+    """Hashes of the half lines that a line may share with one of its own length or one word more or less."""
+    n = F.size(words)
+    keys = []
+    for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
+        keys += [F.xxhash64(F.lit("first"), m, F.slice(words, 1, m)), F.xxhash64(F.lit("last"), m, F.slice(words, n - m + 1, m))]
+    return F.array_distinct(F.array(*keys))
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the half lines that a line may share with one of its own length or one character more or less."""
-    n = F.char_length(line)
-    keys = [F.xxhash64(F.lit(side), m, part(m)) for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")) for side, part in (("first", lambda m: F.substring(line, F.lit(1), m)), ("last", lambda m, n=n: F.substring(line, n - m + 1, m)))]
-    return F.array_distinct(F.array(*keys))
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Each line that is not blank: doc_id, row_hash, line_no, 128 bits of hash and, of long lines, the hashes of its halves."""
+    rows = docs.select("doc_id", _row_hash(F.col("text")).alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "row_hash", "line_no", F.trim("raw").alias("line")).where("line <> ''").withColumn("words", F.split("line", " "))
+    return rows.select(
+        "doc_id", "row_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"),
+        F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves"),
+    )
 
 
-def near_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """Lines (h1, h2) of which another, within one edit, has first stood earlier."""
-    long_lines = occurrences(docs, with_text=True).where(F.char_length("line") >= min_fuzzy)
-    keyed = long_lines.select("doc_id", "row_hash", "line_no", "h1", "h2", F.explode(_halves(F.col("line"))).alias("half"))
+def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines (h1, h2) of ``found``, the occurrences in ``docs``, of which another, within one edit, has first stood earlier."""
+    keyed = found.where("halves is not null").select("doc_id", "row_hash", "line_no", "h1", "h2", F.explode("halves").alias("half"))
     shared = cut(keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
     first = cut(keyed.join(sized(shared, BROADCAST_ROWS), "half", "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place")))
-    at = first.select("h1", "h2", "place", F.when(~F.col("place.no_id"), F.col("place.id")).alias("doc_id"), F.col("place.row_hash").alias("row_hash"), F.col("place.line_no").alias("line_no"))
-    few = F.broadcast if at.count() <= BROADCAST_ROWS else lambda x: x
-    held = docs.select("doc_id", "text", _row_hash(F.col("text")).alias("row_hash"))
-    wanted = at.select(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash"), F.col("line_no").alias("no"), "h1", "h2", "place")
-    texts = (
-        held.join(few(wanted), held["doc_id"].eqNullSafe(F.col("id")) & (held["row_hash"] == F.col("hash")))
-        .select("h1", "h2", "place", F.trim(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
-        .dropDuplicates(["h1", "h2"])
-    )
-    texts = cut(texts)
-
-    # sums of the characters' hashes: before the i-th in their places, after it one place to the left
-    line = Window.partitionBy("h1", "h2")
-    term = lambda c, at, salt: F.pmod(F.xxhash64(c, at, F.lit(salt)), F.lit(_BITS))
-    chars = texts.select("h1", "h2", "place", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("i", "c"))
-    sums = chars
+    at = first.select("h1", "h2", F.col("place.id").alias("id"), F.col("place.row_hash").alias("hash"), F.col("place.line_no").alias("no"))
+    if first.count() <= BROADCAST_ROWS:
+        at = F.broadcast(at)
+    held = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), _row_hash(F.col("text")).alias("hash"), "text")
+    texts = held.join(at, ["id", "hash"]).select("h1", "h2", "id", "no", F.trim(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
+    texts = cut(texts.dropDuplicates(["h1", "h2"]))
+
+    # sums over the words' hashes: before the i-th in their places, after it one place to the left
+    one = Window.partitionBy("h1", "h2")
+    run = one.orderBy("i")
+    term = lambda at, salt: F.pmod(F.xxhash64("word", at, F.lit(salt)), F.lit(_BITS))
+    sums = texts.repartition("h1", "h2").select("h1", "h2", "id", "no", F.posexplode(F.split("line", " ")).alias("i", "word"))
     for salt in (1, 2):
-        stay, move = term(F.col("c"), F.col("i"), salt), term(F.col("c"), F.col("i") - 1, salt)
-        run = line.orderBy("i")
-        before = F.sum(stay).over(run) - stay
-        after = F.sum(move).over(line) - F.sum(move).over(run)
-        sums = sums.withColumn(f"v{salt}", before + after).withColumn(f"s{salt}", F.sum(stay).over(line))
-    rows = sums.select("h1", "h2", "place", F.explode(F.when(F.col("i") == 0, F.array(
-        F.struct(F.xxhash64("v1", "v2").alias("key"), F.col("i").alias("i")), F.struct(F.xxhash64("s1", "s2").alias("key"), F.lit(-1).alias("i")),
-    )).otherwise(F.array(F.struct(F.xxhash64("v1", "v2").alias("key"), F.col("i").alias("i"))))).alias("k")).select("h1", "h2", "place", "k.key", "k.i")
-
-    me = F.struct("place", "h1", "h2")
-    same = Window.partitionBy("key", "i")
+        stay, move = term(F.col("i"), salt), term(F.col("i") - 1, salt)
+        sums = sums.withColumn(f"v{salt}", F.sum(stay).over(run) - stay + F.sum(move).over(one) - F.sum(move).over(run)).withColumn(f"s{salt}", F.sum(stay).over(one))
+    variant = F.struct(F.xxhash64("v1", "v2").alias("key"), F.col("i"))
+    itself = F.struct(F.xxhash64("s1", "s2").alias("key"), F.lit(-1).alias("i"))
+    rows = sums.select("h1", "id", "no", F.explode(F.when(F.col("i") == 0, F.array(variant, itself)).otherwise(F.array(variant))).alias("k")).select("h1", "id", "no", "k.key", "k.i")
+
     group = Window.partitionBy("key")
     linked = (
-        rows.withColumn("me", me)
-        .withColumn("peer", F.min("me").over(same))
+        rows.repartition("key")
+        .withColumn("me", F.struct("id", "no", "h1"))
+        .withColumn("peer", F.min("me").over(Window.partitionBy("key", "i")))
         .withColumn("whole", F.min(F.when(F.col("i") < 0, F.col("me"))).over(group))
         .withColumn("longer", F.min(F.when(F.col("i") >= 0, F.col("me"))).over(group))
     )
     earlier = F.when(F.col("i") < 0, F.array("longer")).otherwise(F.array("peer", "whole"))
-    pairs = linked.select("me", F.explode(F.filter(earlier, lambda e: e.isNotNull())).alias("other")).where("other.place < me.place").distinct()
-    # equal hashes are not yet equal lines
-    mine = texts.select(F.col("h1"), F.col("h2"), F.col("line"))
-    theirs = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other_line"))
-    checked = (
-        pairs.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
-        .join(mine, ["h1", "h2"])
-        .join(theirs, ["o1", "o2"])
-        .where(F.levenshtein("line", "other_line", 1) >= 0)
-    )
-    return checked.select("h1", "h2").distinct()
+    pairs = linked.select("me", F.explode(F.filter(earlier, lambda e: e < F.col("me"))).alias("other")).select(F.col("me.h1").alias("h1"), F.col("other.h1").alias("o1")).distinct()
+    # equal hashes are not yet equal words
+    mine = texts.select("h1", "h2", F.split("line", " ").alias("a"))
+    theirs = texts.select(F.col("h1").alias("o1"), F.split("line", " ").alias("b"))
+    return pairs.join(mine, "h1").join(theirs, "o1").where(within_one("a", "b")).select("h1", "h2").distinct()
+
+
+def within_one(a: str, b: str) -> Column:
+    """Whether two arrays of words are at most one insertion, deletion or replacement apart: what they share from both ends leaves at most one word of each."""
+    x, y = F.col(a), F.col(b)
+    short = F.least(F.size(x), F.size(y))
+    agree = lambda p, q: F.array_position(F.transform(F.arrays_zip(F.slice(p, 1, short).alias("p"), F.slice(q, 1, short).alias("q")), lambda z: z["p"] == z["q"]), False)
+    before = lambda p, q: F.when(agree(p, q) == 0, short).otherwise(agree(p, q) - 1)
+    both = before(x, y) + before(F.reverse(x), F.reverse(y))
+    return (F.abs(F.size(x) - F.size(y)) <= 1) & (both >= F.greatest(F.size(x), F.size(y)) - 1)
 
 
-def removed_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """The lines that go: doc_id, row_hash and ``gone``, their numbers in the text."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The lines that go: doc_id, row_hash and ``gone``, their numbers in the text; one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
-    found = occurrences(docs)
-    again = found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
-    near = near_lines(docs, min_fuzzy).withColumn("near", F.lit(True))
-    marked = cut(again.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    hit = found.join(sized(marked, BROADCAST_ROWS), ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
-    return hit.groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("gone"))
+    found = stored(occurrences(docs, min_words), "lines")
+    again = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    near = near_lines(docs, found).withColumn("near", F.lit(True))
+    marked = cut(again.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
+    hit = found.select("doc_id", "row_hash", "line_no", "h1", "h2").join(sized(marked, BROADCAST_ROWS), ["h1", "h2"])
+    first = hit.groupBy("h1", "h2").agg(F.min(_place()).alias("first"))
+    gone = hit.join(first, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
+    return cut(gone.groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and columns ``n_lines`` and ``n_removed``.
 
     Every row stays. A null text stays null and has no lines; an empty text has one, blank line.
@@ -126,12 +129,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so called).
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_fuzzy)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_words)
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = gone.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("row_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = F.broadcast(gone) if rows <= BROADCAST_ROWS and numbers <= 10 * BROADCAST_ROWS else gone.hint("shuffle_hash")
     text = docs[text_col]
-    joined = docs.select(*(docs[c] for c in kept)).join(gone.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (_row_hash(text) == F.col("_hash")), "left")
+    joined = docs.select(*(docs[c] for c in kept)).join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == F.col("_id")) & (_row_hash(text) == F.col("_hash")), "left")
     lines = F.split(text, "\n")
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    rest = F.array_join(F.array_except(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), F.transform("_gone", lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("x")))).getField("x"), "\n")
     return joined.select(
         *((F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(c) if c == text_col else docs[c]) for c in kept),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -145,18 +150,18 @@ WITH occ AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
   WHERE trim(x) <> ''
 ), lines AS (
-  SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS place FROM occ GROUP BY line
+  SELECT line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n, min({'d': doc_id, 'l': line_no}) AS place FROM occ GROUP BY line
 ), halves AS (
-  SELECT DISTINCT line, n, place, m, side, CASE side WHEN 0 THEN substr(line, 1, m) ELSE substr(line, n - m + 1, m) END AS half
-  FROM (SELECT *, unnest([n // 2, (n - 1) // 2]) AS m FROM lines WHERE n >= 20), (VALUES (0), (1)) AS s(side)
+  SELECT DISTINCT line, w, n, place, m, side, CASE side WHEN 0 THEN w[1:m] ELSE w[n - m + 1:n] END AS half
+  FROM (SELECT *, unnest([n // 2, (n - 1) // 2]) AS m FROM lines WHERE n >= 10), (VALUES (0), (1)) AS s(side)
 ), pairs AS (
-  SELECT DISTINCT a.line, a.n AS n, b.line AS other, b.n AS o FROM halves a JOIN halves b USING (m, side, half)
+  SELECT DISTINCT a.line, a.w, a.n, b.w AS v, b.n AS o FROM halves a JOIN halves b USING (m, side, half)
   WHERE a.line <> b.line AND abs(a.n - b.n) <= 1 AND b.place < a.place
 ), near AS (
   SELECT DISTINCT line FROM pairs WHERE
-    CASE WHEN n = o THEN len(list_filter(range(1, n + 1), lambda i: substr(line, i, 1) <> substr(other, i, 1))) = 1
-         WHEN n > o THEN len(list_filter(range(1, n + 1), lambda i: substr(line, 1, i - 1) || substr(line, i + 1) = other)) > 0
-         ELSE len(list_filter(range(1, o + 1), lambda i: substr(other, 1, i - 1) || substr(other, i + 1) = line)) > 0 END
+    CASE WHEN n = o THEN len(list_filter(range(1, n + 1), lambda i: w[i] <> v[i])) = 1
+         WHEN n > o THEN len(list_filter(range(1, n + 1), lambda i: list_concat(w[1:i - 1], w[i + 1:n]) = v)) > 0
+         ELSE len(list_filter(range(1, o + 1), lambda i: list_concat(v[1:i - 1], v[i + 1:o]) = w)) > 0 END
 ), gone AS (
   SELECT o.doc_id, list(o.line_no) AS nos FROM occ o JOIN lines l USING (line)
   WHERE {'d': o.doc_id, 'l': o.line_no} <> l.place OR o.line IN (SELECT line FROM near) GROUP BY o.doc_id
