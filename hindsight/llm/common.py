@@ -112,7 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("u") - F.col("v")).cast("decimal(38,0)"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
         before = now
