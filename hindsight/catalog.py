@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Each module of ``queries`` registers its own."""
 
 from __future__ import annotations
 
@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) as a query, with the DuckDB SQL that gives the same rows."""
+
+    def keep(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    from .queries import arms, calibration, evaluation, fields, generators, ranking, tables  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
