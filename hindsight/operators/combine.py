@@ -10,7 +10,7 @@ from ..functions.scalar import fisher_tail, sidak
 
 def combined(v: DataFrame) -> DataFrame:
     """off, j, x2, fisher_p, min_p and minp_p of each event's evaluated verdicts (off, detector, p)."""
-    one = v.groupBy("off").agg(F.count("*").alias("j"), F.sum(-2 * F.log("p")).alias("x2"), F.min("p").alias("min_p"), F.min(F.struct("p", "detector")).getField("detector").alias("min_detector"))
+    one = v.groupBy("off").agg(F.count("*").alias("j"), F.sum(-2 * F.log("p")).alias("x2"), F.min("p").alias("min_p"), F.min(F.struct(F.round("p", 9).alias("p"), "detector")).getField("detector").alias("min_detector"))
     return one.withColumn("fisher_p", fisher_tail(F.col("x2"), F.col("j"))).withColumn("minp_p", sidak(F.col("min_p"), F.col("j")))
 
 
