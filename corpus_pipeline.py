@@ -8,11 +8,17 @@ reads it again for the next one, so a lost executor costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindsight.llm import jaccard, lines, packing, passages, toxicity
 from hindsight.llm.common import stored, table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as the text now has."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the classifier learns from the labelled documents among ``docs``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -22,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that have stood, within one word, at an earlier place."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return _counted(lines.dedup_lines(docs).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages of 50 words or more that an earlier one holds at a similarity of 0.8."""
-    return passages.drop_repeats(docs)
+    return _counted(passages.drop_repeats(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
