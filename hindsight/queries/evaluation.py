@@ -44,7 +44,7 @@ def optimal_cutoff(spark, sf_dir):
 _RATES = "(VALUES (1.0), (5.0), (10.0), (20.0), (50.0)) t(ratio)"
 
 
-@register("cost_curve", f"WITH {COMBINED}, {LABELS}, {_TOP}, k AS (SELECT rank, count(*) AS n, sum(red) AS h FROM r WHERE rank <= 50 GROUP BY 1), cc AS (SELECT rank, sum(n) OVER (ORDER BY rank) AS alerts, sum(h) OVER (ORDER BY rank) AS hits FROM k) SELECT CAST(ratio AS DOUBLE) AS ratio, CAST(max(ratio * hits - (alerts - hits)) AS DOUBLE) AS utility, round(1 / (1 + ratio), 6) AS threshold FROM cc, {_RATES} GROUP BY 1")
+@register("cost_curve", f"WITH {COMBINED}, {LABELS}, {_TOP}, k AS (SELECT rank, count(*) AS n, sum(red) AS h FROM r WHERE rank <= 50 GROUP BY 1), cc AS (SELECT rank, sum(n) OVER (ORDER BY rank) AS alerts, sum(h) OVER (ORDER BY rank) AS hits FROM k) SELECT CAST(t.ratio AS DOUBLE) AS ratio, CAST(max(t.ratio * hits - (alerts - hits)) AS DOUBLE) AS utility, round(1 / (1 + t.ratio), 6) AS threshold FROM cc, {_RATES} GROUP BY t.ratio")
 def cost_curve(spark, sf_dir):
     """For each worth of a hit in false alerts the best utility over daily budgets, and the posterior at which an alert pays."""
     k = _ranked(spark, sf_dir, 50).groupBy("rank").agg(F.count("*").alias("n"), F.sum(F.col("red").cast("long")).alias("h"))
