@@ -82,3 +82,26 @@ def matched_budget(spark, sf_dir):
 
     e = C.events(spark, sf_dir).select("off", C.day().alias("d"), "value", red().alias("red"))
     return top_per_day(e, 20, [F.desc("value"), "off"]).groupBy("d").agg(F.count("*").alias("alerts"), F.count(F.when(F.col("red"), 1)).alias("hits"))
+
+
+@register("bounded_novelty")
+def bounded_novelty(spark, sf_dir):
+    """Novelty of k over at most eight held values of each entity: evictions depend on the order."""
+    from ..operators.sketches import bounded_novelty as run
+
+    return run(C.events(spark, sf_dir)).select("off", r6("n_v", "n_v"), "held", r6("overstated", "overstated"), r6("p", "p"))
+
+
+@register("marginal_numeric")
+def marginal_numeric(spark, sf_dir):
+    """The value against a 128-centroid sketch of all earlier ones of its type."""
+    from ..operators.sketches import marginal_numeric as run
+
+    return run(C.events(spark, sf_dir)).select("off", r6("f", "f"), r6("p", "p"))
+
+
+@register("half_space_trees")
+def half_space_trees(spark, sf_dir):
+    from ..operators.sketches import half_space_trees as run
+
+    return run(_features(spark, sf_dir), "off", list(FEATURES)).select("off", "score")

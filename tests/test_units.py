@@ -117,3 +117,24 @@ def test_stream_equals_batch(spark):
     for r in want:
         g = got[r["off"]]
         assert (g["n_v"], g["n"], g["k"]) == (pytest.approx(r["n_v"], abs=1e-9), pytest.approx(r["n"], abs=1e-9), r["k"])
+
+
+def test_bounded_novelty_equals_the_exact_one_while_nothing_is_evicted(spark):
+    from hindsight.operators import sketches
+    from pyspark.sql import functions as F
+
+    e = stream(spark, [(i % 3, i * C.HOUR, "abc"[i * i % 3]) for i in range(60)]).withColumnRenamed("v", "k")
+    got = {r["off"]: r["p"] for r in sketches.bounded_novelty(e, 8).collect()}
+    want = {r["off"]: r["p"] for r in N.dirichlet(e.withColumn("known", F.lit(True)), "k").collect()}
+    assert got == pytest.approx(want)
+    assert max(r["held"] for r in sketches.bounded_novelty(e, 1).collect()) == 1
+
+
+def test_centroids():
+    from hindsight.operators.sketches import Centroids
+
+    c = Centroids(16)
+    x = np.random.default_rng(0).permutation(2000) / 2000
+    for v in x:
+        c.add(float(v))
+    assert len(c.mean) == 16 and sum(c.weight) == 2000 and abs(c.cdf(0.5) - 0.5) < 0.2
