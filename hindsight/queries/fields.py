@@ -80,13 +80,17 @@ def kinds(e, source: str, fields: list[str]):
     return s.withColumn("kind", kind_rule()).withColumn("source", F.lit(source))
 
 
-#: Pairs of words that make a field boolean, in alphabetical order within each pair.
-BOOLEAN_PAIRS = ["0|1", "absent|present", "allow|deny", "disabled|enabled", "f|t", "fail|pass", "fail|success", "failure|success", "false|true", "in|out", "n|y", "no|yes", "off|on"]
+#: The pairs of words, in any case, that make a field boolean.
+BOOLEAN_PAIRS = (
+    ("true", "false"), ("t", "f"), ("yes", "no"), ("y", "n"), ("1", "0"), ("on", "off"), ("up", "down"), ("success", "fail"), ("success", "failure"), ("pass", "fail"),
+    ("enabled", "disabled"), ("allow", "deny"), ("permit", "deny"), ("accept", "reject"), ("granted", "denied"), ("present", "absent"), ("active", "inactive"),
+    ("logon", "logoff"), ("start", "end"),
+)
 
 
 def kind_rule():
     ratio, numeric = F.col("distinct") / F.col("obs"), F.col("numeric") >= 0.99 * F.col("obs")
-    boolean = (F.col("distinct") == 2) & F.concat_ws("|", "lo", "hi").isin(BOOLEAN_PAIRS)
+    boolean = (F.col("distinct") == 2) & F.concat_ws("|", "lo", "hi").isin(["|".join(sorted(p)) for p in BOOLEAN_PAIRS])
     return (
         F.when(F.col("obs") < 50, "unknown").when(~numeric & (F.col("obs") >= 200) & (ratio >= 0.95), "identifier").when(boolean, "boolean")
         .when(numeric & (ratio <= 0.1), "discrete").when(numeric, "continuous").otherwise("categorical")

@@ -138,3 +138,11 @@ def test_centroids():
     for v in x:
         c.add(float(v))
     assert len(c.mean) == 16 and sum(c.weight) == 2000 and abs(c.cdf(0.5) - 0.5) < 0.2
+
+
+def test_kinds(spark):
+    from hindsight.queries.fields import kinds
+
+    rows = [("on" if i % 2 else "OFF", f"id{i}", str(i % 7), str(i + 0.5), "abc"[i % 3], "x" if i < 40 else None) for i in range(250)]
+    e = spark.createDataFrame(rows, "flag string, ident string, small string, wide string, kind3 string, few string")
+    assert {r["field"]: r["kind"] for r in kinds(e, "s", e.columns).collect()} == {"flag": "boolean", "ident": "identifier", "small": "discrete", "wide": "continuous", "kind3": "categorical", "few": "unknown"}
