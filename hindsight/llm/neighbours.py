@@ -17,20 +17,22 @@ exact inner products in double precision.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, stored
+from .common import arrow_map, cut, release, stored
 
 DEGREE = 32
-ROUNDS = 8
+ROUNDS = 7
 SETTLED = 0.02
 BEAM = 96
 EXPAND = 24
 BLOCK = 128
-TOLD = 6
+TOLD = 5
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -205,6 +207,7 @@ def build(nodes: DataFrame, dims: int, count: int, degree: int = DEGREE, rounds:
         now = cut(_keep(links.withColumn("old", F.lit(True)).unionAll(better.withColumn("old", F.lit(False))), degree))
         changed, total = now.agg(F.sum((~F.col("old")).cast("long")), F.count("*")).first()
         links = now
+        release(nodes)
         if not total or changed <= settled * total:
             break
     return links
@@ -226,22 +229,27 @@ def _similar(rows: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND, most_steps: int = 40) -> DataFrame:
-    """(query, node, sim) of all nodes seen by the greedy search. ``queries``: query, which is a node, and a, its vector."""
+    """(query, node, sim) of the ``beam`` nearest nodes that the greedy search has seen. ``queries``: query, which is a node, and a, its vector."""
     around = links.select("u", "w").unionAll(_reverse(links, 2 * degree).select("u", "w")).distinct()
     around = stored(around.groupBy(F.col("u").alias("node")).agg(F.collect_list("w").alias("to")), "links")
     vectors = nodes.select("node", "q")
-    seen = cut(_similar(queries.join(vectors.select(F.col("node").alias("query"), "q"), "query").select("query", F.col("query").alias("node"), "a", "q")).withColumn("done", F.lit(False)))
+    pool = _similar(queries.join(vectors.select(F.col("node").alias("query"), "q"), "query").select("query", F.col("query").alias("node"), "a", "q"))
+    pool = cut(pool.withColumn("done", F.lit(False)))
+    seen = [pool.select("query", "node")]  # by step; only the nearest of them stay in the pool
+    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
     for _ in range(most_steps):
-        best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        near = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).where(~F.col("done"))
-        front = cut(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= expand).select("query", "node"))
+        front = cut(pool.where(~F.col("done")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= expand).select("query", "node"))
         if not front.limit(1).count():
             break
-        met = front.join(around, "node").select("query", F.explode("to").alias("node")).distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        new = _similar(met.join(queries, "query").join(vectors, "node"))
-        marked = seen.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        seen = cut(marked.unionAll(new.withColumn("done", F.lit(False))))
-    return seen.select("query", "node", "sim")
+        met = front.join(around, "node").select("query", F.explode("to").alias("node")).distinct()
+        met = met.join(reduce(DataFrame.unionAll, seen), ["query", "node"], "left_anti")
+        new = cut(_similar(met.join(queries, "query").join(vectors, "node")))
+        seen.append(new.select("query", "node"))
+        marked = pool.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        pool = marked.unionAll(new.withColumn("done", F.lit(False)))
+        pool = cut(pool.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
+        release(nodes)
+    return pool.select("query", "node", "sim")
 
 
 def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
