@@ -12,12 +12,20 @@ start. Of the distinct sets,
 The boundary is the size at which the sum of both costs over the sizes found is least. A set
 near the boundary takes part on both sides, so that no pair falls between them.
 
+Sets that link share not one but several of their rare n-grams: with prefixes of p(a) and p(b)
+n-grams and a required intersection o, at least min(p(a) - (a - o), p(b) - (b - o)). Pairs that
+cannot reach this number are dropped before anything is read.
+
 A list is not expanded into its pairs. In two rounds every list offers only the pairs of one
-leader (first an arbitrary one, then the member with the most links so far); what is verified
+leader (first the one with the fewest rarer n-grams, then the one with the most links so far); what is verified
 joins components. The last round takes the pairs of a list that are still in different
 components and pass the bounds; it loses no link between components, and pairs within one are
 not needed to know the classes.
 
+Each set has a parity sketch: 512 bits, of which every n-gram flips the one that its hash names.
+Two sketches differ in no more bits than the sets in n-grams, so a pair whose sketches differ in
+more than the threshold allows is out before its n-grams are read, and no true link ever is.
+
 Rarity comes from a count sketch over all n-grams of all documents: a fixed table of 2**20
 counters, 4 MB at any size of the corpus. It only orders the n-grams; a wrong count costs time,
 never a link. N-grams are known by 64 bits of hash, sets by 64 bits that are checked against
@@ -28,70 +36,29 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, list_array, sized, slices, stored, texts_of
+from . import shingles
+from .common import arrow_map, components, cut, list_array, sized, stored
+from .shingles import identity
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
 CHUNK = 1 << 16
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000
 #: Cost of a posting, with the verification that it may lead to, in subset keys.
 POSTING_COST = 12
 LARGEST_LIGHT = 40
+#: Numbers of 64 bits in a set's parity sketch.
+PARITY = 8
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _U = np.uint64
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's n-grams of words, A-Z taken as a-z."""
-
-    def __init__(self, k: int, seed: int = 0, kept: int = 200_000):
-        self.k, self.seed, self.kept, self.known = k, seed, kept, {}
-
-    def words(self, text: str) -> np.ndarray:
-        found = _WORD.findall(text.encode().lower())
-        known = self.known
-        new = [w for w in found if w not in known]
-        if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = found
-            for w in new:
-                known[w] = xxhash.xxh3_64_intdigest(w, self.seed)
-        return np.array([known[w] for w in found], dtype=np.uint64)
-
-    def sequence(self, text: str) -> np.ndarray:
-        """The n-grams' hashes in the order of the text; fewer words than n are one n-gram."""
-        h = self.words(text)
-        k = min(self.k, len(h))
-        if not k:
-            return h
-        n = len(h) - k + 1
-        x = np.full(n, k, dtype=np.uint64)
-        for j in range(k):
-            x = (x ^ (x >> _U(32))) * _U(0x9E3779B97F4A7C15) + h[j : j + n]
-        x = (x ^ (x >> _U(31))) * _U(0xD6E8FEB86659FD93)
-        return x ^ (x >> _U(32))
-
-    def set(self, text: str) -> np.ndarray:
-        return np.unique(self.sequence(text))
-
-
-def identity(tokens: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two signed 64-bit numbers that stand for a set."""
-    x = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    return signed(x >> 64), signed(x & ((1 << 64) - 1))
-
-
 def required(a: Column, b: Column, percent: int) -> Column:
     """The least intersection with which sets of these sizes link."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -122,28 +89,45 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(LARGEST_LIGHT + 1), key=cost)
 
 
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+_PARITIES = [f"parity{i}" for i in range(PARITY)]
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    bits = np.bincount((tokens >> _U(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _near_parity(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches differ in no more bits than sets that link can differ in n-grams."""
+    differ = sum((F.bit_count(F.col(f"{p}{a}").bitwiseXOR(F.col(f"{p}{b}"))) for p in _PARITIES), F.lit(0))
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return differ <= na + nb - 2 * required(na, nb, percent)
+
+
 def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """A row for each document (its set's size and identity) and, from each task, its share of the count sketch in chunks."""
 
     def make():
-        shingler = Shingler(k, seed)
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
 
         def step(batch):
             if batch is None:
                 for c in range(0, len(counts), CHUNK):
-                    yield {"doc_id": [None], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()]}
+                    yield {"doc_id": [None], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()]} | dict.fromkeys(_PARITIES, [0])
                 return
-            for part in slices(batch, 1024):
-                sets = [shingler.set(t) for t in texts_of(part)]
-                for s in sets:
-                    counts[(s & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1
-                ids = [identity(s, seed) if len(s) else (None, None) for s in sets]
-                yield {"doc_id": part.column(0), "n": [len(s) for s in sets], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(sets)}
+            for part, texts in shingles.runs(batch):
+                found = shingles.sets(texts, k, seed)
+                np.add(counts, np.bincount(_bucket(np.concatenate(found)), minlength=len(counts)), out=counts)
+                ids = [identity(s, seed) if len(s) else (None, None) for s in found]
+                yield {"doc_id": part.column(0), "n": [len(s) for s in found], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(found)} | dict(zip(_PARITIES, np.stack([parity(s) for s in found]).T.copy(), strict=True))
 
         return step
 
-    return arrow_map(docs, make, "doc_id long, n long, sid long, check long, counts binary")
+    return arrow_map(docs, make, "doc_id long, n long, sid long, check long, counts binary, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -173,16 +157,25 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 def _postings(docs: DataFrame, k: int, seed: int, percent: int, light: int, sketch) -> DataFrame:
     """Subset keys of light sets (pos = -1) and rare n-grams of heavy ones, once for each set in what a task has seen lately."""
 
+    def subsets(tokens: np.ndarray) -> tuple[list[int], list[int]]:
+        """Keys of what is left of a set without any allowed number of its tokens, and minus what is left."""
+        x = shingles.mix(tokens)
+        whole, x, n = int(x.sum(dtype=np.uint64)), x.tolist(), len(x)
+        keys, left = [], []
+        for d in range(deletions(n, percent) + 1):
+            for gone in itertools.combinations(x, d):
+                keys.append((whole - sum(gone)) & ((1 << 64) - 1))
+                left.append(d - n)
+        return keys, left
+
     def make():
-        shingler = Shingler(k, seed)
         counts = sketch.value
         seen: set[int] = set()
 
         def step(batch):
-            for part in slices(batch, 512) if batch is not None else ():
-                keys, sids, sizes, places = [], [], [], []
-                for text in texts_of(part):
-                    s = shingler.set(text)
+            for _, texts in shingles.runs(batch) if batch is not None else ():
+                keys, places, sids, sizes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
+                for s in shingles.sets(texts, k, seed):
                     n = len(s)
                     if not n:
                         continue
@@ -192,24 +185,25 @@ def _postings(docs: DataFrame, k: int, seed: int, percent: int, light: int, sket
                     if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(sid)
+                    made = 0
                     if n <= light:
-                        x = s * _U(0x9E3779B97F4A7C15)
-                        x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-                        whole, x = int(x.sum(dtype=np.uint64)), x.tolist()
-                        for d in range(deletions(n, percent) + 1):
-                            for gone in itertools.combinations(x, d):
-                                keys.append((whole - sum(gone)) & ((1 << 64) - 1) ^ (n - d) << 56)
-                                sids.append(sid)
-                                sizes.append(n)
-                                places.append(d - n)  # minus the subset's size
+                        own, left = subsets(s)
+                        keys.append(np.array(own, dtype=np.uint64))
+                        places.append(np.array(left))
+                        made += len(own)
                     if 100 * n >= percent * (light + 1):
                         p = prefix(n, percent)
-                        order = np.lexsort((s, counts[(s & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)]))[:p]
-                        keys += s[order].tolist()
-                        sids += [sid] * p
-                        sizes += [n] * p
-                        places += range(p)
-                yield {"key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), "sid": sids, "n": sizes, "pos": places}
+                        rarity = counts[_bucket(s)].astype(np.uint64) << _U(32) | s >> _U(32)
+                        keys.append(s[np.argsort(rarity, kind="stable")[:p]])
+                        places.append(np.arange(p))
+                        made += p
+                    sids.append(sid)
+                    sizes.append(n)
+                    rows.append(made)
+                yield {
+                    "key": pa.array(np.concatenate(keys).view(np.int64)), "sid": pa.array(np.repeat(np.array(sids, dtype=np.int64), rows)),
+                    "n": pa.array(np.repeat(np.array(sizes, dtype=np.int32), rows)), "pos": pa.array(np.concatenate(places).astype(np.int32)),
+                }
 
         return step
 
@@ -217,27 +211,43 @@ def _postings(docs: DataFrame, k: int, seed: int, percent: int, light: int, sket
 
 
 def _tokens(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    def make():
-        shingler = Shingler(k, seed)
+    """Each row's set, with its identity."""
 
+    def make():
         def step(batch):
-            for part in slices(batch, 512) if batch is not None else ():
-                sets = [shingler.set(t) for t in texts_of(part)]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield {"sid": [identity(s, seed)[0] for s in sets], "tokens": list_array(flat.view(np.int64), [len(s) for s in sets], pa.int64())}
+            for _, texts in shingles.runs(batch) if batch is not None else ():
+                found = shingles.sets(texts, k, seed)
+                yield {"sid": [identity(s, seed)[0] for s in found], "tokens": list_array(np.concatenate(found).view(np.int64), [len(s) for s in found], pa.int64())}
 
         return step
 
     return arrow_map(docs.select("text"), make, "sid long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Pairs whose sketches allow it alone are read, each set from one document, ``holders`` (sid, id, n and sketch)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(holders.select(F.col("sid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_PARITIES))), side)
+    pairs = cut(pairs.where(_near_parity("_a", "_b", percent)).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
+    wanted = cut(holders.select("sid", "id").join(wanted, "sid", "left_semi"))
+    few = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda x: x)
+    texts = docs.join(few(wanted.select("id")), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    tokens = _tokens(texts, shingle, seed).join(few(wanted.select("sid")), "sid", "left_semi")
     left = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
+    linked = both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
+    return cut(linked.distinct())
+
+
+def _least_shared(a: str, b: str, percent: int) -> Column:
+    """How many of their rare n-grams two sets of these sizes share at least if they link."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    o = required(na, nb, percent)
+    spare = lambda n: n - F.ceil(F.lit(percent) * n / F.lit(100.0) - F.lit(1e-9)) + 1 - n + o
+    return F.least(spare(na), spare(nb))
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -272,7 +282,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_
 
     postings = _postings(docs, shingle, seed, percent, light, sketch)
     kind = (F.col("pos") < 0).alias("light")  # a subset key and an n-gram never meet
-    lists = postings.groupBy("key", kind).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key", "light")
+    lists = postings.groupBy("key", kind).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # a list of two sets whose sizes cannot link is done
+    lists = lists.where("lo <> hi").where((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most"))).select("key", "light")
     live = cut(postings.withColumn("light", F.col("pos") < 0).join(lists, ["key", "light"]).groupBy("key", "light", "sid").agg(F.min("n").alias("n"), F.max("pos").alias("pos")))
     if not live.limit(1).count():
         labels = None
@@ -292,38 +304,49 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_
 def _labels(docs: DataFrame, live: DataFrame, scanned: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another."""
     wanted = live.select("sid").distinct()
-    one = cut(scanned.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("id")))
-    few = F.broadcast if one.count() <= BROADCAST_ROWS else (lambda x: x)
-    holders = docs.join(few(one.select(F.col("id"), F.col("sid"))), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
-    tokens = stored(_tokens(holders, shingle, seed).join(few(wanted), "sid", "left_semi").dropDuplicates(["sid"]), "tokens")
+    known = scanned.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid")
+    holders = stored(known.agg(F.min("doc_id").alias("id"), F.min("n").cast("int").alias("n"), *(F.min(p).alias(p) for p in _PARITIES)), "holders")
+    verified = lambda pairs: _verified(pairs, docs, holders, shingle, seed, percent)
 
+    # m: sets in the list; wide: in how many lists of three or more a set stands
+    lists = live.withColumn("m", F.count("*").over(Window.partitionBy("key", "light")))
+    lists = cut(lists.withColumn("wide", F.sum((~F.col("light") & (F.col("m") > 2)).cast("int")).over(Window.partitionBy("sid"))))
     edges = labels = None
     for by in ("first", "links"):
-        now = live
+        # a list of two is done with its leader's one pair
+        now = lists if labels is None else lists.where("m > 2")
+        order = F.lit(0).cast("long")
         if labels is not None:
             links = edges.select(F.col("a").alias("sid")).unionAll(edges.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("links"))
             now = now.join(links, "sid", "left")
-        rank = F.struct(F.lit(0).alias("r"), "n", "sid", "pos") if by == "first" or labels is None else F.struct((-F.coalesce("links", F.lit(0))).alias("r"), "n", "sid", "pos")
-        # in a group of an equal subset the smallest set is the leader: it links with all that link with any
-        leaders = now.groupBy("key", "light").agg(F.min(F.when(F.col("light"), F.struct(F.lit(0).cast("long").alias("r"), "n", "sid", "pos")).otherwise(rank.cast("struct<r:long,n:int,sid:long,pos:int>"))).alias("l"))
-        pairs = live.join(leaders.select("key", "light", F.col("l.sid").alias("sid_l"), F.col("l.n").alias("n_l"), F.col("l.pos").alias("pos_l")), ["key", "light"])
-        pairs = pairs.withColumnsRenamed({"sid": "sid_m", "n": "n_m", "pos": "pos_m"}).where(F.col("sid_l") != F.col("sid_m")).where(_possible("_l", "_m", percent))
-        pairs = pairs.select(F.least("sid_l", "sid_m").alias("a"), F.greatest("sid_l", "sid_m").alias("b")).distinct()
+            order = -F.coalesce("links", F.lit(0).cast("long"))
+        # in a group of an equal subset the smallest set is the leader: it links with all that link with any;
+        # in a list the one with the fewest rarer n-grams, which are those that it has alone
+        rank = F.struct(F.when(F.col("light"), F.col("n").cast("long")).otherwise(order).alias("r"), "pos", "sid", "n", "wide")
+        leaders = now.groupBy("key", "light").agg(F.min(rank).alias("l")).select("key", "light", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("sid", "n", "pos", "wide")))
+        pairs = now.select("key", "light", *(F.col(c).alias(f"{c}_m") for c in ("sid", "n", "pos", "wide"))).join(leaders, ["key", "light"])
+        # every shared n-gram counts, one of them, the first, must be in places that allow a link
+        pairs = pairs.where(F.col("sid_l") != F.col("sid_m")).where(100 * F.least("n_l", "n_m") >= percent * F.greatest("n_l", "n_m"))
+        pairs = pairs.groupBy(F.least("sid_l", "sid_m").alias("a"), F.greatest("sid_l", "sid_m").alias("b")).agg(
+            F.count("*").alias("c"), F.max("light").alias("light"), F.max(F.least("wide_l", "wide_m")).alias("more"), F.min(_least_shared("_l", "_m", percent)).alias("least"), F.max(_possible("_l", "_m", percent)).alias("possible")
+        )
+        pairs = pairs.where("possible").where(F.col("light") | (F.col("c") + F.col("more") >= F.col("least"))).select("a", "b")
         if labels is not None:
             pairs = _across(pairs, labels)
-        got = cut(_verified(pairs, tokens, percent))
+        got = verified(pairs)
         edges = got if edges is None else edges.unionAll(got)
         labels = components(edges)
-    # what is still apart: sizes in bands of the threshold's ratio, each set meets its own band and the next
-    named = live.where("not light").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # what is still apart: sizes in bands of the threshold's ratio, each set meets larger ones of its own band and the next
+    named = lists.where("not light and m > 2").select("key", "sid", "n", "pos").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_lists = cut(named.join(apart, "key", "left_semi"))
+    open_lists = cut(named.join(apart, "key", "left_semi").join(holders.select("sid", *_PARITIES), "sid"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    a = open_lists.select("key", F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"), F.explode(F.array(band, band + 1, band - 1)).alias("band"))
-    b = open_lists.select("key", F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("c_b"), band.alias("band"))
-    on = (a["key"] == b["key"]) & (a["band"] == b["band"]) & (F.col("sid_a") < F.col("sid_b")) & (F.col("c_a") != F.col("c_b")) & _possible("_a", "_b", percent)
-    pairs = a.join(b, on).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    return components(edges.unionAll(cut(_verified(pairs, tokens, percent))))
+    side = lambda x: open_lists.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos", "component", *_PARITIES)), (F.explode(F.array(band, band + 1)) if x == "a" else band).alias("band"))
+    a, b = side("a"), side("b")
+    smaller = F.struct("n_a", "sid_a") < F.struct("n_b", "sid_b")
+    on = (a["key"] == b["key"]) & (a["band"] == b["band"]) & smaller & (F.col("component_a") != F.col("component_b")) & _possible("_a", "_b", percent) & _near_parity("_a", "_b", percent)
+    pairs = a.join(b, on).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+    return components(edges.unionAll(verified(pairs)))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
