@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "6m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark so that any store Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,8 +50,12 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     """``mapInArrow`` over column batches.
 
     ``make`` runs once in each task and returns a function from a batch to dictionaries
-    of columns; a final call with ``None`` lets it flush what it still holds.
+    of columns; a final call with ``None`` lets it flush what it still holds. The session's
+    batches are lowered to ``BATCH_BYTES``, as texts stand in memory several times on the way.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES, "64m") != BATCH_BYTES:
+        conf.set(_BYTES, BATCH_BYTES)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
@@ -56,10 +65,19 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                 yield _batch(out, arrow)
         for out in step(None):
             yield _batch(out, arrow)
+        del step
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Return what a task has freed to the system: its worker lives on, beside others, for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
