@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that have stood, within one word, at an earlier place."""
-    return _counted(lines.dedup_lines(docs).select(*docs.columns))
+    """Every document, without the lines that have stood, within one word or one character, at an earlier place."""
+    return _counted(lines.dedup_lines(docs, min_chars=lines.MIN_CHARS).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

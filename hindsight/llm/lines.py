@@ -5,12 +5,14 @@ around it and known by 128 bits of hash; blank lines are never touched. The plac
 (doc_id, hash of the text, number of the line), nulls last. A line goes if it has stood at an
 earlier place, or if a line within one edit has first stood earlier than it. An edit inserts,
 deletes or replaces one word (what stands between two blanks), and counts only between lines of
-at least ``min_words`` words.
+at least ``min_words`` words; where ``min_chars`` is given, an edit of one character counts too,
+between lines of at least so many characters, whatever their words.
 
 Two lines within one edit share the half before or the half behind the edit, so only lines that
 share a half with another line emit variants. A variant is the line without its i-th word, as a
 sum of hashes of words and places, which costs a line no more than its length. Lines that share a
-variant *and* i differ in that one word; a line that equals another's variant lacks one word.
+variant *and* i differ in that one word; a line that equals another's variant lacks one word. The
+same holds for characters; there a line emits only variants of the half that it does not share.
 Hence every member of such a group is within one edit of the group's earliest, one comparison
 for each member is enough, and no group is expanded into pairs.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, empty_as, sized, stored
 
 MIN_WORDS = 10
+#: Length from which a line is compared by characters too, where that is asked for.
+MIN_CHARS = 20
 #: Rows of a checked frame up to which it is broadcast (some tens of bytes each).
 BROADCAST_ROWS = 250_000
 _BITS = 1 << 40
@@ -46,38 +50,55 @@ def _halves(words: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each line that is not blank: doc_id, row_hash, line_no, 128 bits of hash and, of long lines, the hashes of its halves."""
+def _char_halves(line: Column) -> Column:
+    """The same by characters, in the order first, last, first, last."""
+    n = F.char_length(line)
+    keys = []
+    for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
+        keys += [F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.substring(line, n - m + 1, m))]
+    return F.array(*keys)
+
+
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
+    """Each line that is not blank: doc_id, row_hash, line_no, 128 bits of hash and, of long lines, the hashes of its halves, by words and, with ``min_chars``, by characters."""
     rows = docs.select("doc_id", _row_hash(F.col("text")).alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     rows = rows.select("doc_id", "row_hash", "line_no", F.trim("raw").alias("line")).where("line <> ''").withColumn("words", F.split("line", " "))
     return rows.select(
         "doc_id", "row_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"),
         F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves"),
+        *([] if min_chars is None else [F.when(F.char_length("line") >= min_chars, _char_halves(F.col("line"))).alias("char_halves")]),
     )
 
 
-def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Lines (h1, h2) of ``found``, the occurrences in ``docs``, of which another, within one edit, has first stood earlier."""
-    keyed = found.where("halves is not null").select("doc_id", "row_hash", "line_no", "h1", "h2", F.explode("halves").alias("half"))
+def near_lines(docs: DataFrame, found: DataFrame, by_chars: bool = False) -> DataFrame:
+    """Lines (h1, h2) of ``found``, the occurrences in ``docs``, of which another, within one edit of a word or of a character, has first stood earlier."""
+    halves = "char_halves" if by_chars else "halves"
+    units = lambda line: F.split(line, "" if by_chars else " ")
+    keyed = found.where(f"{halves} is not null").select("doc_id", "row_hash", "line_no", "h1", "h2", F.posexplode(halves).alias("side", "half"))
     shared = cut(keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
-    first = cut(keyed.join(sized(shared, BROADCAST_ROWS), "half", "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place")))
-    at = first.select("h1", "h2", F.col("place.id").alias("id"), F.col("place.row_hash").alias("hash"), F.col("place.line_no").alias("no"))
+    first = cut(keyed.join(sized(shared, BROADCAST_ROWS), "half", "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place"), *_sides(by_chars)))
+    sides = first.columns[3:]
+    at = first.select("h1", "h2", *sides, F.col("place.id").alias("id"), F.col("place.row_hash").alias("hash"), F.col("place.line_no").alias("no"))
     if first.count() <= BROADCAST_ROWS:
         at = F.broadcast(at)
     held = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), _row_hash(F.col("text")).alias("hash"), "text")
-    texts = held.join(at, ["id", "hash"]).select("h1", "h2", "id", "no", F.trim(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
+    texts = held.join(at, ["id", "hash"]).select("h1", "h2", *sides, "id", "no", F.trim(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
     texts = cut(texts.dropDuplicates(["h1", "h2"]))
 
     # sums over the words' hashes: before the i-th in their places, after it one place to the left
     one = Window.partitionBy("h1", "h2")
     run = one.orderBy("i")
     term = lambda at, salt: F.pmod(F.xxhash64("word", at, F.lit(salt)), F.lit(_BITS))
-    sums = texts.repartition("h1", "h2").select("h1", "h2", "id", "no", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    sums = texts.repartition("h1", "h2").select("h1", "h2", *sides, *([F.char_length("line").alias("n")] if by_chars else []), "id", "no", F.posexplode(units("line")).alias("i", "word"))
     for salt in (1, 2):
         stay, move = term(F.col("i"), salt), term(F.col("i") - 1, salt)
         sums = sums.withColumn(f"v{salt}", F.sum(stay).over(run) - stay + F.sum(move).over(one) - F.sum(move).over(run)).withColumn(f"s{salt}", F.sum(stay).over(one))
     variant = F.struct(F.xxhash64("v1", "v2").alias("key"), F.col("i"))
     itself = F.struct(F.xxhash64("s1", "s2").alias("key"), F.lit(-1).alias("i"))
+    if by_chars:
+        # behind a shared first half, or before a shared last half
+        half = F.floor((F.col("n") - 1) / 2)
+        sums = sums.where((F.col("i") == 0) | (F.col("first") & (F.col("i") >= half)) | (F.col("last") & (F.col("i") < F.col("n") - half)))
     rows = sums.select("h1", "id", "no", F.explode(F.when(F.col("i") == 0, F.array(variant, itself)).otherwise(F.array(variant))).alias("k")).select("h1", "id", "no", "k.key", "k.i")
 
     group = Window.partitionBy("key")
@@ -91,9 +112,14 @@ def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     earlier = F.when(F.col("i") < 0, F.array("longer")).otherwise(F.array("peer", "whole"))
     pairs = linked.select("me", F.explode(F.filter(earlier, lambda e: e < F.col("me"))).alias("other")).select(F.col("me.h1").alias("h1"), F.col("other.h1").alias("o1")).distinct()
     # equal hashes are not yet equal words
-    mine = texts.select("h1", "h2", F.split("line", " ").alias("a"))
-    theirs = texts.select(F.col("h1").alias("o1"), F.split("line", " ").alias("b"))
-    return pairs.join(mine, "h1").join(theirs, "o1").where(within_one("a", "b")).select("h1", "h2").distinct()
+    mine = texts.select("h1", "h2", (F.col("line") if by_chars else units("line")).alias("a"))
+    theirs = texts.select(F.col("h1").alias("o1"), (F.col("line") if by_chars else units("line")).alias("b"))
+    return pairs.join(mine, "h1").join(theirs, "o1").where(F.levenshtein("a", "b", 1) >= 0 if by_chars else within_one("a", "b")).select("h1", "h2").distinct()
+
+
+def _sides(by_chars: bool) -> list[Column]:
+    """Whether a line shares a first and a last half."""
+    return [F.max(F.col("side") % 2 == k).alias(name) for k, name in enumerate(("first", "last"))] if by_chars else []
 
 
 def within_one(a: str, b: str) -> Column:
@@ -106,12 +132,15 @@ def within_one(a: str, b: str) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (both >= F.greatest(F.size(x), F.size(y)) - 1)
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """The lines that go: doc_id, row_hash and ``gone``, their numbers in the text; one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
-    found = stored(occurrences(docs, min_words), "lines")
+    found = stored(occurrences(docs, min_words, min_chars), "lines")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    near = near_lines(docs, found).withColumn("near", F.lit(True))
+    near = near_lines(docs, found)
+    if min_chars is not None:
+        near = near.unionAll(near_lines(docs, found, by_chars=True)).distinct()
+    near = near.withColumn("near", F.lit(True))
     marked = cut(again.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
     hit = found.select("doc_id", "row_hash", "line_no", "h1", "h2").join(sized(marked, BROADCAST_ROWS), ["h1", "h2"])
     first = hit.groupBy("h1", "h2").agg(F.min(_place()).alias("first"))
@@ -119,7 +148,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cut(gone.groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and columns ``n_lines`` and ``n_removed``.
 
     Every row stays. A null text stays null and has no lines; an empty text has one, blank line.
@@ -129,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so called).
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_words)
+    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_words, min_chars)
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = gone.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("row_hash").alias("_hash"), F.col("gone").alias("_gone"))
     gone = F.broadcast(gone) if rows <= BROADCAST_ROWS and numbers <= 10 * BROADCAST_ROWS else gone.hint("shuffle_hash")

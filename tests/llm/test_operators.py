@@ -180,6 +180,45 @@ def test_lines_against_brute_force(spark):
     assert got == want and near
 
 
+def test_lines_by_characters_against_brute_force(spark):
+    import corpus_pipeline
+
+    v = vocabulary(1, 60)
+    r = random.Random(5)
+    long_words = ["".join(r.choice("語文字書読見聞\U0001f600") for _ in range(n)) for n in (19, 20, 24, 40)]
+    base = [prose(i, n, v) for i, n in enumerate((1, 3, 4, 5, 6, 8, 12, 14))] + long_words + ["a" * 21, "ab" * 11]
+    texts = []
+    for _ in range(50):
+        out = []
+        for _ in range(r.randint(0, 6)):
+            x = r.choice(base)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                i, kind = r.randrange(len(x)), r.randrange(3)
+                x = x[:i] + ("" if kind == 1 else r.choice("ab 語")) + x[i + (kind != 0) :]
+            out.append(x)
+        texts.append("\n".join([*out, ""]))
+    first = {}
+    for d, t in enumerate(texts):
+        for k, x in enumerate(t.split("\n")):
+            if x.strip(" "):
+                first.setdefault(x.strip(" "), (d, k))
+
+    def within(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+    def close(x, y):
+        return min(len(x), len(y)) >= 20 and within(x, y) or min(x.count(" "), y.count(" ")) >= 9 and within(x.split(" "), y.split(" "))
+
+    near = {x for x, y in itertools.permutations(first, 2) if first[y] < first[x] and close(x, y)}
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x.strip(" ")] == (d, k) and x.strip(" ") not in near)) for d, t in enumerate(texts)}
+    got = {d["doc_id"]: d["text"] for d in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts), "").collect()}
+    assert got == want
+    assert sum(x.count(" ") < 9 for x in near) > 10
+
+
 # jaccard
 
 
