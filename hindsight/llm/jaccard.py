@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_map, components, cut, list_array, sized, stored
+from .common import arrow_map, components, cut, empty_as, list_array, sized, stored
 from .shingles import identity
 
 SHINGLE, PERCENT = 3, 90
@@ -109,7 +109,7 @@ def _near_parity(a: str, b: str, percent: int) -> Column:
 
 
 def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """A row for each document (its set's size and identity) and, from each task, its share of the count sketch in chunks."""
+    """A row for each document (its id and hash, its set's size and identity) and, from each task, its share of the count sketch in chunks."""
 
     def make():
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -117,17 +117,17 @@ def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
         def step(batch):
             if batch is None:
                 for c in range(0, len(counts), CHUNK):
-                    yield {"doc_id": [None], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()]} | dict.fromkeys(_PARITIES, [0])
+                    yield {"doc_id": [None], "row_hash": [0], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()]} | dict.fromkeys(_PARITIES, [0])
                 return
             for part, texts in shingles.runs(batch):
                 found = shingles.sets(texts, k, seed)
                 np.add(counts, np.bincount(_bucket(np.concatenate(found)), minlength=len(counts)), out=counts)
                 ids = [identity(s, seed) if len(s) else (None, None) for s in found]
-                yield {"doc_id": part.column(0), "n": [len(s) for s in found], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(found)} | dict(zip(_PARITIES, np.stack([parity(s) for s in found]).T.copy(), strict=True))
+                yield {"doc_id": part.column(0), "row_hash": part.column(2), "n": [len(s) for s in found], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(found)} | dict(zip(_PARITIES, np.stack([parity(s) for s in found]).T.copy(), strict=True))
 
         return step
 
-    return arrow_map(docs, make, "doc_id long, n long, sid long, check long, counts binary, " + ", ".join(f"{p} long" for p in _PARITIES))
+    return arrow_map(docs.withColumn("row_hash", F.xxhash64(empty_as(F.col("text")))), make, "doc_id long, row_hash long, n long, sid long, check long, counts binary, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -267,7 +267,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_
     of such rows only has none. Repeated rows are in one component. Columns other than the two
     named are not read.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    found = _members(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), shingle, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, row_hash and n of each row; group, component_id and ``tied`` (true) where its group has several rows."""
     spark = docs.sparkSession
     for seed in range(64):
         scanned = stored(_scan(docs, shingle, seed), "sets")
@@ -290,15 +295,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_
         labels = None
     else:
         labels = _labels(docs, live, scanned, shingle, seed, percent)
-    rows = scanned.where("n >= 0").select("doc_id", "n", "sid")
+    rows = scanned.where("n >= 0").select("doc_id", "row_hash", "n", "sid")
     if labels is not None:
-        rows = rows.join(sized(labels, BROADCAST_ROWS), rows["sid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("group"))
+        rows = rows.join(sized(labels, BROADCAST_ROWS), rows["sid"] == labels["node"], "left").select("doc_id", "row_hash", "n", F.coalesce("component", "sid").alias("group"))
     else:
-        rows = rows.select("doc_id", "n", F.col("sid").alias("group"))
-    named = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").select("group", "component_id")
+        rows = rows.select("doc_id", "row_hash", "n", F.col("sid").alias("group"))
+    named = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").select("group", "component_id", F.lit(True).alias("tied"))
     named = cut(named)
-    found = rows.join(sized(named, BROADCAST_ROWS), "group", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(sized(named, BROADCAST_ROWS), "group", "left")
 
 
 def _labels(docs: DataFrame, live: DataFrame, scanned: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
@@ -358,20 +362,24 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, of equal ids one.
+    """``docs`` with one row of each component: that of the smallest id, of equal ids that of the smallest hash of the text.
 
-    Rows of the empty set stay, and so does every row that links with nothing. All columns are passed on.
+    A row is known by its id and text, so rows with a null or a repeated id are told apart. Null
+    ids come last. Rows of the empty set stay, and so does every row that links with nothing. All
+    columns are passed on.
     """
-    found = stored(classes(docs, shingle, percent), "classes")
-    tied = found.where("n_shingles > 0")
-    goes = cut(tied.where("doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct())
-    rest = docs.join(sized(goes, BROADCAST_ROWS), docs["doc_id"].cast("long").eqNullSafe(goes["doc_id"]), "left_anti")
-    # an id that stands on several rows of one component: one of them is enough
-    twice = cut(tied.groupBy("doc_id", "component_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id").distinct())
+    found = _members(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), shingle, percent)
+    tied = stored(found.where("tied").select("group", "doc_id", "row_hash"), "tied")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
+    first = tied.groupBy("group").agg(F.min(me).alias("first"))
+    marked = tied.join(first, "group").withColumn("stays", me.eqNullSafe(F.col("first")))
+    goes = cut(marked.where("not stays").select("doc_id", "row_hash").distinct())
+    row_hash = F.xxhash64(empty_as(docs["text"]))
+    this = lambda rows: docs["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & (row_hash == rows["row_hash"])
+    rest = docs.join(sized(goes, BROADCAST_ROWS), this(goes), "left_anti")
+    # equal rows of one component: one of them is enough
+    twice = cut(marked.where("stays").groupBy("doc_id", "row_hash").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "row_hash"))
     if not twice.limit(1).count():
         return rest
-    again = rest["doc_id"].cast("long").eqNullSafe(twice["doc_id"])
     few = sized(twice, BROADCAST_ROWS)
-    kept = rest.join(few, again, "left_semi").where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    blank = rest.join(few, again, "left_semi").where(F.trim(F.coalesce("text", F.lit(""))) == "")
-    return rest.join(few, again, "left_anti").unionByName(kept.dropDuplicates(["doc_id"])).unionByName(blank)
+    return rest.join(few, this(few), "left_anti").unionByName(rest.join(few, this(few), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -267,6 +267,14 @@ def test_classes_against_brute_force(spark, k, percent):
 # passages
 
 
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    a, b, c = (prose(i, 30, vocabulary(4)) for i in (1, 2, 3))
+    d, e, f = (prose(i, 30, vocabulary(4)) for i in (4, 5, 6))
+    rows = [(None, a), (None, b), (None, c), (1, c), (1, c), (7, d), (7, e), (8, d), (3, e), (None, f), (None, f), (None, ""), (None, ""), (9, None), (9, "  ")]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (7, d), (3, e), (None, f), (None, ""), (None, ""), (9, None), (9, "  ")], key=str)
+
+
 def test_compact_windows_against_brute_force():
     r = np.random.default_rng(1)
     for m, w in itertools.product((4, 30, 120), (5, 20)):
