@@ -2,17 +2,20 @@
 
 The merges of a text are taken from an agenda, best piece first and leftmost among equals. Each
 candidate that comes up is skipped with a set chance, decided by a hash keyed with the seed, the
-draw, the segment and the candidate's place, so the same seed gives the same segmentation on
-any machine, and another seed another one. Without dropout the ids are the library's own.
+row's id, the text and the segment's place in it, so every occurrence draws its own, the same seed
+gives the same segmentation on any machine, and another seed another one. Without dropout the ids
+are the library's own.
 
 No piece of the vocabulary joins a letter to a following blank mark, nor holds a letter that only
 stands alone, so a text falls into segments that never merge with each other, and what a segment
-becomes is kept for the next one like it. Each place in a text draws one of ``draws``
-segmentations of its segment, by a hash of seed, id and place.
+becomes is kept for the next one like it. What it becomes depends on nothing but which of its
+candidates, counted as they come up, are skipped. An occurrence draws the number of candidates up to
+its first skip, then up to the next one; what was made with the same skips before is taken again.
 
 Letters outside the vocabulary become byte pieces, and so does a blank mark that the text itself
 contains; hence decoding gives back every text exactly. This is checked: each segment's pieces
 must spell it when they are made, and a text's segments must make it up; either failing is an error.
+``encode`` also decodes each row's ids as a whole and tells whether they give the text.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +35,11 @@ from .common import arrow_map, list_array, slices, texts_of
 
 BLANK = "▁"
 DROPOUT = 0.1
-DRAWS = 2
 KEPT_SEGMENTS = 400_000
 _MASK = (1 << 64) - 1
 _NEVER = float("inf")
+#: Segments up to this length keep what they became after skips too.
+_SHORT = 40
 
 
 def _path(path: str | None) -> str:
@@ -48,7 +53,7 @@ def _path(path: str | None) -> str:
 class Codec:
     """Encoder and decoder of one model file, seed and chance of dropout."""
 
-    def __init__(self, path: str | None = None, seed: int = 0, dropout: float = DROPOUT, draws: int = DRAWS, kept: int = KEPT_SEGMENTS):
+    def __init__(self, path: str | None = None, seed: int = 0, dropout: float = DROPOUT, kept: int = KEPT_SEGMENTS):
         import sentencepiece
 
         if not 0 <= dropout <= 1:
@@ -74,50 +79,59 @@ class Codec:
             raise ValueError("a piece holds a blank mark behind a letter; texts cannot be cut there")
         letters = "".join(re.escape(c) for c in sorted({c for p in joined for c in p} - {BLANK}))
         self._segments = re.compile(f" *[{letters}]+| +|.", re.S)
-        self.seed, self.draws, self.kept = seed, draws if dropout else 1, kept
-        self._limit = int(dropout * (1 << 64))
-        self._young: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
-        self._old: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
-
-    def _merge(self, segment: str, draw: int) -> list[str]:
-        """The pieces of a segment after the agenda has run dry."""
-        key = xxhash.xxh64_intdigest(segment, (self.seed * 1_000_003 + draw) & _MASK) if self._limit else 0
-        return self._short(segment, key) if len(segment) <= 40 else self._long(segment, key)
-
-    def _skips(self, key: int, i: int, j: int, k: int) -> bool:
-        """Whether the candidate that would join [i, j) and [j, k) is skipped."""
-        x = ((key ^ (i << 42 | j << 21 | k)) * 0xBF58476D1CE4E5B9) & _MASK
-        return ((x ^ x >> 29) * 0x94D049BB133111EB) & _MASK < self._limit
-
-    def _short(self, segment: str, key: int) -> list[str]:
+        self.seed, self.kept = seed, kept
+        # a gap is the number of limits that a hash of 64 bits reaches: it is over k with the chance that k + 1 candidates in a row are kept
+        self._limits: list[int] = []
+        left, stays = 1 << 64, max(1, (1 << 64) - int(dropout * (1 << 64)))
+        while dropout and len(self._limits) < 4096 and (left := left * stays >> 64):
+            self._limits.append((1 << 64) - left)
+        self._gaps = np.array(self._limits, dtype=np.uint64)
+        self._young: dict = {}
+        self._old: dict = {}
+
+    def _next(self, key: int, at: int, level: int, stop: int) -> tuple[int, int]:
+        """The next skip from candidate ``at`` on, or some number from ``stop`` on, and the next level of ``key``."""
+        while at < stop:
+            x = (key + level * 0xD1B54A32D192ED03) & _MASK
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _MASK
+            gap = bisect_right(self._limits, x ^ x >> 31)
+            level += 1
+            at += gap
+            if gap < len(self._limits):  # otherwise as many are kept, and it goes on from there
+                break
+        return at, level
+
+    def _merge(self, segment: str, skips: tuple[int, ...] | set[int]) -> tuple[list[str], int]:
+        """The pieces of a segment after the agenda has run dry, and how many candidates came up; those with the numbers ``skips`` are skipped."""
+        return self._short(segment, skips) if len(segment) <= _SHORT else self._long(segment, skips)
+
+    def _short(self, segment: str, skips: tuple[int, ...] | set[int]) -> tuple[list[str], int]:
         """An agenda of so few candidates that a list holds it: by place, with the next one found by its rank."""
-        rank, limit = self.rank, self._limit
         symbols = list(segment)
-        starts = list(range(len(symbols) + 1))
-        get, never = rank.get, _NEVER
+        get, never, number = self.rank.get, _NEVER, -1
         agenda = [get(x + y, never) for x, y in zip(symbols, symbols[1:])]
         while agenda:
             best = min(agenda)
             if best is never:
                 break
             at = agenda.index(best)
-            if limit:  # as in ``_skips``
-                x = ((key ^ (starts[at] << 42 | starts[at + 1] << 21 | starts[at + 2])) * 0xBF58476D1CE4E5B9) & _MASK
-                if ((x ^ x >> 29) * 0x94D049BB133111EB) & _MASK < limit:
-                    agenda[at] = never
-                    continue
+            number += 1
+            if number in skips:
+                agenda[at] = never
+                continue
             joined = symbols[at] + symbols[at + 1]
             symbols[at : at + 2] = (joined,)
-            del starts[at + 1], agenda[at]
+            del agenda[at]
             if at:
                 agenda[at - 1] = get(symbols[at - 1] + joined, never)
             if at < len(agenda):
                 agenda[at] = get(joined + symbols[at + 1], never)
-        return symbols
+        return symbols, number + 1
 
-    def _long(self, segment: str, key: int) -> list[str]:
+    def _long(self, segment: str, skips: tuple[int, ...] | set[int]) -> tuple[list[str], int]:
         """The same with a heap."""
-        n, rank = len(segment), self.rank
+        n, rank, number = len(segment), self.rank, -1
         end = list(range(1, n + 1))  # end[i]: where the symbol that starts at i ends; 0: merged away
         before = list(range(-1, n))
         agenda = []
@@ -130,7 +144,8 @@ class Codec:
             _, i, j, k = heapq.heappop(agenda)
             if end[i] != j or end[j] != k:
                 continue  # one of the two has grown meanwhile
-            if self._limit and self._skips(key, i, j, k):
+            number += 1
+            if number in skips:
                 continue
             end[i], end[j] = k, 0
             if k < n:
@@ -143,29 +158,47 @@ class Codec:
                 r = rank.get(segment[h:k])
                 if r is not None:
                     heapq.heappush(agenda, (r, h, i, k))
-        return [segment[i : end[i]] for i in range(n) if end[i]]
+        return [segment[i : end[i]] for i in range(n) if end[i]], number + 1
 
-    def _encode(self, segment: str, draw: int) -> bytes:
+    def _encode(self, segment: str, skips: tuple[int, ...] | set[int]) -> tuple[int, bytes]:
         if segment == BLANK:  # stands for itself, not for a blank
-            ids = [self.bytes_id[b] for b in segment.encode()]
+            count, ids = 0, [self.bytes_id[b] for b in segment.encode()]
         else:
-            found = self._merge(segment.replace(" ", BLANK), draw)
+            found, count = self._merge(segment.replace(" ", BLANK), skips)
             ids = [*map(self.piece_id.get, found)]
             if None in ids:
                 ids = [x for piece, i in zip(found, ids, strict=True) for x in ([self.bytes_id[b] for b in piece.encode()] if i is None else (i,))]
         if b"".join(map(self.table.__getitem__, ids)) != segment.encode():
             raise ValueError(f"the segment {segment!r} does not decode to itself")
-        return array("i", ids).tobytes()
-
-    def _look_up(self, segment: str, draw: int) -> bytes:
-        found = self._old[draw].get(segment) or self._encode(segment, draw)
-        young = self._young[draw]
-        if len(young) >= self.kept:  # what was not met since the last turn is forgotten
-            self._old[draw], self._young[draw] = young, {}
-            young = self._young[draw]
-        young[segment] = found
+        return count, array("i", ids).tobytes()
+
+    def _look_up(self, segment: str, skips: tuple[int, ...] = ()) -> tuple[int, bytes]:
+        """How many candidates come up, and the ids."""
+        key = (segment, skips) if skips else segment
+        found = self._old.get(key) or self._encode(segment, skips)
+        if len(self._young) >= self.kept:  # what was not met since the last turn is forgotten
+            self._old, self._young = self._young, {}
+        self._young[key] = found
         return found
 
+    def _skipped(self, segment: str, at: int, key: int) -> bytes:
+        """The ids of an occurrence that skips candidate ``at`` first."""
+        level = 1
+        if at == len(self._limits):
+            at, level = self._next(key, at, level, 3 * len(segment))
+        if len(segment) > _SHORT:
+            skips = set()
+            while at < 3 * len(segment):  # no more ever come up: one between two letters each, and two behind each merge
+                skips.add(at)
+                at, level = self._next(key, at + 1, level, 3 * len(segment))
+            return self._encode(segment, skips)[1]
+        taken, found = (), self._young.get(segment) or self._look_up(segment)
+        while at < found[0]:
+            taken += (at,)
+            found = self._young.get((segment, taken)) or self._look_up(segment, taken)
+            at, level = self._next(key, at + 1, level, found[0])
+        return found[1]
+
     def ids(self, text: str, key: str = "") -> np.ndarray:
         """The text's ids; ``key`` (an id, say) lets equal texts differ."""
         if not text:
@@ -173,13 +206,19 @@ class Codec:
         segments = self._segments.findall(" " + text)
         if sum(map(len, segments)) != len(text) + 1:
             raise ValueError("the segments do not make up the text")
-        look_up, young = self._look_up, self._young
-        if self.draws == 1:
-            return np.frombuffer(b"".join([young[0].get(s) or look_up(s, 0) for s in segments]), dtype=np.int32)
-        x = np.arange(len(segments), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(key, self.seed & _MASK))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        draw = ((x ^ (x >> np.uint64(27))) >> np.uint64(33)) % np.uint64(self.draws)
-        return np.frombuffer(b"".join([young[d].get(s) or look_up(s, d) for s, d in zip(segments, draw.tolist(), strict=True)]), dtype=np.int32)
+        look_up, get = self._look_up, self._young.get
+        if not self._limits:
+            return np.frombuffer(b"".join([(get(s) or look_up(s))[1] for s in segments]), dtype=np.int32)
+        own = xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(key, self.seed & _MASK))
+        keys = np.arange(len(segments), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own)
+        x = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        gaps = np.searchsorted(self._gaps, x ^ (x >> np.uint64(31)), side="right")
+        out = []
+        for segment, gap, k in zip(segments, gaps.tolist(), keys.tolist(), strict=True):
+            found = get(segment) or look_up(segment)
+            out.append(found[1] if gap >= found[0] else self._skipped(segment, gap, k))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def text(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; it begins with the blank that encoding has put before it."""
@@ -193,11 +232,11 @@ def _codec(path: str | None, seed: int, dropout: float) -> Codec:
     return Codec(path, seed, dropout)
 
 
-SCHEMA = "doc_id long, ids array<int>, n_ids long"
+SCHEMA = "doc_id long, ids array<int>, n_ids long, lossless boolean"
 
 
 def encode(docs: DataFrame, seed: int = 20240601, dropout: float = DROPOUT, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's ids under merge-dropout, and their number.
+    """Each row's ids under merge-dropout, their number, and whether decoding them has given the text back.
 
     Null and empty texts have no ids. Rows with the same id and text get the same ids; a null id
     is one more id. Columns other than the two named are not read.
@@ -211,7 +250,7 @@ def encode(docs: DataFrame, seed: int = 20240601, dropout: float = DROPOUT, path
                 texts = texts_of(part)
                 found = [codec.ids(t, str(i)) for t, i in zip(texts, part.column(0).to_pylist(), strict=True)]
                 lengths = [len(x) for x in found]
-                yield {"doc_id": part.column(0), "ids": list_array(np.concatenate(found), lengths, pa.int32()), "n_ids": lengths}
+                yield {"doc_id": part.column(0), "ids": list_array(np.concatenate(found), lengths, pa.int32()), "n_ids": lengths, "lossless": [codec.text(x) == t for x, t in zip(found, texts, strict=True)]}
 
         return step
 

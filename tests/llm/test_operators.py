@@ -377,6 +377,47 @@ def test_pieces_round_trip_and_seeds(spark):
     assert {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()} == dict(enumerate(texts))
 
 
+def test_each_occurrence_draws_its_own_segmentation(spark):
+    """Of 20,000 occurrences of a word, as many have each segmentation as an agenda with random skips gives."""
+    from collections import Counter
+
+    codec, r = pieces.Codec(seed=3, dropout=0.3), random.Random(4)
+
+    def brute(symbols):
+        symbols, banned = list(symbols), set()
+        while True:
+            starts = list(itertools.accumulate(map(len, symbols), initial=0))
+            open_ = [(codec.rank[x + y], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in codec.rank and (starts[i], starts[i + 1], starts[i + 2]) not in banned]
+            if not open_:
+                return tuple(symbols)
+            i = min(open_)[1]
+            if r.random() < 0.3:
+                banned.add((starts[i], starts[i + 1], starts[i + 2]))
+            else:
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+    n = 20_000
+    want = Counter(brute("▁windows") for _ in range(n))
+    ids = codec.ids(("windows " * n)[:-1], "k").tolist()
+    names = {i: p for p, i in codec.piece_id.items()}
+    got, word = Counter(), []
+    for p in [*(names[i] for i in ids), "▁"]:
+        if p.startswith("▁") and word:
+            got[tuple(word)] += 1
+            word = []
+        word.append(p)
+    assert sum(got.values()) == n and len(got) > 10
+    for w in set(got) | set(want):
+        assert abs(got[w] - want[w]) < 6 * (got[w] + want[w]) ** 0.5 + 6, w
+    long_text = "語文" * 300 + "a" * 500
+    assert codec.text(codec.ids(long_text, "k")) == long_text and pieces.Codec(dropout=1.0).ids("windows").size == 8
+    # the same text under another id, and another text under the same id, draw differently
+    text = "the windows were standing open " * 40
+    rows = pieces.encode(docs_of(spark, [(None, text), (None, text + "."), (1, text), (1, text)])).collect()
+    a, b, c, d = (x["ids"] for x in rows)
+    assert a != b[: len(a)] and a != c and c == d and all(x["lossless"] for x in rows)
+
+
 # html
 
 
