@@ -11,7 +11,7 @@ other, so the number of joined rows follows the input even where one passage sta
 of all documents. Within a document an interval join keeps the collisions of different hash
 functions whose windows hold a common subsequence. What is left is verified:
 around each collision the words of both texts are compared and extended over equal runs and
-small edits, and a passage counts if it has ``min_words`` words and its shingles' exact Jaccard
+any gap that the wanted similarity has room for, and a passage counts if it has ``min_words`` words and its shingles' exact Jaccard
 similarity is at least ``percent``.
 
 For verification a text is cut into blocks with margins; a block is read where a collision lies
@@ -215,8 +215,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("rid", "text", "blocks"), make, "rid long, block int, words binary")
 
 
-def _runs(x: np.ndarray, y: np.ndarray, p: list[int], q: list[int], i: int, j: int) -> list[tuple[int, int, int]]:
-    """Equal runs (i, j, length) from x[i] and y[j] onwards, over edits of at most three words on either side. ``p`` and ``q`` are x and y as lists."""
+def _runs(x: np.ndarray, y: np.ndarray, p: list[int], q: list[int], i: int, j: int, most: int) -> list[tuple[int, int, int]]:
+    """Equal runs (i, j, length) from x[i] and y[j] onwards, over small edits and gaps of at most ``most`` words on both sides together. ``p`` and ``q`` are x and y as lists."""
     out = []
     while True:
         n = min(len(p) - i, len(q) - j)
@@ -231,10 +231,28 @@ def _runs(x: np.ndarray, y: np.ndarray, p: list[int], q: list[int], i: int, j: i
             if i + a + 3 <= len(p) and j + b + 3 <= len(q) and p[i + a] == q[j + b] and p[i + a : i + a + 3] == q[j + b : j + b + 3]:
                 break
         else:
-            return out
+            gap = _gap(p, q, i, j, most)
+            if gap is None:
+                return out
+            a, b = gap
         i, j = i + a, j + b
 
 
+def _gap(p: list[int], q: list[int], i: int, j: int, most: int) -> tuple[int, int] | None:
+    """The words to leave out of either side before the next equal shingle, the fewest together; None if they are more than ``most``."""
+    at: dict[tuple[int, ...], int] = {}
+    for b in range(min(most, len(q) - j - SHINGLE), -1, -1):
+        at[tuple(q[j + b : j + b + SHINGLE])] = b
+    best = None
+    for a in range(min(most, len(p) - i - SHINGLE) + 1):
+        if best is not None and a >= sum(best):
+            break
+        b = at.get(tuple(p[i + a : i + a + SHINGLE]))
+        if b is not None and a + b <= most and (best is None or (a + b, abs(a - b)) < (sum(best), abs(best[0] - best[1]))):
+            best = a, b
+    return best
+
+
 #: Words left out on either side of an edit, the smallest edits first.
 _EDITS = sorted(((a, b) for a in range(4) for b in range(4) if a + b), key=lambda e: (e[0] + e[1], abs(e[0] - e[1])))
 
@@ -266,8 +284,10 @@ def verify(x: Block, y: Block, i: int, j: int, min_words: int = MIN_WORDS, perce
     if x.p[i : i + SHINGLE] != y.p[j : j + SHINGLE]:
         return None
     n, m = len(x.p), len(y.p)
-    back = _runs(x.back, y.back, x.q, y.q, n - i - SHINGLE, m - j - SHINGLE)
-    forth = _runs(x.x, y.x, x.p, y.p, i, j)
+    # a gap of so many words leaves SHINGLE - 1 more shingles unshared on either side
+    most = (min(n, m) - SHINGLE + 1) * (100 - percent) // percent - 2 * (SHINGLE - 1)
+    back = _runs(x.back, y.back, x.q, y.q, n - i - SHINGLE, m - j - SHINGLE, most)
+    forth = _runs(x.x, y.x, x.p, y.p, i, j, most)
     if n - back[-1][0] - back[-1][2] + min_words > forth[-1][0] + forth[-1][2]:
         return None
     runs = [(n - a - k, m - b - k, k) for a, b, k in reversed(back)]

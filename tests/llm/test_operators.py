@@ -309,6 +309,39 @@ def test_planted_passages(spark):
         assert cut[i].split() == (w[:120] + w[180:] if i in (9, 11, 20, 8) else w)
 
 
+def edited_passages(count):
+    """Documents in pairs (i, count + i) that share a passage: 100 words with the middle 4 replaced, or 90 with 4 more in the middle."""
+    v = vocabulary(8)
+    texts, spans = {}, {}
+    for i in range(count):
+        old = prose(2000 + i, 100 if i % 2 else 90, v).split(" ")
+        half = len(old) // 2
+        new = old[: half - 2 * (i % 2)] + [f"new{i}x{k}" for k in range(4)] + old[half + 2 * (i % 2) :]
+        for at, w in ((i, old), (count + i, new)):
+            texts[at] = " ".join([prose(3000 + at, 80, v), *w, prose(4000 + at, 80, v)])
+        spans[count + i, i] = [(80, 80 + len(new))]
+    return [texts[i] for i in range(2 * count)], spans
+
+
+def test_passages_with_edits_of_four_words(spark):
+    texts, spans = edited_passages(60)
+    got = {(r["doc_id"], r["source_id"]): [(x["start"], x["stop"]) for x in r["spans"]] for r in passages.repeats(docs_of(spark, texts)).collect()}
+    assert set(got) <= set(spans) and all(got[k] == spans[k] for k in got)
+    assert len(got) >= 0.9 * len(spans)
+
+
+def test_gaps_that_the_similarity_has_room_for():
+    rng = np.random.default_rng(1)
+    for words, left, more in ((100, 4, 4), (150, 6, 6), (150, 0, 12), (150, 12, 0), (50, 2, 3), (100, 9, 9), (60, 0, 4), (60, 0, 3)):
+        x = rng.integers(0, 1 << 32, words, dtype=np.uint32)
+        half = words // 2
+        y = np.concatenate([x[: half - left // 2], rng.integers(0, 1 << 32, more, dtype=np.uint32), x[half - left // 2 + left :]])
+        shared = words - left - 2 * (passages.SHINGLE - 1)
+        whole = 100 * shared >= 80 * (len(x) + len(y) - 2 * (passages.SHINGLE - 1) - shared) and min(len(x), len(y)) >= 50
+        found = passages.verify(passages.Block(x), passages.Block(y), 3, 3)
+        assert (found == (0, len(x), 0, len(y))) == whole, (words, left, more)
+
+
 # search
 
 
