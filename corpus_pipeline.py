@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained scores, approximate search and tokenizers have no SQL form; tests compare the stages with brute force.
+#: Trained scores, approximate search and tokenizers have no SQL form; tests hold the line stage and the kept rows of small tables to what they should be, not the whole run.
 ORACLE_SQL = None
 
 
