@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,14 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder.
 
     The folder is the one that ``spark.checkpoint.dir`` names; one is made only where
-    that setting is missing, as in a plain local test.
+    that setting is missing and the master is local, as in a plain test.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; on one machine without the setting, a new one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
 
@@ -119,34 +129,43 @@ def empty_as(c: Column) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component = smallest node.
 
-    Alternating large-star and small-star steps: each node ties its larger, then its
-    smaller neighbours to the smallest one it knows. The number of edges never grows,
-    nothing is gathered by node, and each round is cut from its lineage. A self-edge is
-    allowed. Isolated nodes are not returned.
+    Every node is tied to the one with the most links among itself and its neighbours, and so is
+    that one in turn; both are of one component, so the edges are contracted to those between
+    nodes that are still apart, until none is left. Each round takes what the contraction leaves,
+    nothing is gathered by node, and each round is cut from its lineage. A self-edge is allowed.
+    Isolated nodes are not returned.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    spark = e.sparkSession
-    before = None
+    labels = contracted(edges, max_rounds)
+    least = labels.groupBy("up").agg(F.least(F.min("node"), F.col("up")).alias("component"))
+    return labels.join(least, "up").select("node", "component")
+
+
+def contracted(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``components`` named by any node of theirs: rows (node, up), cut."""
+    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels = None
     for _ in range(max_rounds):
-        # large star: every node ties its larger neighbours to its smallest neighbour or itself
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        e = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every node ties its smaller neighbours and itself to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        near = e.join(low, "u")
-        e = cut(
-            near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        if labels is not None and e.isEmpty():
+            return labels
+        step = cut(hooked(e))
+        if labels is None:
+            labels = step
+        else:
+            labels = cut(labels.join(step.select(F.col("node").alias("up"), F.col("up").alias("further")), "up", "left").select("node", F.coalesce("further", "up").alias("up")))
+        for side in ("a", "b"):
+            e = e.join(step.select(F.col("node").alias(side), F.col("up").alias(f"to_{side}")), side)
+        e = cut(e.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def hooked(edges: DataFrame) -> DataFrame:
+    """(node, up): of each node of the distinct ``edges`` (a, b), a node of its component, two steps up towards more links."""
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    links = both.groupBy("x").agg(F.count("*").alias("links"))
+    around = both.join(links.select(F.col("x").alias("y"), "links"), "y").select("x", F.struct("links", "y").alias("r"))
+    around = around.unionAll(links.select("x", F.struct("links", F.col("x").alias("y")).alias("r")))
+    above = cut(around.groupBy("x").agg(F.max("r").alias("r")).select("x", F.col("r.y").alias("y")))
+    return above.join(above.select(F.col("x").alias("y"), F.col("y").alias("up")), "y").select(F.col("x").alias("node"), "up")
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:
@@ -161,12 +180,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder is deleted when the application ends in an orderly way.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    top = context.getCheckpointDir()
-    if top is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-        top = context.getCheckpointDir()
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

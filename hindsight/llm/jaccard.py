@@ -16,18 +16,26 @@ Sets that link share not one but several of their rare n-grams: with prefixes of
 n-grams and a required intersection o, at least min(p(a) - (a - o), p(b) - (b - o)). Pairs that
 cannot reach this number are dropped before anything is read.
 
-A list is not expanded into its pairs. In two rounds every list offers only the pairs of one
-leader (first the one with the fewest rarer n-grams, then the one with the most links so far); what is verified
-joins components. The last round takes the pairs of a list that are still in different
+The postings are shuffled once, by key and in the order of rarity, and each list is read as a run:
+sets whose size allows no link within a short list leave it, and what stays is written with
+the list's leader, the set with the fewest rarer n-grams.
+
+A list is not expanded into its pairs. First every list offers only its leader's pairs; then each
+list of ``BIG`` sets or more those of a second leader, the set with the most links so far. What is
+verified joins components. The last round takes the pairs of a list that are still in different
 components and pass the bounds; it loses no link between components, and pairs within one are
-not needed to know the classes.
+not needed to know the classes. A pair that also shares a list of two has been judged in the first
+round, so in the last one the lists that it shares are all of its rare n-grams, and their number
+is held against the threshold.
 
 Each set has a parity sketch: 512 bits, of which every n-gram flips the one that its hash names.
 Two sketches differ in no more bits than the sets in n-grams, so a pair whose sketches differ in
-more than the threshold allows is out before its n-grams are read, and no true link ever is.
+more than the threshold allows is out before its n-grams are read, and no true link ever is. Of
+large sets, whose parities are all but random, the n-grams in each of 512 cells are counted, modulo
+256; the counts differ by no more than the sets, either.
 
-Rarity comes from a count sketch over all n-grams of all documents: a fixed table of 2**20
-counters, 4 MB at any size of the corpus. It only orders the n-grams; a wrong count costs time,
+Rarity comes from a count sketch over all n-grams of all documents: a fixed table of 2**18
+counters, 2 MB at any size of the corpus. It only orders the n-grams; a wrong count costs time,
 never a link. N-grams are known by 64 bits of hash, sets by 64 bits that are checked against
 another 64: if two different sets agree in the first, another seed is taken.
 """
@@ -43,18 +51,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_map, components, cut, empty_as, list_array, sized, stored
+from .common import arrow_map, contracted, cut, empty_as, hooked, list_array, sized, stored
 from .shingles import identity
 
 SHINGLE, PERCENT = 3, 90
-SKETCH_BITS = 20
-CHUNK = 1 << 16
+SKETCH_BITS = 18
+CHUNK = 1 << 15
 BROADCAST_ROWS = 100_000
 #: Cost of a posting, with the verification that it may lead to, in subset keys.
 POSTING_COST = 12
 LARGEST_LIGHT = 40
 #: Numbers of 64 bits in a set's parity sketch.
 PARITY = 8
+#: Cells of a large set's counts, and the size from which a set has them.
+CELLS, COUNTED_FROM = 512, 400
+#: Sets of a list from which it gets a second leader.
+BIG = 10
+#: Up to this distance in a list's order every set is held against its neighbours; longer lists stay whole.
+NEAR = 8
+#: Sets of an unfinished list that are held at once.
+HELD = 1 << 16
 
 _U = np.uint64
 
@@ -108,8 +124,15 @@ def _near_parity(a: str, b: str, percent: int) -> Column:
     return differ <= na + nb - 2 * required(na, nb, percent)
 
 
+def cells(tokens: np.ndarray) -> bytes | None:
+    """The n-grams in each cell, modulo 256; None for a small set."""
+    if len(tokens) < COUNTED_FROM:
+        return None
+    return np.bincount((tokens >> _U(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint8).tobytes()
+
+
 def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """A row for each document (its id and hash, its set's size and identity) and, from each task, its share of the count sketch in chunks."""
+    """A row for each document (its id and hash, its set's size, identity and sketches) and, from each task, its share of the count sketch in chunks."""
 
     def make():
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -117,17 +140,17 @@ def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
         def step(batch):
             if batch is None:
                 for c in range(0, len(counts), CHUNK):
-                    yield {"doc_id": [None], "row_hash": [0], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()]} | dict.fromkeys(_PARITIES, [0])
+                    yield {"doc_id": [None], "row_hash": [0], "n": [-1], "sid": [c // CHUNK], "check": [0], "counts": [counts[c : c + CHUNK].astype("<i8").tobytes()], "cells": [None]} | dict.fromkeys(_PARITIES, [0])
                 return
             for part, texts in shingles.runs(batch):
                 found = shingles.sets(texts, k, seed)
                 np.add(counts, np.bincount(_bucket(np.concatenate(found)), minlength=len(counts)), out=counts)
                 ids = [identity(s, seed) if len(s) else (None, None) for s in found]
-                yield {"doc_id": part.column(0), "row_hash": part.column(2), "n": [len(s) for s in found], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(found)} | dict(zip(_PARITIES, np.stack([parity(s) for s in found]).T.copy(), strict=True))
+                yield {"doc_id": part.column(0), "row_hash": part.column(2), "n": [len(s) for s in found], "sid": [x for x, _ in ids], "check": [x for _, x in ids], "counts": [None] * len(found), "cells": [cells(s) for s in found]} | dict(zip(_PARITIES, np.stack([parity(s) for s in found]).T.copy(), strict=True))
 
         return step
 
-    return arrow_map(docs.withColumn("row_hash", F.xxhash64(empty_as(F.col("text")))), make, "doc_id long, row_hash long, n long, sid long, check long, counts binary, " + ", ".join(f"{p} long" for p in _PARITIES))
+    return arrow_map(docs.withColumn("row_hash", F.xxhash64(empty_as(F.col("text")))), make, "doc_id long, row_hash long, n long, sid long, check long, counts binary, cells binary, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -210,6 +233,90 @@ def _postings(docs: DataFrame, k: int, seed: int, percent: int, light: int, sket
     return arrow_map(docs.select("text"), make, "key long, sid long, n int, pos int")
 
 
+def required_of(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def compatible(na: np.ndarray, nb: np.ndarray, pa: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can link; in a group of an equal subset it must be large enough. Places in lists are not looked at, as all that a pair shares is counted."""
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((pa >= 0) | (-pa >= required_of(na, nb, percent)))
+
+
+_LISTED = "key long, light boolean, sid long, n int, pos int, m int, l_sid long, l_n int, l_pos int"
+
+
+def _listed(postings: DataFrame, percent: int) -> DataFrame:
+    """The sets of each list of two or more that may hold a link, with the list's size m (from those held at once) and leader."""
+
+    def make():
+        held: list[pa.Table] = []
+        led: list[tuple] = []  # key, kind and leader of a list too long to be held, of which rows have gone out
+
+        def rows(key, light, sid, n, pos, m, leader):
+            return {"key": pa.array(key), "light": pa.array(light), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "m": pa.array(m.astype(np.int32))} | {
+                f"l_{c}": pa.array(x) for c, x in zip(("sid", "n", "pos"), leader, strict=True)
+            }
+
+        def lists(table, final):
+            key, sid, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "sid", "n", "pos"))
+            light = pos < 0
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (light[1:] != light[:-1])
+            held.clear()
+            if not final:
+                last = int(np.flatnonzero(new)[-1])
+                going_on = bool(led) and led[-1][:2] == (key[last], light[last])
+                if going_on or len(key) - last < HELD:
+                    if not going_on:
+                        held.append(table.slice(last))
+                        key, sid, n, pos, light, new = (x[:last] for x in (key, sid, n, pos, light, new))
+                else:
+                    led.append((key[last], light[last], sid[last], n[last], pos[last]))
+            if not len(key):
+                return
+            keep = new.copy()
+            keep[1:] |= sid[1:] != sid[:-1]
+            key, sid, n, pos, light, new = (x[keep] for x in (key, sid, n, pos, light, new))
+            number = np.cumsum(new) - 1
+            sizes = np.bincount(number)
+            for k, kind, *leader in led:
+                # rows of a list too long to be held: all of it is tied to the set that it began with
+                mine = (key == k) & (light == kind)
+                if mine.any():
+                    size = int(mine.sum())
+                    yield rows(key[mine], light[mine], sid[mine], n[mine], pos[mine], np.full(size, HELD), [np.full(size, x, dtype=t) for x, t in zip(leader, (np.int64, np.int32, np.int32), strict=True)])
+                    number, key, sid, n, pos, light = (x[~mine] for x in (number, key, sid, n, pos, light))
+            del led[:-1]
+            alive = sizes[number] > NEAR + 1
+            for d in range(1, NEAR + 1):
+                if d >= len(number):
+                    break
+                i = np.flatnonzero((number[d:] == number[:-d]) & (sizes[number[d:]] <= NEAR + 1))
+                i = i[compatible(n[i], n[i + d], pos[i], pos[i + d], percent)]
+                alive[i] = True
+                alive[i + d] = True
+            key, sid, n, pos, light, number = (x[alive] for x in (key, sid, n, pos, light, number))
+            if not len(key):
+                return
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            m = np.diff(np.append(first, len(number)))
+            at = np.repeat(first, m)
+            yield rows(key, light, sid, n, pos, np.repeat(m, m), [sid[at], n[at].astype(np.int32), pos[at].astype(np.int32)])
+
+        def step(batch):
+            if batch is None:
+                if held:
+                    yield from lists(held[0], True)
+            elif batch.num_rows:
+                yield from lists(pa.Table.from_batches([batch]) if not held else pa.concat_tables([held[0], pa.Table.from_batches([batch])]).combine_chunks(), False)
+
+        return step
+
+    light = F.col("pos") < 0
+    ordered = postings.repartition("key").sortWithinPartitions("key", light, F.when(light, F.col("n")).otherwise(F.col("pos")), "sid")
+    return arrow_map(ordered, make, _LISTED)
+
+
 def _tokens(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """Each row's set, with its identity."""
 
@@ -224,35 +331,66 @@ def _tokens(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return arrow_map(docs.select("text"), make, "sid long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Pairs whose sketches allow it alone are read, each set from one document, ``holders`` (sid, id, n and sketch)."""
+def _near_counts(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, n_a, n_b, x, y) the pairs whose counts x and y by cell differ in no more than the threshold allows."""
+
+    def make():
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            differ = np.abs(x - y)
+            near = np.minimum(differ, 256 - differ).sum(axis=1) <= na + nb - 2 * required_of(na, nb, percent)
+            yield {c: batch.column(i).filter(pa.array(near)) for i, c in enumerate(("a", "b"))}
+
+        return step
+
+    return arrow_map(pairs, make, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scanned: DataFrame, holders: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that link, cut. Sets of pairs whose sketches allow it alone are read, each from one document, ``holders`` (sid, id, n and sketch)."""
     for side in ("a", "b"):
         pairs = pairs.join(holders.select(F.col("sid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_PARITIES))), side)
-    pairs = cut(pairs.where(_near_parity("_a", "_b", percent)).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
-    wanted = cut(holders.select("sid", "id").join(wanted, "sid", "left_semi"))
-    few = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda x: x)
-    texts = docs.join(few(wanted.select("id")), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
-    tokens = _tokens(texts, shingle, seed).join(few(wanted.select("sid")), "sid", "left_semi")
+    pairs = cut(pairs.where(_near_parity("_a", "_b", percent)).select("a", "b", "n_a", "n_b"))
+    large = F.least("n_a", "n_b") >= COUNTED_FROM
+    count, counted = pairs.agg(F.count("*"), F.count_if(large)).first()
+    if counted:
+        asked = pairs.where(large)
+        counts = scanned.where(F.col("n") >= COUNTED_FROM).select("sid", "cells").join(sized(cut(_nodes(asked)), BROADCAST_ROWS), "sid", "left_semi").dropDuplicates(["sid"])
+        for side, x in (("a", "x"), ("b", "y")):
+            asked = asked.join(counts.select(F.col("sid").alias(side), F.col("cells").alias(x)), side)
+        pairs = cut(pairs.where(~large).select("a", "b").unionAll(_near_counts(asked.select("a", "b", "n_a", "n_b", "x", "y"), percent)))
+    if not count:
+        return pairs.select("a", "b")
+    wanted = cut(holders.select("sid", "id").join(_nodes(pairs), "sid", "left_semi"))
+    few = sized(wanted, BROADCAST_ROWS)
+    texts = docs.join(few.select("id"), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    tokens = _tokens(texts, shingle, seed).join(few.select("sid"), "sid", "left_semi").repartition("sid")
     left = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
     return cut(linked.distinct())
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return _nodes_of(pairs).distinct()
+
+
 def _least_shared(a: str, b: str, percent: int) -> Column:
     """How many of their rare n-grams two sets of these sizes share at least if they link."""
-    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    na, nb = F.col(a), F.col(b)
     o = required(na, nb, percent)
     spare = lambda n: n - F.ceil(F.lit(percent) * n / F.lit(100.0) - F.lit(1e-9)) + 1 - n + o
     return F.least(spare(na), spare(nb))
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
+def _possible(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
     """Whether sets with these sizes and places of a shared n-gram, the first that they share, can link."""
-    na, nb, pa_, pb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"pos{a}"), F.col(f"pos{b}")
+    (na, pa_), (nb, pb) = ((F.col(n), F.col(p)) for n, p in (a, b))
     least = required(na, nb, percent)
     lists = (F.least(na - pa_, nb - pb) >= least) & (pa_ >= 0) & (pb >= 0)
     subset = (pa_ < 0) & (pb < 0) & (-pa_ >= least)
@@ -276,28 +414,20 @@ def _members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     for seed in range(64):
         scanned = stored(_scan(docs, shingle, seed), "sets")
-        sets = scanned.where("n > 0").groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n").cast("int").alias("n"), F.min("doc_id").alias("doc_id"))
-        if not sets.where("lo <> hi").limit(1).count():
+        sets = scanned.where("n > 0").groupBy("sid").agg((F.min("check") != F.max("check")).alias("clash"), F.min("n").alias("n"))
+        sizes = {r["size"]: r for r in sets.groupBy(F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("size")).agg(F.count("*").alias("count"), F.max("clash").alias("clash")).collect()}
+        if not any(r["clash"] for r in sizes.values()):
             break
     else:
         raise RuntimeError("sets share their identity under every seed")
-    sizes = {r["n"]: r["count"] for r in sets.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-    light = boundary(sizes, percent)
+    light = boundary({n: r["count"] for n, r in sizes.items() if n <= LARGEST_LIGHT}, percent)
     sketch = spark.sparkContext.broadcast(_sketch(scanned))
 
-    postings = _postings(docs, shingle, seed, percent, light, sketch)
-    kind = (F.col("pos") < 0).alias("light")  # a subset key and an n-gram never meet
-    lists = postings.groupBy("key", kind).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # a list of two sets whose sizes cannot link is done
-    lists = lists.where("lo <> hi").where((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most"))).select("key", "light")
-    live = cut(postings.withColumn("light", F.col("pos") < 0).join(lists, ["key", "light"]).groupBy("key", "light", "sid").agg(F.min("n").alias("n"), F.max("pos").alias("pos")))
-    if not live.limit(1).count():
-        labels = None
-    else:
-        labels = _labels(docs, live, scanned, shingle, seed, percent)
+    lists = stored(_listed(_postings(docs, shingle, seed, percent, light, sketch), percent), "lists")
+    labels = _labels(docs, lists, scanned, shingle, seed, percent)
     rows = scanned.where("n >= 0").select("doc_id", "row_hash", "n", "sid")
     if labels is not None:
-        rows = rows.join(sized(labels, BROADCAST_ROWS), rows["sid"] == labels["node"], "left").select("doc_id", "row_hash", "n", F.coalesce("component", "sid").alias("group"))
+        rows = rows.join(sized(labels, BROADCAST_ROWS), rows["sid"] == labels["node"], "left").select("doc_id", "row_hash", "n", F.coalesce("up", "sid").alias("group"))
     else:
         rows = rows.select("doc_id", "row_hash", "n", F.col("sid").alias("group"))
     named = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").select("group", "component_id", F.lit(True).alias("tied"))
@@ -305,60 +435,53 @@ def _members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.join(sized(named, BROADCAST_ROWS), "group", "left")
 
 
-def _labels(docs: DataFrame, live: DataFrame, scanned: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
-    """(node, component) of the sets that link with another."""
-    wanted = live.select("sid").distinct()
-    known = scanned.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid")
-    holders = stored(known.agg(F.min("doc_id").alias("id"), F.min("n").cast("int").alias("n"), *(F.min(p).alias(p) for p in _PARITIES)), "holders")
-    verified = lambda pairs: _verified(pairs, docs, holders, shingle, seed, percent)
-
-    # m: sets in the list; wide: in how many lists of three or more a set stands
-    lists = live.withColumn("m", F.count("*").over(Window.partitionBy("key", "light")))
-    lists = cut(lists.withColumn("wide", F.sum((~F.col("light") & (F.col("m") > 2)).cast("int")).over(Window.partitionBy("sid"))))
-    edges = labels = None
-    for by in ("first", "links"):
-        # a list of two is done with its leader's one pair
-        now = lists if labels is None else lists.where("m > 2")
-        order = F.lit(0).cast("long")
-        if labels is not None:
-            links = edges.select(F.col("a").alias("sid")).unionAll(edges.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("links"))
-            now = now.join(links, "sid", "left")
-            order = -F.coalesce("links", F.lit(0).cast("long"))
-        # in a group of an equal subset the smallest set is the leader: it links with all that link with any;
-        # in a list the one with the fewest rarer n-grams, which are those that it has alone
-        rank = F.struct(F.when(F.col("light"), F.col("n").cast("long")).otherwise(order).alias("r"), "pos", "sid", "n", "wide")
-        leaders = now.groupBy("key", "light").agg(F.min(rank).alias("l")).select("key", "light", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("sid", "n", "pos", "wide")))
-        pairs = now.select("key", "light", *(F.col(c).alias(f"{c}_m") for c in ("sid", "n", "pos", "wide"))).join(leaders, ["key", "light"])
-        # every shared n-gram counts, one of them, the first, must be in places that allow a link
-        pairs = pairs.where(F.col("sid_l") != F.col("sid_m")).where(100 * F.least("n_l", "n_m") >= percent * F.greatest("n_l", "n_m"))
-        pairs = pairs.groupBy(F.least("sid_l", "sid_m").alias("a"), F.greatest("sid_l", "sid_m").alias("b")).agg(
-            F.count("*").alias("c"), F.max("light").alias("light"), F.max(F.least("wide_l", "wide_m")).alias("more"), F.min(_least_shared("_l", "_m", percent)).alias("least"), F.max(_possible("_l", "_m", percent)).alias("possible")
-        )
-        pairs = pairs.where("possible").where(F.col("light") | (F.col("c") + F.col("more") >= F.col("least"))).select("a", "b")
-        if labels is not None:
-            pairs = _across(pairs, labels)
-        got = verified(pairs)
-        edges = got if edges is None else edges.unionAll(got)
-        labels = components(edges)
+def _labels(docs: DataFrame, lists: DataFrame, scanned: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame | None:
+    """(node, up) of the sets that link with another: sets with the same ``up`` are one component. None if no two link."""
+    holders = scanned.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.min("n").cast("int").alias("n"), *(F.min(p).alias(p) for p in _PARITIES))
+    holders = stored(holders, "holders")
+    verified = lambda pairs: _verified(pairs, docs, scanned, holders, shingle, seed, percent)
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    ratio = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
+
+    # wide: in how many lists of three or more a set stands; two sets share no more of them than either has
+    near = lists.withColumn("wide", F.sum((~F.col("light") & (F.col("m") > 2)).cast("int")).over(Window.partitionBy("sid"))).where((F.col("sid") != F.col("l_sid")) & ratio)
+    # every shared n-gram counts, one of them, the first, must be in places that allow a link
+    near = near.groupBy(*ordered("sid", "l_sid")).agg(
+        F.count("*").alias("c"), F.max("light").alias("light"), F.max(F.col("m") == 2).alias("two"), F.min("wide").alias("more"), F.min(_least_shared("n", "l_n", percent)).alias("least"),
+        F.max(_possible(("n", "pos"), ("l_n", "l_pos"), percent)).alias("possible"),
+    )
+    # a pair with a list of its own is judged here for good, though its first n-gram may stand in a list with another leader
+    first = F.col("possible") | (F.col("two") & (F.col("more") > 0))
+    edges = verified(near.where(first & (F.col("light") | (F.col("c") + F.col("more") >= F.col("least")))).select("a", "b"))
+
+    # a second leader of long lists: the one with the most links, so that what is left apart in them is little
+    long = lists.where(~F.col("light") & (F.col("m") >= BIG)).select("key", "sid", "n", "pos")
+    if not edges.isEmpty() and not long.isEmpty():
+        links = _nodes_of(edges).groupBy("sid").agg(F.count("*").alias("links"))
+        known = cut(hooked(edges).join(links.withColumnRenamed("sid", "node"), "node"))
+        now = long.join(sized(known, BROADCAST_ROWS), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "pos", F.coalesce("up", "sid").alias("up"), (-F.coalesce("links", F.lit(0).cast("long"))).alias("r"))
+        leaders = now.groupBy("key").agg(F.min(F.struct("r", "pos", "sid", "n", "up")).alias("l")).select("key", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "pos", "up")))
+        pairs = now.join(leaders, "key").where((F.col("up") != F.col("l_up")) & _possible(("n", "pos"), ("l_n", "l_pos"), percent))
+        edges = cut(edges.unionAll(verified(pairs.select(*ordered("sid", "l_sid")).distinct())))
+    labels = contracted(edges)
+
     # what is still apart: sizes in bands of the threshold's ratio, each set meets larger ones of its own band and the next
-    named = lists.where("not light and m > 2").select("key", "sid", "n", "pos").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_lists = cut(named.join(apart, "key", "left_semi").join(holders.select("sid", *_PARITIES), "sid"))
+    named = lists.where("not light and m > 2").select("key", "sid", "n", "pos").join(sized(labels, BROADCAST_ROWS), F.col("sid") == F.col("node"), "left").withColumn("up", F.coalesce("up", "sid")).drop("node")
+    one = Window.partitionBy("key")
+    apart = cut(named.withColumn("lo", F.min("up").over(one)).withColumn("hi", F.max("up").over(one)).where("lo <> hi").drop("lo", "hi"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    side = lambda x: open_lists.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos", "component", *_PARITIES)), (F.explode(F.array(band, band + 1)) if x == "a" else band).alias("band"))
-    a, b = side("a"), side("b")
+    side = lambda x: apart.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos", "up")), (F.explode(F.array(band, band + 1)) if x == "a" else band).alias("band"))
     smaller = F.struct("n_a", "sid_a") < F.struct("n_b", "sid_b")
-    on = (a["key"] == b["key"]) & (a["band"] == b["band"]) & smaller & (F.col("component_a") != F.col("component_b")) & _possible("_a", "_b", percent) & _near_parity("_a", "_b", percent)
-    pairs = a.join(b, on).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
-    return components(edges.unionAll(verified(pairs)))
+    pairs = side("a").join(side("b"), ["key", "band"]).where(smaller & (F.col("up_a") != F.col("up_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    pairs = pairs.groupBy(*ordered("sid_a", "sid_b")).agg(F.count("*").alias("c"), F.min(_least_shared("n_a", "n_b", percent)).alias("least"), F.max(_possible(("n_a", "pos_a"), ("n_b", "pos_b"), percent)).alias("possible"))
+    more = verified(pairs.where(F.col("possible") & (F.col("c") >= F.col("least"))).select("a", "b"))
+    if not more.isEmpty():
+        labels = contracted(labels.select(F.col("node").alias("a"), F.col("up").alias("b")).unionAll(more))
+    return None if labels.isEmpty() else labels
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose sets are in different components so far."""
-    known = sized(labels, BROADCAST_ROWS)
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
