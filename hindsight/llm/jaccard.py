@@ -24,9 +24,8 @@ A list is not expanded into its pairs. First every list offers only its leader's
 list of ``BIG`` sets or more those of a second leader, the set with the most links so far. What is
 verified joins components. The last round takes the pairs of a list that are still in different
 components and pass the bounds; it loses no link between components, and pairs within one are
-not needed to know the classes. A pair that also shares a list of two has been judged in the first
-round, so in the last one the lists that it shares are all of its rare n-grams, and their number
-is held against the threshold.
+not needed to know the classes. A pair is judged at the first n-gram that it shares: where one of
+the two leads that list in the first round, else in the last.
 
 Each set has a parity sketch: 512 bits, of which every n-gram flips the one that its hash names.
 Two sketches differ in no more bits than the sets in n-grams, so a pair whose sketches differ in
@@ -242,18 +241,23 @@ def compatible(na: np.ndarray, nb: np.ndarray, pa: np.ndarray, pb: np.ndarray, p
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((pa >= 0) | (-pa >= required_of(na, nb, percent)))
 
 
-_LISTED = "key long, light boolean, sid long, n int, pos int, m int, l_sid long, l_n int, l_pos int"
+def possible_of(na: np.ndarray, nb: np.ndarray, pa: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
+    """``_possible`` in numpy, for places in lists."""
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pa, nb - pb) >= required_of(na, nb, percent))
+
+
+_LISTED = "key long, light boolean, sid long, n int, pos int, m int, open boolean, l_sid long, l_n int, l_pos int"
 
 
 def _listed(postings: DataFrame, percent: int) -> DataFrame:
-    """The sets of each list of two or more that may hold a link, with the list's size m (from those held at once) and leader."""
+    """The sets of each list of two or more that may hold a link, with the list's size m (from those held at once) and leader; ``open`` where the list may show it a link with another set than the leader."""
 
     def make():
         held: list[pa.Table] = []
         led: list[tuple] = []  # key, kind and leader of a list too long to be held, of which rows have gone out
 
-        def rows(key, light, sid, n, pos, m, leader):
-            return {"key": pa.array(key), "light": pa.array(light), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "m": pa.array(m.astype(np.int32))} | {
+        def rows(key, light, sid, n, pos, m, free, leader):
+            return {"open": pa.array(free), "key": pa.array(key), "light": pa.array(light), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "m": pa.array(m.astype(np.int32))} | {
                 f"l_{c}": pa.array(x) for c, x in zip(("sid", "n", "pos"), leader, strict=True)
             }
 
@@ -284,7 +288,7 @@ def _listed(postings: DataFrame, percent: int) -> DataFrame:
                 mine = (key == k) & (light == kind)
                 if mine.any():
                     size = int(mine.sum())
-                    yield rows(key[mine], light[mine], sid[mine], n[mine], pos[mine], np.full(size, HELD), [np.full(size, x, dtype=t) for x, t in zip(leader, (np.int64, np.int32, np.int32), strict=True)])
+                    yield rows(key[mine], light[mine], sid[mine], n[mine], pos[mine], np.full(size, HELD), ~light[mine], [np.full(size, x, dtype=t) for x, t in zip(leader, (np.int64, np.int32, np.int32), strict=True)])
                     number, key, sid, n, pos, light = (x[~mine] for x in (number, key, sid, n, pos, light))
             del led[:-1]
             alive = sizes[number] > NEAR + 1
@@ -300,8 +304,15 @@ def _listed(postings: DataFrame, percent: int) -> DataFrame:
                 return
             first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
             m = np.diff(np.append(first, len(number)))
-            at = np.repeat(first, m)
-            yield rows(key, light, sid, n, pos, np.repeat(m, m), [sid[at], n[at].astype(np.int32), pos[at].astype(np.int32)])
+            at, m = np.repeat(first, m), np.repeat(m, m)
+            follows = (at != np.arange(len(at))) & ~light
+            free = follows & (m > NEAR + 1)
+            for d in range(1, min(NEAR, len(at))):
+                i = np.flatnonzero((number[d:] == number[:-d]) & follows[:-d] & (m[d:] <= NEAR + 1))
+                i = i[possible_of(n[i], n[i + d], pos[i], pos[i + d], percent)]
+                free[i] = True
+                free[i + d] = True
+            yield rows(key, light, sid, n, pos, m, free, [sid[at], n[at].astype(np.int32), pos[at].astype(np.int32)])
 
         def step(batch):
             if batch is None:
@@ -447,12 +458,10 @@ def _labels(docs: DataFrame, lists: DataFrame, scanned: DataFrame, shingle: int,
     near = lists.withColumn("wide", F.sum((~F.col("light") & (F.col("m") > 2)).cast("int")).over(Window.partitionBy("sid"))).where((F.col("sid") != F.col("l_sid")) & ratio)
     # every shared n-gram counts, one of them, the first, must be in places that allow a link
     near = near.groupBy(*ordered("sid", "l_sid")).agg(
-        F.count("*").alias("c"), F.max("light").alias("light"), F.max(F.col("m") == 2).alias("two"), F.min("wide").alias("more"), F.min(_least_shared("n", "l_n", percent)).alias("least"),
+        F.count("*").alias("c"), F.max("light").alias("light"), F.min("wide").alias("more"), F.min(_least_shared("n", "l_n", percent)).alias("least"),
         F.max(_possible(("n", "pos"), ("l_n", "l_pos"), percent)).alias("possible"),
     )
-    # a pair with a list of its own is judged here for good, though its first n-gram may stand in a list with another leader
-    first = F.col("possible") | (F.col("two") & (F.col("more") > 0))
-    edges = verified(near.where(first & (F.col("light") | (F.col("c") + F.col("more") >= F.col("least")))).select("a", "b"))
+    edges = verified(near.where(F.col("possible") & (F.col("light") | (F.col("c") + F.col("more") >= F.col("least")))).select("a", "b"))
 
     # a second leader of long lists: the one with the most links, so that what is left apart in them is little
     long = lists.where(~F.col("light") & (F.col("m") >= BIG)).select("key", "sid", "n", "pos")
@@ -466,15 +475,16 @@ def _labels(docs: DataFrame, lists: DataFrame, scanned: DataFrame, shingle: int,
     labels = contracted(edges)
 
     # what is still apart: sizes in bands of the threshold's ratio, each set meets larger ones of its own band and the next
-    named = lists.where("not light and m > 2").select("key", "sid", "n", "pos").join(sized(labels, BROADCAST_ROWS), F.col("sid") == F.col("node"), "left").withColumn("up", F.coalesce("up", "sid")).drop("node")
+    named = lists.where("open").select("key", "sid", "n", "pos").join(sized(labels, BROADCAST_ROWS), F.col("sid") == F.col("node"), "left").withColumn("up", F.coalesce("up", "sid")).drop("node")
     one = Window.partitionBy("key")
-    apart = cut(named.withColumn("lo", F.min("up").over(one)).withColumn("hi", F.max("up").over(one)).where("lo <> hi").drop("lo", "hi"))
+    apart = named.withColumn("lo", F.min("up").over(one)).withColumn("hi", F.max("up").over(one)).where("lo <> hi").drop("lo", "hi")
+    apart = cut(apart.join(holders.select("sid", *_PARITIES), "sid"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    side = lambda x: apart.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos", "up")), (F.explode(F.array(band, band + 1)) if x == "a" else band).alias("band"))
+    side = lambda x: apart.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos", "up", *_PARITIES)), (F.explode(F.array(band, band + 1)) if x == "a" else band).alias("band"))
     smaller = F.struct("n_a", "sid_a") < F.struct("n_b", "sid_b")
-    pairs = side("a").join(side("b"), ["key", "band"]).where(smaller & (F.col("up_a") != F.col("up_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
-    pairs = pairs.groupBy(*ordered("sid_a", "sid_b")).agg(F.count("*").alias("c"), F.min(_least_shared("n_a", "n_b", percent)).alias("least"), F.max(_possible(("n_a", "pos_a"), ("n_b", "pos_b"), percent)).alias("possible"))
-    more = verified(pairs.where(F.col("possible") & (F.col("c") >= F.col("least"))).select("a", "b"))
+    x, y = side("a"), side("b")
+    on = (x["key"] == y["key"]) & (x["band"] == y["band"]) & smaller & (F.col("up_a") != F.col("up_b")) & _possible(("n_a", "pos_a"), ("n_b", "pos_b"), percent) & _near_parity("_a", "_b", percent)
+    more = verified(x.join(y, on).select(*ordered("sid_a", "sid_b")).distinct())
     if not more.isEmpty():
         labels = contracted(labels.select(F.col("node").alias("a"), F.col("up").alias("b")).unionAll(more))
     return None if labels.isEmpty() else labels
