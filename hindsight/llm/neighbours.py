@@ -1,9 +1,12 @@
 """Approximate nearest neighbours: a graph built by NN-descent in Spark joins, searched greedily.
 
-Equal vectors are one node. Vectors get one more component that makes all norms equal, so that
-the largest inner product and the nearest neighbour agree on the graph; queries have 0 there.
+Equal vectors are one node. Vectors get one more component, kept apart from the others, that makes
+all norms equal, so that the largest inner product and the nearest neighbour agree on the graph;
+queries have 0 there. Nodes are compared by minus half the squared distance, which stays exact
+beside a vector of a far larger norm.
 
-NN-descent starts from blocks of vectors that fall on the same side of random hyperplanes. In
+NN-descent starts from blocks of neighbours in the order of the signs towards random hyperplanes,
+of ``BLOCK`` to twice as many nodes (or all, if there are fewer) however the rows are partitioned. In
 each round every node sends its vector (in 8 bits a component) to the nodes that it knows or that
 know it; each node compares what it got, new against all, and tells both of each better pair; every
 node keeps its best ``degree``. Reverse lists are cut to ``degree`` by a hash, so a hub receives no
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, release, stored
 
 DEGREE = 32
-ROUNDS = 7
+ROUNDS = 8
 SETTLED = 0.02
-BEAM = 96
-EXPAND = 24
+BEAM = 160
+EXPAND = 40
 BLOCK = 128
 TOLD = 5
 
@@ -49,7 +52,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
-    """node, v, x (float32 with the levelling component, for search) and q (8 bits with a scale, for building)."""
+    """node, v, x (float32, for search) and q (8 bits a component with a scale, and the levelling component, for building)."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     top = vectors.agg(F.max(norm)).first()[0] or 0.0
 
@@ -60,11 +63,10 @@ def _nodes(vectors: DataFrame) -> DataFrame:
             v = _matrix(batch.column(1))
             level = np.sqrt(np.maximum(0.0, top - np.einsum("ij,ij->i", v, v)))
             level[level < 1e-6 * np.sqrt(top)] = 0
-            x = np.concatenate([v, level[:, None]], axis=1).astype(np.float32)
-            scale = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
-            q = np.round(x / scale[:, None]).astype(np.int8)
-            packed = np.concatenate([scale.astype("<f4")[:, None].view(np.int8), q], axis=1)
-            yield {"node": batch.column(0), "v": batch.column(1), "x": [r.tobytes() for r in x], "q": [r.tobytes() for r in packed]}
+            scale = np.maximum(np.abs(v).max(axis=1), 1e-30) / 127
+            q = np.round(v / scale[:, None]).astype(np.int8)
+            packed = np.concatenate([scale.astype("<f4")[:, None].view(np.int8), level.astype("<f4")[:, None].view(np.int8), q], axis=1)
+            yield {"node": batch.column(0), "v": batch.column(1), "x": [r.tobytes() for r in v.astype("<f4")], "q": [r.tobytes() for r in packed]}
 
         return step
 
@@ -84,9 +86,48 @@ def _raw(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
 
 
-def _from_q(column: pa.Array) -> np.ndarray:
+def _from_q(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and their levelling components."""
     raw = _raw(column)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return raw[:, 8:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4"), np.ascontiguousarray(raw[:, 4:8]).view("<f4")[:, 0]
+
+
+def _closeness(x: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Minus half the squared distance of each pair."""
+    half = np.einsum("ij,ij->i", x, x) / 2
+    return x @ x.T - half[:, None] - half[None, :] - (level[:, None] - level[None, :]) ** 2 / 2
+
+
+def _in_groups(columns: tuple[str, ...], work):
+    """``arrow_map``'s function over whole groups of equal values of the first column, in which the rows are sorted."""
+
+    def make():
+        held: list[pa.RecordBatch] = []
+
+        def groups(batch, final):
+            at = batch.column(batch.schema.get_field_index(columns[0])).to_numpy()
+            cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
+            if final:
+                cuts = np.append(cuts, len(at))
+            held.clear()
+            if not len(cuts):
+                held.append(batch)
+                return
+            if cuts[-1] < len(at):
+                held.append(batch.slice(int(cuts[-1])))
+            yield from work(batch.slice(0, int(cuts[-1])), cuts.tolist())
+
+        def step(batch):
+            if batch is None:
+                if held:
+                    yield from groups(held[0], True)
+                return
+            if batch.num_rows:
+                yield from groups(pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch, False)
+
+        return step
+
+    return make
 
 
 def _start(nodes: DataFrame, dims: int, seed: int, degree: int, count: int) -> DataFrame:
@@ -98,31 +139,39 @@ def _start(nodes: DataFrame, dims: int, seed: int, degree: int, count: int) -> D
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            side = _from_q(batch.column(1)) @ planes > 0
+            x, level = _from_q(batch.column(1))
+            side = x @ planes[:-1] + level[:, None] * planes[-1] > 0
             yield {"node": batch.column(0), "q": batch.column(1), "at": side.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))}
 
         return step
 
     signed = arrow_map(nodes.select("node", "q"), sign, "node long, q binary, at long")
-    ordered = signed.repartitionByRange("at", "node").sortWithinPartitions("at", "node")
-
-    def blocks():
-        def step(batch):
-            if batch is None:
-                return
-            ids, x = batch.column(0).to_numpy(), _from_q(batch.column(1)) if batch.num_rows else None
-            for a in range(0, batch.num_rows, BLOCK):
-                own, s = ids[a : a + BLOCK], x[a : a + BLOCK] @ x[a : a + BLOCK].T
-                np.fill_diagonal(s, -np.inf)
-                k = min(degree, len(own) - 1)
-                if k < 1:
-                    continue
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield {"u": np.repeat(own, k), "w": own[best].ravel(), "sim": np.take_along_axis(s, best, axis=1).ravel()}
-
-        return step
-
-    return arrow_map(ordered, blocks, "u long, w long, sim float")
+    # the global place of a node: its place in its part of the order, which is written, and the sizes of the parts before
+    place = F.monotonically_increasing_id()
+    ordered = stored(signed.repartitionByRange("at", "node").sortWithinPartitions("at", "node").select("node", "q", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("i")), "order")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()  # as many rows as tasks
+    before, sizes = 0, []
+    for r in parts:
+        sizes.append((r["part"], before))
+        before += r["rows"]
+    starts = nodes.sparkSession.createDataFrame(sizes, "part long, before long")
+    blocks = max(1, count // BLOCK)
+    ranked = ordered.join(F.broadcast(starts), "part").select(F.floor((F.col("before") + F.col("i")) * blocks / count).alias("block"), "node", "q")
+
+    def best(batch, cuts):
+        ids, (x, level) = batch.column(1).to_numpy(), _from_q(batch.column(2))
+        a = 0
+        for b in cuts:
+            own, s = ids[a:b], _closeness(x[a:b], level[a:b])
+            a = b
+            np.fill_diagonal(s, -np.inf)
+            k = min(degree, len(own) - 1)
+            if k < 1:
+                continue
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            yield {"u": np.repeat(own, k), "w": own[near].ravel(), "sim": np.take_along_axis(s, near, axis=1).ravel()}
+
+    return arrow_map(ranked.repartition("block").sortWithinPartitions("block", "node"), _in_groups(("block",), best), "u long, w long, sim float")
 
 
 def _keep(pairs: DataFrame, degree: int) -> DataFrame:
@@ -141,56 +190,30 @@ def _reverse(links: DataFrame, degree: int) -> DataFrame:
 def _meet(messages: DataFrame, told: int) -> DataFrame:
     """At each node, the pairs of what it received that improve one of the two: (u, w, sim)."""
 
-    def make():
-        held: list[pa.RecordBatch] = []
-
-        def groups(table, final):
-            """Whole groups of the table; what may go on in the next batch is held back."""
-            at = table.column("at").to_numpy()
-            cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
-            if final:
-                cuts = np.append(cuts, len(at))
-            held.clear()
-            if not len(cuts):
-                held.append(table)
-                return
-            if cuts[-1] < len(at):
-                held.append(table.slice(int(cuts[-1])))
-            ids, old, least = (table.column(c).to_numpy(zero_copy_only=False) for c in ("u", "old", "least"))
-            x = _from_q(table.column("q"))
-            us, ws, sims = [], [], []
-            a = 0
-            for b in cuts.tolist():
-                if b - a > 1:
-                    s = x[a:b] @ x[a:b].T
-                    own = ids[a:b]
-                    s[own[:, None] == own[None, :]] = -np.inf
-                    fresh = ~old[a:b]
-                    s[~(fresh[:, None] | fresh[None, :])] = -np.inf
-                    k = min(told, b - a - 1)
-                    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    got = np.take_along_axis(s, best, axis=1)
-                    row, column = np.nonzero(got > least[a:b][:, None])
-                    us.append(own[row])
-                    ws.append(own[best[row, column]])
-                    sims.append(got[row, column])
-                a = b
-            if us:
-                yield {"u": np.concatenate(us), "w": np.concatenate(ws), "sim": np.concatenate(sims).astype(np.float32)}
-
-        def step(batch):
-            if batch is None:
-                if held:
-                    yield from groups(held[0], True)
-                return
-            if not batch.num_rows:
-                return
-            table = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches() if held else [batch]
-            yield from groups(table[0], False)
-
-        return step
+    def compare(batch, cuts):
+        ids, old, least = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("u", "old", "least"))
+        x, level = _from_q(batch.column(batch.schema.get_field_index("q")))
+        us, ws, sims = [], [], []
+        a = 0
+        for b in cuts:
+            if b - a > 1:
+                s = _closeness(x[a:b], level[a:b])
+                own = ids[a:b]
+                s[own[:, None] == own[None, :]] = -np.inf
+                fresh = ~old[a:b]
+                s[~(fresh[:, None] | fresh[None, :])] = -np.inf
+                k = min(told, b - a - 1)
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                got = np.take_along_axis(s, best, axis=1)
+                row, column = np.nonzero(got > least[a:b][:, None])
+                us.append(own[row])
+                ws.append(own[best[row, column]])
+                sims.append(got[row, column])
+            a = b
+        if us:
+            yield {"u": np.concatenate(us), "w": np.concatenate(ws), "sim": np.concatenate(sims).astype(np.float32)}
 
-    return arrow_map(messages, make, "u long, w long, sim float")
+    return arrow_map(messages, _in_groups(("at",), compare), "u long, w long, sim float")
 
 
 def build(nodes: DataFrame, dims: int, count: int, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED, told: int = TOLD, seed: int = 11) -> DataFrame:
@@ -221,7 +244,7 @@ def _similar(rows: DataFrame) -> DataFrame:
             if batch is None or not batch.num_rows:
                 return
             a = np.ascontiguousarray(_raw(batch.column(2))).view("<f4")
-            yield {"query": batch.column(0), "node": batch.column(1), "sim": np.einsum("ij,ij->i", a, _from_q(batch.column(3)))}
+            yield {"query": batch.column(0), "node": batch.column(1), "sim": np.einsum("ij,ij->i", a, _from_q(batch.column(3))[0])}
 
         return step
 
@@ -271,9 +294,8 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     else:
         links = build(nodes, dims[0] + 1, count, degree)
         own = nodes.select(F.col("node").alias("query"), "x").join(asked.select("query").distinct(), "query", "left_semi")
-        reached = search(nodes, links, _flat(own), degree, beam)
-    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    near = reached.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * top + 10).select("query", "node")
+        reached = search(nodes, links, own.select("query", F.col("x").alias("a")), degree, beam)
+    near = reached.select("query", "node")
     a, b = nodes.select(F.col("node").alias("query"), F.col("v").alias("a")), nodes.select("node", F.col("v").alias("b"))
     scored = _exact(near.join(a, "query").join(b, "node"))
     pairs = asked.join(scored, "query").join(members, "node").where("query_id <> vec_id")
@@ -281,12 +303,6 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _flat(rows: DataFrame) -> DataFrame:
-    """Queries with 0 as the levelling component."""
-    zero = F.unhex(F.lit("00000000"))
-    return rows.select("query", F.concat(F.expr("substring(x, 1, length(x) - 4)"), zero).alias("a"))
-
-
 def _exact(rows: DataFrame) -> DataFrame:
     def make():
         def step(batch):

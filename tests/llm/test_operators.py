@@ -489,3 +489,50 @@ def test_pipeline_stages(spark):
         d = spark.createDataFrame(out.collect(), out.schema)
     assert p.STAGES[-1][1](spark, d, DATA).agg({"length": "sum"}).first()[0] > 0
     assert p.run(spark, DATA).count() > 0
+
+
+# search by partitions
+
+
+@pytest.mark.parametrize("n", [2, 12, 60, 300])
+def test_every_query_is_answered_with_more_partitions_than_rows(spark, n):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(n).standard_normal((n, 8))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hits = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.argsort(-s)[: min(20, n - 1)].tolist()
+        assert [r for r, _ in sorted(got[q])] == list(range(1, len(want) + 1))
+        hits += len(set(want) & {i for _, i in got[q]}) / len(want)
+    assert hits / len(got) >= 0.95
+
+
+def test_a_vector_of_far_larger_norm_does_not_blur_the_others(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1000
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(rows, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, mine in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(mine & set(np.argsort(-s)[:20].tolist())) / 20
+    assert len(got) == 6 and hits / 6 >= 0.9
