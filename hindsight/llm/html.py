@@ -2,9 +2,15 @@
 
 A page becomes one sequence: each word scores positive, each tag scores negative, with
 weights that are counted from labelled pages. One linear scan finds the contiguous run with
-the greatest sum; its words are the main text. Elements that are no part of any article
+the greatest sum; its words are the main text. Words of links weigh by their own log-odds where no
+article or main element holds them. Elements that are no part of any article
 (menus, sidebars, forms, scripts, adverts, notices, reader comments) leave the sequence
 first, wherever they stand, so neither does their text appear nor does it split an article.
+
+Names of classes mislead. Where the page has article or main elements and all of them would leave
+with what holds them, they stay; where nothing at all is left, the page is read once more without
+regard to names and forms. A form that holds a heading h1, an article or a main element is a frame of
+the whole page, not a form.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from .labelled_pages import PAGES
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title|button|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*>|<[!?/][^>]*>",
     re.I | re.S,
@@ -36,8 +42,8 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose open state matters; the others end where a block begins or never hold blocks.
-TRACKED = BLOCKS - frozenset("hr".split()) | frozenset("span a ins font".split())
-NEVER = frozenset("head nav footer aside form menu dialog fieldset".split())
+TRACKED = BLOCKS - frozenset("hr".split()) | frozenset("span a ins font button select object".split())
+NEVER = frozenset("head nav footer aside form menu dialog fieldset button select object".split())
 #: Parts of class, id and role names that mark what is no part of an article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies "
@@ -50,63 +56,130 @@ def _marked(attrs: str) -> bool:
     return any(part in MARKS for m in _MARKING.finditer(attrs) for part in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
-def tokens(page: str) -> list[tuple[str, str]]:
-    """("", text) and (name or /name, "") of what may belong to an article, in order."""
+_FORM = re.compile(r"<(/?)form\b|<(?:h1|article|main)\b", re.I)
+
+
+def _frames(page: str) -> frozenset[int]:
+    """Where the forms begin that hold a heading, an article or a main element."""
+    found, at = set(), None
+    for m in _FORM.finditer(page):
+        if m[1] is None:
+            if at is not None:
+                found.add(at)
+        else:
+            at = None if m[1] else m.start()
+    return frozenset(found)
+
+
+class Open:
+    """The open elements, with how many of each name there are, so that a page is read in linear time."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.left: list[bool] = []
+        self.count: Counter = Counter()
+        self.out: Counter = Counter()  # of those that are left out
+
+    def push(self, name: str, left: bool) -> None:
+        self.names.append(name)
+        self.left.append(left)
+        self.count[name] += 1
+        self.out[name] += left
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.count[name] -= 1
+        self.out[name] -= self.left.pop()
+        return name
+
+    def skipping(self) -> bool:
+        return bool(self.left) and self.left[-1]
+
+    def within(self) -> bool:
+        return bool(self.count["article"] or self.count["main"])
+
+
+def tokens(page: str, lift: bool = False, names: bool = True) -> list[tuple[str, str]]:
+    """("", text), or ("a", text) of a link outside articles, and (name or /name, "") of what may belong to an article, in order.
+
+    With ``lift``, article and main elements stay whatever holds them; without ``names``, classes and
+    forms are not looked at.
+    """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether they or what holds them are left out
-    at, skipping = 0, False
+    stack = Open()
+    frames = _frames(page)
+    at = 0
+
+    def said(text):
+        out.append(("a" if stack.count["a"] and not stack.within() else "", text))
+
     for m in _TOKEN.finditer(page):
+        skipping = stack.skipping()
         if m.start() > at and not skipping:
-            out.append(("", page[at : m.start()]))
+            said(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
             continue
         name = name.lower()
         if m["close"]:
-            if name in TRACKED and any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+            if name in TRACKED and stack.count[name]:
+                while stack.pop() != name:
                     pass
-                inside = skipping
-                skipping = bool(stack) and stack[-1][1]
-                if inside:
+                if skipping:
                     continue
         else:
             if name in BLOCKS:
-                while stack and (stack[-1][0] in ("p", "span", "a", "ins", "font") or stack[-1][0] == name == "li"):
+                while stack.names and (stack.names[-1] in ("p", "span", "a", "ins", "font") or stack.names[-1] == name == "li"):
                     stack.pop()  # these end where a block begins
-                skipping = bool(stack) and stack[-1][1]
-            if name in ("article", "main", "body") and skipping and any(n in ("head", "nav", "header") for n, left in stack if left) and not any(n in ("aside", "footer", "form") for n, _ in stack):
-                stack.clear()  # a menu or header that was never closed
+            skipping = stack.skipping()
+            if name in ("article", "main", "body") and skipping and (stack.out["head"] or stack.out["nav"] or stack.out["header"]) and not (stack.count["aside"] or stack.count["footer"] or stack.count["form"]):
+                stack = Open()  # a menu or header that was never closed
                 skipping = False
             if name in TRACKED and not m["attrs"].endswith("/"):
-                within = any(n in ("article", "main") for n, _ in stack)
-                left = skipping or name in NEVER or name == "header" and not within or name not in ("html", "body", "article", "main") and _marked(m["attrs"])
-                left = left or name == "article" and within and _marked(m["attrs"])
-                stack.append((name, left))
-                skipping = left
-        if not skipping:
+                within = stack.within()
+                marked = names and _marked(m["attrs"])
+                never = name in NEVER and not (name == "form" and (not names or m.start() in frames)) and not (name == "fieldset" and not names)
+                left = skipping or never or name == "header" and not within or name not in ("html", "body", "article", "main") and marked
+                left = left or name == "article" and within and marked
+                if lift and name in ("article", "main") and not within and not (name == "article" and marked):
+                    left = False
+                stack.push(name, left)
+        if not stack.skipping():
             out.append(("/" + name if m["close"] else name, ""))
-    if at < len(page) and not skipping:
-        out.append(("", page[at:]))
+    if at < len(page) and not stack.skipping():
+        said(page[at:])
     return out
 
 
+def _sequence(page: str) -> list[tuple[str, str]]:
+    """The page's tokens under the strictest reading that leaves an article, or any text."""
+    has = re.search(r"<(?:article|main)\b", page, re.I)
+    for how in ({}, {"lift": True}, {"lift": True, "names": False}):
+        seq = tokens(page, **how)
+        if any(not t.isspace() for _, t in seq if t) and (not has or any(n in ("article", "main") for n, t in seq if not t) or "names" in how):
+            return seq
+    return seq
+
+
 @cache
-def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float]:
-    """Scores of tags, and of a word, from labelled pages.
+def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float, float]:
+    """Scores of tags, of a word, and of a word of a link outside articles, from labelled pages.
 
     A tag inside the content costs a small share of a word, so that even a block of one word
     adds to the sum. What stands only outside costs several words, by its log-odds; the
     sectioning tags at the edge of the content cost more than any stray line beside it holds.
     """
-    inside, outside, edge = Counter(), Counter(), Counter()
+    inside, outside, edge, words = Counter(), Counter(), Counter(), Counter()
     for page in pages:
         before, content, after = re.split(r"\[\[|\]\]", page)
-        inside.update(n for n, _ in tokens(content) if n)
+        inside.update(n for n, t in tokens(content) if not t)
+        words.update({("in", n): len(t.split()) for n, t in tokens(content) if t})
         for part, side in ((before, -1), (after, 0)):
-            names = [n for n, _ in tokens(part) if n]
+            names = [n for n, t in tokens(part) if not t]
             outside.update(names)
+            for n, t in tokens(part):
+                words["out", n] += len(t.split())
             if names:
                 edge[names[side]] += 1
     scores = {}
@@ -115,18 +188,18 @@ def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float]:
         scores[name] = -0.05 if i else -max(0.5, math.log((o + 1) / (i + 1)))
         if edge[name] and not i:
             scores[name] = -20.0 * (1 + math.log(edge[name]))
-    return scores, 1.0
+    return scores, 1.0, min(0.0, math.log((words["in", "a"] + 1) / (words["out", "a"] + 1)))
 
 
 def main_text(page: str | None) -> str:
     """The text of the best run: blocks in page order, joined by one newline; empty if there is none."""
     if not page:
         return ""
-    scores, word = weights()
-    seq = tokens(page)
+    scores, word, link = weights()
+    seq = _sequence(page)
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, (name, text) in enumerate(seq):
-        total += scores.get(name, -0.3) if name else word * len(text.split())
+        total += (link if name else word) * len(text.split()) if text else scores.get(name, -0.3)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -134,7 +207,7 @@ def main_text(page: str | None) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     for name, text in seq[best_from:best_to]:
-        if not name:
+        if text:
             parts.append(html.unescape(text))
         elif name == "br" or name == "/br":
             parts.append(" ")
@@ -151,7 +224,8 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each page, one row for each row.
 
-    Null or empty html, and pages without text, give the empty text. Null ids and urls and
+    Null or empty html, and pages without text, give the empty text; very long pages take time in
+    proportion to their length. Null ids and urls and
     repeated rows pass through; columns other than the three named are not read.
     """
 

@@ -536,3 +536,39 @@ def test_a_vector_of_far_larger_norm_does_not_blur_the_others(spark):
         s[q] = -np.inf
         hits += len(mine & set(np.argsort(-s)[:20].tolist())) / 20
     assert len(got) == 6 and hits / 6 >= 0.9
+
+
+# pages that names or unclosed elements would mislead
+
+
+_WORDS = "The river rose by two metres on Monday and the town closed both of its bridges until the water fell again."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout no-sidebar"><article><p>{_WORDS}</p></article></div></body>',
+        f'<body><div id="comments-open"><article><p>{_WORDS}</p></article></div></body>',
+        f'<body><main><section class="job-search"><p>{_WORDS}</p></section></main></body>',
+        f"<body><aside>Most read<article><p>{_WORDS}</p></article></body>",
+        f"<body><div><button>Like</div><article><p>{_WORDS}</p></article></body>",
+        f"<body><form><h1>{_WORDS}</h1></form></body>",
+        f"<body><form><div><p>{_WORDS}</p></div></form></body>",
+    ],
+)
+def test_names_and_unclosed_elements_do_not_empty_a_page(page):
+    assert html.main_text(page) == _WORDS
+
+
+def test_links_between_articles_do_not_win():
+    links = "".join(f"<li><a href={i}>topic{i}</a></li>" for i in range(60))
+    got = html.main_text(f"<body><article><p>{_WORDS}</p></article><ul>{links}</ul><article><p>{_WORDS}</p></article></body>")
+    assert _WORDS in got and "topic7" not in got
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    html.main_text("<div><font>a" * 50_000)
+    assert time.time() - began < 20
