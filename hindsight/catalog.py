@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .queries import arms, calibration, evaluation, fields, generators, ranking, tables  # noqa: F401
+    from .queries import analysis, arms, calibration, evaluation, fields, generators, ranking, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

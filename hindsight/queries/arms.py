@@ -123,12 +123,14 @@ def volume(spark, sf_dir):
 
 @register("volume_tail")
 def volume_tail(spark, sf_dir):
-    """Upper tail of the hour's count under the dispersed rate: an incomplete beta function."""
-    from ..functions.special import beta_lower
-
-    x = R.volume(C.events(spark, sf_dir)).where("dispersion > 1")
-    shape = F.col("expected") / (F.col("dispersion") - 1)
-    return x.select("ent", "hour", "k", r6(beta_lower(F.col("k").cast("double"), shape, F.col("expected") / (shape + F.col("expected"))), "p"))
+    """Upper tail of each hour's count: Poisson, or, where the dispersion is beyond 1, negative binomial (an incomplete beta function)."""
+    from ..functions.special import beta_lower, gamma_log_lower
+
+    x = R.volume(C.events(spark, sf_dir)).select("ent", "hour", "k", "expected", F.greatest(F.coalesce("dispersion", F.lit(1.0)), F.lit(1.0)).alias("dispersion"))
+    k, spread = F.col("k").cast("double"), F.col("dispersion") > 1
+    shape = F.when(spread, F.col("expected") / (F.col("dispersion") - 1)).otherwise(1.0)
+    p = F.when(spread, beta_lower(k, shape, F.col("expected") / (shape + F.col("expected")))).otherwise(F.exp(gamma_log_lower(k, F.col("expected"))))
+    return x.select("ent", "hour", "k", r6(p, "p"))
 
 
 @register(

@@ -66,11 +66,12 @@ def null_scale(spark, sf_dir):
 
 @register("entity_sample")
 def entity_sample(spark, sf_dir):
-    """Entities whose FNV-1a hash is 0 modulo 4, and all that are labelled."""
+    """Entities whose FNV-1a hash is 0 modulo 4, and all with a labelled event."""
     from ..functions.special import fnv1a
+    from .base import red
 
-    ent = C.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("ent")).distinct()
-    return ent.where(F.pmod(fnv1a("ent").cast("decimal(20,0)"), F.lit(4).cast("decimal(20,0)")) == 0)
+    ent = C.events(spark, sf_dir).groupBy(F.col("ent").cast("string").alias("ent")).agg(F.coalesce(F.max(red()), F.lit(False)).alias("labelled"))
+    return ent.where(F.col("labelled") | (F.pmod(fnv1a("ent").cast("decimal(20,0)"), F.lit(4).cast("decimal(20,0)")) == 0)).select("ent", "labelled")
 
 
 def kinds(e, source: str, fields: list[str]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pandas as pd
@@ -15,7 +16,7 @@ from ..plans.conform import HALF_LIFE, micros
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not sf_dir.startswith("viewfs") else "*.parquet").parquet(sf_dir)
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")
     return s.select(F.col("event_id").alias("off"), F.col("user_id").alias("ent"), micros(F.col("ts")).alias("at"), "event_type")
 
 
@@ -42,11 +43,18 @@ def decayed_novelty(stream: DataFrame, half_life: int = HALF_LIFE, alpha: float
 
 
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives, once what is there has been read."""
-    name = f"t{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives, once what is there has been read: written as Parquet to the shared folder, never to the driver."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="streams-")
+    path = f"{top}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
 def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
