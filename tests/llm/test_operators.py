@@ -572,3 +572,35 @@ def test_open_elements_take_linear_time():
     began = time.time()
     html.main_text("<div><font>a" * 50_000)
     assert time.time() - began < 20
+
+
+# long lists
+
+
+@pytest.mark.parametrize("held", [5, 20, 1000])
+@pytest.mark.parametrize("size", [1, 7, 10])
+def test_a_list_longer_than_what_is_held_keeps_all_sets_and_one_leader(spark, monkeypatch, held, size):
+    import pyarrow as pa
+
+    class Ordered:
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "arrow_map", lambda _, make, __: make())
+    step = jaccard._listed(Ordered(), 90)
+    rows = [(1, s, 100, s // 30) for s in range(100)] + [(2, 7, 100, 0), (2, 8, 100, 1), (2, 9, 300, 2)] + [(3, 5, 100, 0)] + [(4, s, 100, 0) for s in range(50) for _ in range(2)] + [(5, 1, 19, -18), (5, 2, 19, -18)]
+    got = {}
+    for a in [*range(0, len(rows), size), None]:
+        batch = None if a is None else pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + size]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "sid", "n", "pos"])
+        for out in step(batch):
+            for key, sid, leader, m, light in zip(*(out[c].to_pylist() for c in ("key", "sid", "l_sid", "m", "light")), strict=True):
+                got.setdefault(key, []).append((sid, leader, m, light))
+    assert {s for s, *_ in got[1]} == set(range(100)) and {x for _, x, *_ in got[1]} == {0}
+    assert {s for s, *_ in got[4]} == set(range(50)) and {x for _, x, *_ in got[4]} == {0}
+    assert [(s, x, m) for s, x, m, _ in got[2]] == [(7, 7, 2), (8, 7, 2)] and 3 not in got
+    assert [(s, x, light) for s, x, _, light in got[5]] == [(1, 1, True), (2, 1, True)]
+    assert all(m > 2 for k in (1, 4) for _, _, m, _ in got[k])
