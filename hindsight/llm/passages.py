@@ -14,6 +14,11 @@ around each collision the words of both texts are compared and extended over equ
 any gap that the wanted similarity has room for, and a passage counts if it has ``min_words`` words and its shingles' exact Jaccard
 similarity is at least ``percent``.
 
+A frequent phrase can make a document the earliest holder of a value whose passage it does not
+have. Windows in no verified passage are therefore joined once more, by the value together with
+the ten or twenty words on one side of the node, to the earliest holder of those other than the
+one that they were joined to before.
+
 For verification a text is cut into blocks with margins; a block is read where a collision lies
 in it. Words are compared by 32 bits of hash.
 """
@@ -33,6 +38,8 @@ from .common import arrow_map, cut, empty_as, sized, slices, stored, texts_of
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 50
 HASHES, AGREE = 4, 2
+#: How many shingles, end to end, on one side of a node make its surroundings.
+AROUND = 2, 4
 BLOCK, MARGIN = 256, 112
 BROADCAST_ROWS = 250_000
 _U = np.uint64
@@ -102,11 +109,27 @@ def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return c - (x >> 18 & _REACH), c, c + (x >> 4 & _REACH), x & 15
 
 
+def surroundings(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Four times 16 bits for each node: the shingles to its left and to its right as far as each of ``AROUND``; 0 where the text ends before."""
+    out = np.zeros(len(nodes), dtype=np.uint64)
+    shift = 0
+    for sign in (-1, 1):
+        x = np.zeros(len(nodes), dtype=np.uint64)
+        for n in range(1, max(AROUND) + 1):
+            at = nodes + sign * n * SHINGLE
+            inside = (at >= 0) & (at < len(tokens))
+            x = shingles.mix(x ^ tokens[np.where(inside, at, 0)])
+            if n in AROUND:
+                out |= np.where(inside, x >> _U(48) | _U(1), _U(0)) << _U(shift)
+                shift += 16
+    return out.view(np.int64)
+
+
 def _window_rows(docs: DataFrame, hashes: int, width: int) -> DataFrame:
     def make():
         def step(batch):
             for part, texts in shingles.runs(batch) if batch is not None else ():
-                keys, packed, rids, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+                keys, packed, around, rids, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
                 for rid, tokens in zip(part.column(0).to_pylist(), shingles.sequences(texts, SHINGLE), strict=True):
                     if len(tokens) < width:
                         continue
@@ -124,13 +147,14 @@ def _window_rows(docs: DataFrame, hashes: int, width: int) -> DataFrame:
                     wide = right - left + 1 >= width
                     keys.append(own[wide])
                     packed.append(_pack(left, nodes, right, row)[wide])
+                    around.append(surroundings(tokens, nodes[wide]))
                     rids.append(rid)
                     counts.append(int(wide.sum()))
-                yield {"key": pa.array(np.concatenate(keys).view(np.int64)), "rid": pa.array(np.repeat(np.array(rids, dtype=np.int64), counts)), "window": pa.array(np.concatenate(packed))}
+                yield {"key": pa.array(np.concatenate(keys).view(np.int64)), "rid": pa.array(np.repeat(np.array(rids, dtype=np.int64), counts)), "window": pa.array(np.concatenate(packed)), "around": pa.array(np.concatenate(around))}
 
         return step
 
-    return arrow_map(docs, make, "key long, rid long, window long")
+    return arrow_map(docs, make, "key long, rid long, window long, around long")
 
 
 def supported(a: list, ca: list, lb: list, cb: list, rb: list, f: list, width: int, agree: int = AGREE) -> list[tuple[int, int, int]]:
@@ -345,15 +369,35 @@ def _identified(docs: DataFrame) -> DataFrame:
     return marked.select(F.when(F.col("marked"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), empty_as(F.col("text")))).otherwise(F.col("doc_id")).alias("rid"), "doc_id", "text")
 
 
+def _first_holders(windows: DataFrame) -> DataFrame:
+    """Rows of ``windows`` whose key stands in two documents, with the first of them (a) and its first window (wa)."""
+    keys = windows.groupBy("key").agg(F.min(F.struct("rid", "window")).alias("first"), F.max("rid").alias("z")).where("first.rid <> z")
+    return windows.join(keys.select("key", F.col("first.rid").alias("a"), F.col("first.window").alias("wa")), "key")
+
+
+def _open(live: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows by their value and surroundings, of those that were joined in vain: their node is in no passage found in their document."""
+    spans = cut(found.groupBy(F.col("b").alias("rid")).agg(_merge_spans_of()))
+    left = live.where("rid <> a or window <> wa").join(sized(spans, BROADCAST_ROWS // 2), "rid", "left")
+    node = F.shiftright("window", 32)
+    left = left.where(~F.coalesce(F.exists("spans", lambda s: (s["start"] <= node) & (node + SHINGLE <= s["stop"])), F.lit(False)))
+    parts = [(i, F.shiftrightunsigned("around", 16 * i).bitwiseAND(0xFFFF)) for i in range(2 * len(AROUND))]
+    keys = F.array_compact(F.array(*[F.when(part != 0, F.xxhash64("key", F.lit(i), part)) for i, part in parts]))
+    return left.select(F.explode(keys).alias("key"), "rid", "window")
+
+
 def _found(docs: DataFrame, min_words: int, percent: int, hashes: int, agree: int) -> DataFrame:
     """Verified passages: source a, document b, and where they start (and stop in b), in words. ``docs`` has rid and text."""
+    live = stored(_first_holders(_window_rows(docs, hashes, min_words - SHINGLE + 1)), "windows")
+    found = cut(_verified(docs, live, min_words, percent, agree))
+    further = _first_holders(stored(_open(live, found), "open"))
+    return found.unionAll(_verified(docs, further, min_words, percent, agree))
+
+
+def _verified(docs: DataFrame, live: DataFrame, min_words: int, percent: int, agree: int) -> DataFrame:
+    """Passages at the collisions of ``live`` windows with their first holders."""
     width = min_words - SHINGLE + 1
-    windows = _window_rows(docs, hashes, width)
-    keys = windows.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a <> z").select("key", "a")
-    live = stored(windows.join(keys, "key"), "windows")
-    sources = live.where("rid = a").groupBy("key", "a").agg(F.min("window").alias("wa"))
-    others = live.where("rid <> a").select("key", F.col("rid").alias("b"), F.col("window").alias("wb"))
-    hits = others.join(sources, "key").groupBy("b").agg(F.collect_list(F.struct("a", "wa", "wb")).alias("hits"))
+    hits = live.where("rid <> a").groupBy(F.col("rid").alias("b")).agg(F.collect_set(F.struct("a", "wa", F.col("window").alias("wb"))).alias("hits"))
     places = stored(_candidates(hits, width, agree), "places")
     asked = places.select(F.col("a").alias("rid"), F.col("a_block").alias("block")).unionAll(places.select("b", "b_block")).distinct()
     asked = cut(asked.groupBy("rid").agg(F.collect_list("block").alias("blocks")))
@@ -395,7 +439,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT,
 
     Rows doc_id, source_id (the smaller id), spans (from and to, in words of doc_id's text) and
     n_words, the words they cover. Each passage is tied to the earliest documents that share its
-    min-hashes, not to all that hold it. A passage has at least ``min_words`` words in both texts.
+    min-hashes, or these and the words beside them, not to all that hold it. A passage has at least ``min_words`` words in both texts.
 
     Null and empty texts and texts that are shorter hold no passage. Rows that agree in id and
     text are one document; rows with a null or repeated id and different texts are compared with

@@ -330,6 +330,31 @@ def test_passages_with_edits_of_four_words(spark):
     assert len(got) >= 0.9 * len(spans)
 
 
+def masked_passages(count, holders=4):
+    """Pairs of documents that share a passage of 60 words, after documents that hold eight words of it each, so that every shingle stands elsewhere first."""
+    v = vocabulary(10)
+    phrases, first, second, spans = [], [], [], set()
+    for i in range(count):
+        words = prose(5000 + i, 60, v).split(" ")
+        for at in range(0, 56, 4):
+            for k in range(holders):
+                seed = 100_000 + (i * 100 + at) * 10 + k
+                phrases.append(" ".join([prose(seed, 70, v), *words[at : at + 8], prose(-seed, 70, v)]))
+        first.append(" ".join([prose(6000 + i, 80, v), *words, prose(7000 + i, 80, v)]))
+        second.append(" ".join([prose(8000 + i, 80, v), *words, prose(9000 + i, 80, v)]))
+    texts = phrases + first + second
+    for i in range(count):
+        spans.add((len(phrases) + count + i, len(phrases) + i))
+    return texts, spans
+
+
+def test_passages_whose_shingles_all_stand_elsewhere_first(spark):
+    texts, spans = masked_passages(40)
+    got = {(r["doc_id"], r["source_id"]): [(x["start"], x["stop"]) for x in r["spans"]] for r in passages.repeats(docs_of(spark, texts)).collect()}
+    assert set(got) == spans
+    assert all(s == [(80, 140)] for s in got.values())
+
+
 def test_gaps_that_the_similarity_has_room_for():
     rng = np.random.default_rng(1)
     for words, left, more in ((100, 4, 4), (150, 6, 6), (150, 0, 12), (150, 12, 0), (50, 2, 3), (100, 9, 9), (60, 0, 4), (60, 0, 3)):
