@@ -20,7 +20,8 @@ the ten or twenty words on one side of the node, to the earliest holder of those
 one that they were joined to before.
 
 For verification a text is cut into blocks with margins; a block is read where a collision lies
-in it. Words are compared by 32 bits of hash.
+in it. Words are compared by 32 bits of hash,
+and shingles by 64.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +125,27 @@ def surroundings(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _window_keys(docs: DataFrame, hashes: int, width: int) -> DataFrame:
+    """Values of the nodes of ``_window_rows`` alone, without their windows."""
+
+    def make():
+        def step(batch):
+            for part, texts in shingles.runs(batch) if batch is not None else ():
+                keys, rids, counts = [np.zeros(0, np.uint64)], [], []
+                for rid, tokens in zip(part.column(0).to_pylist(), shingles.sequences(texts, SHINGLE), strict=True):
+                    if len(tokens) < width:
+                        continue
+                    values = hash_values(tokens, hashes)
+                    keys.append(values[nodes_of(values, width)])
+                    rids.append(rid)
+                    counts.append(len(keys[-1]))
+                yield {"key": pa.array(np.concatenate(keys).view(np.int64)), "rid": pa.array(np.repeat(np.array(rids, dtype=np.int64), counts))}
+
+        return step
+
+    return arrow_map(docs, make, "key long, rid long")
+
+
 def _window_rows(docs: DataFrame, hashes: int, width: int) -> DataFrame:
     def make():
         def step(batch):
@@ -239,23 +260,25 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("rid", "text", "blocks"), make, "rid long, block int, words binary")
 
 
-def _runs(x: np.ndarray, y: np.ndarray, p: list[int], q: list[int], i: int, j: int, most: int) -> list[tuple[int, int, int]]:
-    """Equal runs (i, j, length) from x[i] and y[j] onwards, over small edits and gaps of at most ``most`` words on both sides together. ``p`` and ``q`` are x and y as lists."""
+def _runs(x: "Side", y: "Side", i: int, j: int, most: int) -> list[tuple[int, int, int]]:
+    """Equal runs (i, j, length) from x[i] and y[j] onwards, over small edits and gaps of at most ``most`` words on both sides together."""
     out = []
+    p, q = x.list, y.list
     while True:
         n = min(len(p) - i, len(q) - j)
         if n > 0:
-            other = x[i : i + n] != y[j : j + n]
+            other = x.words[i : i + n] != y.words[j : j + n]
             k = int(other.argmax())
             k = k if other[k] else n
             if k:
                 out.append((i, j, k))
                 i, j = i + k, j + k
-        for a, b in _EDITS:
+        near = () if set(p[i : i + 4]).isdisjoint(q[j : j + 4]) else _EDITS
+        for a, b in near:
             if i + a + 3 <= len(p) and j + b + 3 <= len(q) and p[i + a] == q[j + b] and p[i + a : i + a + 3] == q[j + b : j + b + 3]:
                 break
         else:
-            gap = _gap(p, q, i, j, most)
+            gap = _gap(x.grams, y.grams, i, j, most)
             if gap is None:
                 return out
             a, b = gap
@@ -263,15 +286,16 @@ def _runs(x: np.ndarray, y: np.ndarray, p: list[int], q: list[int], i: int, j: i
 
 
 def _gap(p: list[int], q: list[int], i: int, j: int, most: int) -> tuple[int, int] | None:
-    """The words to leave out of either side before the next equal shingle, the fewest together; None if they are more than ``most``."""
-    at: dict[tuple[int, ...], int] = {}
-    for b in range(min(most, len(q) - j - SHINGLE), -1, -1):
-        at[tuple(q[j + b : j + b + SHINGLE])] = b
+    """The words to leave out of either side before the next equal shingle of ``p`` and ``q``, the fewest together; None if they are more than ``most``."""
+    x, y = p[i : i + most + 1], q[j : j + most + 1]
+    if most < 0 or set(x).isdisjoint(y):
+        return None
+    at = dict(zip(reversed(y), range(len(y) - 1, -1, -1), strict=True))
     best = None
-    for a in range(min(most, len(p) - i - SHINGLE) + 1):
+    for a, gram in enumerate(x):
         if best is not None and a >= sum(best):
             break
-        b = at.get(tuple(p[i + a : i + a + SHINGLE]))
+        b = at.get(gram)
         if b is not None and a + b <= most and (best is None or (a + b, abs(a - b)) < (sum(best), abs(best[0] - best[1]))):
             best = a, b
     return best
@@ -281,22 +305,29 @@ def _gap(p: list[int], q: list[int], i: int, j: int, most: int) -> tuple[int, in
 _EDITS = sorted(((a, b) for a in range(4) for b in range(4) if a + b), key=lambda e: (e[0] + e[1], abs(e[0] - e[1])))
 
 
-def _similar(x: np.ndarray, y: np.ndarray) -> float:
-    """Exact Jaccard similarity of two passages' shingles."""
+def _similar(x: list[int], y: list[int]) -> float:
+    """Jaccard similarity of two passages by their shingles."""
+    a, b = set(x), set(y)
+    return len(a & b) / len(a | b)
+
 
-    def shingles(w):
-        return set(map(bytes, sliding_window_view(w, SHINGLE).copy().view(f"V{4 * SHINGLE}").ravel())) if len(w) >= SHINGLE else {w.tobytes()}
+class Side:
+    """Words as an array and as a list, and the hashes of their shingles."""
 
-    a, b = shingles(x), shingles(y)
-    return len(a & b) / len(a | b)
+    def __init__(self, words: np.ndarray, grams: list[int]):
+        self.words, self.list, self.grams = words, words.tolist(), grams
 
 
 class Block:
-    """Words of a block, forwards and backwards, as arrays and as lists."""
+    """Words of a block, forwards and backwards."""
 
     def __init__(self, words: np.ndarray):
-        self.x, self.p = words, words.tolist()
-        self.back, self.q = words[::-1], self.p[::-1]
+        n = max(0, len(words) - SHINGLE + 1)
+        grams = np.zeros(n, dtype=np.uint64)
+        for k in range(SHINGLE):
+            grams = grams * _U(0x9E3779B97F4A7C15) + words[k : k + n]
+        grams = grams.tolist()
+        self.forth, self.back = Side(words, grams), Side(words[::-1], grams[::-1])
 
 
 def verify(x: Block, y: Block, i: int, j: int, min_words: int = MIN_WORDS, percent: int = PERCENT) -> tuple[int, int, int, int] | None:
@@ -305,13 +336,14 @@ def verify(x: Block, y: Block, i: int, j: int, min_words: int = MIN_WORDS, perce
     Passages begin and end with equal runs. The shingles of the runs alone are shared for certain;
     where they make up the wanted similarity, it is counted exactly.
     """
-    if x.p[i : i + SHINGLE] != y.p[j : j + SHINGLE]:
+    p, q = x.forth.list, y.forth.list
+    if p[i : i + SHINGLE] != q[j : j + SHINGLE]:
         return None
-    n, m = len(x.p), len(y.p)
+    n, m = len(p), len(q)
     # a gap of so many words leaves SHINGLE - 1 more shingles unshared on either side
     most = (min(n, m) - SHINGLE + 1) * (100 - percent) // percent - 2 * (SHINGLE - 1)
-    back = _runs(x.back, y.back, x.q, y.q, n - i - SHINGLE, m - j - SHINGLE, most)
-    forth = _runs(x.x, y.x, x.p, y.p, i, j, most)
+    back = _runs(x.back, y.back, n - i - SHINGLE, m - j - SHINGLE, most)
+    forth = _runs(x.forth, y.forth, i, j, most)
     if n - back[-1][0] - back[-1][2] + min_words > forth[-1][0] + forth[-1][2]:
         return None
     runs = [(n - a - k, m - b - k, k) for a, b, k in reversed(back)]
@@ -319,16 +351,21 @@ def verify(x: Block, y: Block, i: int, j: int, min_words: int = MIN_WORDS, perce
     here = len(runs) - 1
     runs[-1] = (a, b, forth[0][0] + forth[0][2] - a)  # the shingle's own run belongs to both directions
     runs += forth[1:]
+    before = [0]
+    for _, _, k in runs:
+        before.append(before[-1] + max(0, k - SHINGLE + 1))
     spans = sorted(((runs[e][0] + runs[e][2] - runs[s][0], s, e) for s in range(here + 1) for e in range(here, len(runs))), reverse=True)
-    for _, s, e in spans:
+    for length, s, e in spans:
+        if length < min_words:
+            return None
         x0, y0, x1, y1 = runs[s][0], runs[s][1], runs[e][0] + runs[e][2], runs[e][1] + runs[e][2]
-        if min(x1 - x0, y1 - y0) < min_words:
+        if y1 - y0 < min_words:
             continue
         if s == e:
             return x0, x1, y0, y1
-        shared = sum(max(0, r[2] - SHINGLE + 1) for r in runs[s : e + 1])
+        shared = before[e + 1] - before[s]
         union = x1 - x0 + y1 - y0 - 2 * SHINGLE + 2 - shared
-        if 100 * shared >= percent * union and 100 * _similar(x.x[x0:x1], y.x[y0:y1]) >= percent:
+        if 100 * shared >= percent * union and 100 * _similar(x.forth.grams[x0 : x1 - SHINGLE + 1], y.forth.grams[y0 : y1 - SHINGLE + 1]) >= percent:
             return x0, x1, y0, y1
     return None
 
@@ -369,10 +406,16 @@ def _identified(docs: DataFrame) -> DataFrame:
     return marked.select(F.when(F.col("marked"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), empty_as(F.col("text")))).otherwise(F.col("doc_id")).alias("rid"), "doc_id", "text")
 
 
-def _first_holders(windows: DataFrame) -> DataFrame:
-    """Rows of ``windows`` whose key stands in two documents, with the first of them (a) and its first window (wa)."""
-    keys = windows.groupBy("key").agg(F.min(F.struct("rid", "window")).alias("first"), F.max("rid").alias("z")).where("first.rid <> z")
-    return windows.join(keys.select("key", F.col("first.rid").alias("a"), F.col("first.window").alias("wa")), "key")
+def _shared(windows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``windows`` whose key stands in two documents by ``keys`` (key, rid), with the first of them (a)."""
+    keys = keys.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a <> z").select("key", "a")
+    return windows.join(keys, "key")
+
+
+def _first_windows(live: DataFrame) -> DataFrame:
+    """``live`` with the first window (wa) of the key's first document."""
+    sources = live.where("rid = a").groupBy("key").agg(F.min("window").alias("wa"))
+    return live.join(sources, "key")
 
 
 def _open(live: DataFrame, found: DataFrame) -> DataFrame:
@@ -388,9 +431,11 @@ def _open(live: DataFrame, found: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, min_words: int, percent: int, hashes: int, agree: int) -> DataFrame:
     """Verified passages: source a, document b, and where they start (and stop in b), in words. ``docs`` has rid and text."""
-    live = stored(_first_holders(_window_rows(docs, hashes, min_words - SHINGLE + 1)), "windows")
+    width = min_words - SHINGLE + 1
+    live = _first_windows(stored(_shared(_window_rows(docs, hashes, width), _window_keys(docs, hashes, width)), "windows"))
     found = cut(_verified(docs, live, min_words, percent, agree))
-    further = _first_holders(stored(_open(live, found), "open"))
+    left = stored(_open(live, found), "open")
+    further = _first_windows(_shared(left, left))
     return found.unionAll(_verified(docs, further, min_words, percent, agree))
 
 
