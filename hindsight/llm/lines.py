@@ -6,8 +6,7 @@ around it and known by 128 bits of hash; blank lines are never touched. The plac
 earlier place, or if a line within one edit has first stood earlier than it. An edit inserts,
 deletes or replaces one word (what stands between two blanks), and counts only between lines of
 at least ``min_words`` words; where ``min_chars`` is given, an edit of one character counts too,
-between lines of at least so many characters: of all such lines, or, with ``short_only``, of those
-of fewer than ``min_words`` words, which are not compared by words.
+between all lines of at least so many characters.
 
 Two lines within one edit share the half before or the half behind the edit, so only lines that
 share a half with another line emit variants. A variant is the line without its i-th word, as a
@@ -60,15 +59,14 @@ def _char_halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None, short_only: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """Each line that is not blank: doc_id, row_hash, line_no, 128 bits of hash and, of long lines, the hashes of its halves, by words and, with ``min_chars``, by characters."""
     rows = docs.select("doc_id", _row_hash(F.col("text")).alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     rows = rows.select("doc_id", "row_hash", "line_no", F.trim("raw").alias("line")).where("line <> ''").withColumn("words", F.split("line", " "))
-    by_chars = (F.char_length("line") >= (min_chars or 0)) & (F.lit(not short_only) | (F.size("words") < min_words))
     return rows.select(
         "doc_id", "row_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"),
         F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves"),
-        *([] if min_chars is None else [F.when(by_chars, _char_halves(F.col("line"))).alias("char_halves")]),
+        *([] if min_chars is None else [F.when(F.char_length("line") >= min_chars, _char_halves(F.col("line"))).alias("char_halves")]),
     )
 
 
@@ -134,10 +132,10 @@ def within_one(a: str, b: str) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (both >= F.greatest(F.size(x), F.size(y)) - 1)
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None, short_only: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """The lines that go: doc_id, row_hash and ``gone``, their numbers in the text; one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
-    found = stored(occurrences(docs, min_words, min_chars, short_only), "lines")
+    found = stored(occurrences(docs, min_words, min_chars), "lines")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     near = near_lines(docs, found)
     if min_chars is not None:
@@ -150,7 +148,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int |
     return cut(gone.groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None, short_only: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and columns ``n_lines`` and ``n_removed``.
 
     Every row stays. A null text stays null and has no lines; an empty text has one, blank line.
@@ -160,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so called).
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_words, min_chars, short_only)
+    gone = removed_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), min_words, min_chars)
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = gone.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("row_hash").alias("_hash"), F.col("gone").alias("_gone"))
     gone = F.broadcast(gone) if rows <= BROADCAST_ROWS and numbers <= 10 * BROADCAST_ROWS else gone.hint("shuffle_hash")
@@ -195,7 +193,7 @@ WITH occ AS (
          ELSE len(list_filter(range(1, o + 1), lambda i: list_concat(v[1:i - 1], v[i + 1:o]) = w)) > 0 END
 ), chars AS (
   SELECT DISTINCT line, c, place, m, side, CASE side WHEN 0 THEN left(line, m) ELSE right(line, m) END AS half
-  FROM (SELECT line, length(line) AS c, place, unnest([length(line) // 2, (length(line) - 1) // 2]) AS m FROM lines WHERE n < 10 AND length(line) >= 20), (VALUES (0), (1)) AS s(side)
+  FROM (SELECT line, length(line) AS c, place, unnest([length(line) // 2, (length(line) - 1) // 2]) AS m FROM lines WHERE length(line) >= 20), (VALUES (0), (1)) AS s(side)
 ), char_pairs AS (
   SELECT DISTINCT a.line, b.line AS v, a.c, b.c AS o FROM chars a JOIN chars b USING (m, side, half)
   WHERE a.line <> b.line AND abs(a.c - b.c) <= 1 AND b.place < a.place

@@ -32,7 +32,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=lines.MIN_CHARS, short_only=True)
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=lines.MIN_CHARS)
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
