@@ -29,6 +29,8 @@ MIN_WORDS = 10
 MIN_CHARS = 20
 #: Rows of a checked frame up to which it is broadcast (some tens of bytes each).
 BROADCAST_ROWS = 250_000
+#: Occurrences from which a line is joined by broadcast, when the other lines are shuffled.
+FREQUENT = 100_000
 _BITS = 1 << 40
 _LAST = (1 << 63) - 1
 
@@ -136,18 +138,27 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int |
     """The lines that go: doc_id, row_hash and ``gone``, their numbers in the text; one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
     found = stored(occurrences(docs, min_words, min_chars), "lines")
-    again = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
     near = near_lines(docs, found)
     if min_chars is not None:
         near = near.unionAll(near_lines(docs, found, by_chars=True)).distinct()
     near = near.withColumn("near", F.lit(True))
-    marked = cut(again.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
-    hit = found.select("doc_id", "row_hash", "line_no", "h1", "h2").join(sized(marked, BROADCAST_ROWS), ["h1", "h2"])
-    first = hit.groupBy("h1", "h2").agg(F.min(_place()).alias("first"))
-    gone = hit.join(first, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
+    marked = again.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = _at_lines(found.select("doc_id", "row_hash", "line_no", "h1", "h2"), cut(marked)).where(F.col("near") | (_place() != F.col("first")))
     return cut(gone.groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("gone")))
 
 
+def _at_lines(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """The occurrences of the lines in ``marked``, with its columns. Too many lines to broadcast are shuffled, but for the frequent ones, of which there are few."""
+    keys = ["h1", "h2"]
+    if marked.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(marked), keys)
+    frequent = F.col("n") > max(FREQUENT, found.count() // BROADCAST_ROWS)  # so there are at most BROADCAST_ROWS of them
+    few = marked.where(frequent)
+    rest = found.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(marked.where(~frequent), keys)
+    return found.join(F.broadcast(few), keys).unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and columns ``n_lines`` and ``n_removed``.
 

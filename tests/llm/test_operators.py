@@ -219,6 +219,15 @@ def test_lines_by_characters_against_brute_force(spark):
     assert sum(x.count(" ") < 9 for x in near) > 10
 
 
+def test_frequent_lines_apart_from_shuffled_ones(spark, monkeypatch):
+    texts = [f"common line\nline {d // 3}\nonce {d}" for d in range(30)]
+    want = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(lines, "FREQUENT", 10)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == want and got[0] == texts[0] and got[1] == "once 1" and got[3] == "line 1\nonce 3"
+
+
 # jaccard
 
 
