@@ -69,6 +69,21 @@ def weekly_hour(at: Column) -> Column:
     return F.lpad(F.pmod(F.floor(at / 3_600_000_000), F.lit(168)).cast("string"), 3, "0")
 
 
+def derived(field: str, name: str) -> str:
+    """The name of what ``name`` derives from a field."""
+    return f"{field}×{name}"
+
+
+def parent_of(field: Column) -> Column:
+    """The field that a derived one comes from; any other field itself."""
+    return F.split_part(field, F.lit("×"), F.lit(1))
+
+
+def derivation_of(field: Column) -> Column:
+    """What was derived from the parent; null for a field that is not derived."""
+    return F.when(F.contains(field, F.lit("×")), F.split_part(field, F.lit("×"), F.lit(2)))
+
+
 def pair_field(a: Column, b: Column) -> Column:
     return F.concat(F.least(a, b), F.lit("×"), F.greatest(a, b))
 

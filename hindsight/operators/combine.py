@@ -131,7 +131,7 @@ def lord(t: DataFrame, p: str = "p", q: float = 0.1) -> DataFrame:
     return ordered.mapInPandas(run, "off long, level double, rejected boolean")
 
 
-def top_per_day(t: DataFrame, k: int, order: list) -> DataFrame:
-    """The first k of each day, with their rank; the plan keeps k of each day before the shuffle."""
-    r = F.row_number().over(Window.partitionBy("d").orderBy(*order))
+def top_per_day(t: DataFrame, k: int, order: list, by: tuple[str, ...] = ("d",)) -> DataFrame:
+    """The first k of each day, or of each group ``by``, with their rank; the plan keeps k of each before the shuffle."""
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return t.withColumn("rank", r).where(F.col("rank") <= k)

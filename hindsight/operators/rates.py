@@ -163,3 +163,22 @@ def cell_grid(e: DataFrame) -> DataFrame:
     from .novelty import dirichlet
 
     return dirichlet(e.withColumn("cell", weekly_hour(F.col("at"))), "cell")
+
+
+def block_lambda(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """a, b, w, lam and fallback: the expected weight of each edge (a, b, w) given the nodes' blocks (node, block).
+
+    The configuration model's k_a k_b / 2m, times the weight between both blocks over what that model
+    expects between them; where a node has no block, the configuration model alone (``fallback``).
+    Node names of the two ends do not meet. An edge or node stands once.
+    """
+    ends = edges.select(F.col("a").alias("node"), "w").unionAll(edges.select("b", "w"))
+    nodes = ends.groupBy("node").agg(F.sum("w").alias("k")).join(blocks, "node", "left")
+    total = edges.agg((2 * F.sum("w")).alias("total"))
+    x = edges.join(nodes.toDF("a", "k_a", "r"), "a").join(nodes.toDF("b", "k_b", "s"), "b")
+    sums = nodes.where("block is not null").groupBy("block").agg(F.sum("k").alias("d"))
+    between = x.where("r is not null and s is not null").groupBy("r", "s").agg(F.sum("w").alias("m"))
+    x = x.join(between, ["r", "s"], "left").join(sums.toDF("r", "d_r"), "r", "left").join(sums.toDF("s", "d_s"), "s", "left").crossJoin(F.broadcast(total))  # a single row
+    fallback = F.col("r").isNull() | F.col("s").isNull()
+    affinity = F.when(fallback, 1.0).otherwise(F.col("m") * F.col("total") / (F.col("d_r") * F.col("d_s")))
+    return x.select("a", "b", "w", (F.col("k_a") * F.col("k_b") / F.col("total") * affinity).alias("lam"), fallback.alias("fallback"))

@@ -19,12 +19,12 @@ def subset_manifest(spark, sf_dir):
 @register(
     "inject_bursts",
     f"""WITH {EVENTS}, p AS (SELECT ent, max(tm) AS last FROM e WHERE ent % 10 = 3 GROUP BY ent), i AS (SELECT ent, last // 1000000 * 1000000 + (s + 1) * 1000000 AS tm, 'takeover' AS event_type FROM p, range(0, 8) r(s))
-SELECT ent, tm, event_type, true AS injected FROM i UNION ALL SELECT ent, tm, event_type, false FROM e WHERE ent % 10 = 3""",
+SELECT ent, tm, event_type, true AS injected FROM i UNION ALL SELECT ent, tm, event_type, false FROM e""",
 )
 def inject_bursts(spark, sf_dir):
-    """Eight takeover events, a second apart, after the last event of each chosen victim, merged with what the victims did."""
-    e = C.events(spark, sf_dir).where("ent % 10 = 3")
-    last = e.groupBy("ent").agg(F.max("at").alias("last"))
+    """Eight takeover events, a second apart, after the last event of each chosen victim, merged with all that was there."""
+    e = C.events(spark, sf_dir)
+    last = e.where("ent % 10 = 3").groupBy("ent").agg(F.max("at").alias("last"))
     new = last.select("ent", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("s"), "last").select("ent", (F.floor(F.col("last") / 1_000_000) * 1_000_000 + F.col("s") * 1_000_000).alias("tm"), F.lit("takeover").alias("event_type"), F.lit(True).alias("injected"))
     return new.unionByName(e.select("ent", F.col("at").alias("tm"), "event_type", F.lit(False).alias("injected")))
 
