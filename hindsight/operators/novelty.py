@@ -1,8 +1,6 @@
 """Value novelty: decayed predictive estimates over an entity's own earlier values, and their tails.
 
-For each event the mass of every value that the entity had shown is needed. Each event meets the
-distinct values of its entity and field (a bounded vocabulary), and the decayed counts are prefix
-sums by (entity, value); nothing is compared event by event.
+Counts and tails come from ``tails.value_tails``: one keyed pass over all fields that are asked for.
 """
 
 from __future__ import annotations
@@ -12,111 +10,52 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import sidak
 from ..plans.conform import HALF_LIFE, before, weight
+from .tails import value_tails
 
 ALPHA = 1.0
 
 
-def known_values(e: DataFrame, field: str, ent: str = "ent", half_life: int = HALF_LIFE) -> DataFrame:
-    """(ent, off, at, v, u, n_u, seen): for each event that has the field, each value u of its entity with the decayed count before it."""
-    rows = e.where(F.col(field).isNotNull()).select(F.col(ent).alias("ent"), "off", "at", F.col(field).alias("v"), "known")
-    stored = rows.where("known")
-    vocabulary = stored.select("ent", F.col("v").alias("u")).distinct()
-    met = rows.join(vocabulary, "ent", "left")
-    w = F.when(F.col("known") & (F.col("v") == F.col("u")), weight(F.col("at"), half_life))
-    frame = before("ent", "u")
-    return met.select(
-        "ent", "off", "at", "v", "u", "known",
-        (F.coalesce(F.sum(w).over(frame), F.lit(0.0)) / weight(F.col("at"), half_life)).alias("n_u"),
-        F.coalesce(F.count(w).over(frame), F.lit(0)).alias("seen"),
-    )
-
-
 def dirichlet(e: DataFrame, field: str, alpha: float = ALPHA, half_life: int = HALF_LIFE) -> DataFrame:
     """off, ent, at, n_v, n, k and p of every event that has the settled field.
 
     The predictive mass of a value is (n_u + alpha) / (n + alpha (k + 1)); p is the sum of the masses
     that are no larger than the observed one, with the reserve for what was never seen. Without history p is 1.
     """
-    m = known_values(e, field, half_life=half_life).where("known")
-    hit = (F.col("u") == F.col("v")) & (F.col("seen") > 0)
-    one = m.groupBy("off", "ent", "at").agg(
-        F.coalesce(F.sum(F.when(F.col("seen") > 0, F.col("n_u"))), F.lit(0.0)).alias("n"),
-        F.coalesce(F.sum((F.col("seen") > 0).cast("long")), F.lit(0)).alias("k"),
-        F.coalesce(F.max(F.when(hit, F.col("n_u"))), F.lit(0.0)).alias("n_v"),
-        F.coalesce(F.max(hit.cast("int")), F.lit(0)).alias("was_seen"),
-        F.collect_list(F.when(F.col("seen") > 0, F.col("n_u"))).alias("ns"),
-    )
-    d = F.col("n") + alpha * (F.col("k") + 1)
-    tail = F.aggregate(F.filter("ns", lambda x: x <= F.col("n_v")), F.lit(0.0), lambda s, x: s + x + alpha)
-    p = F.when(F.col("k") == 0, 1.0).when(F.col("was_seen") == 0, alpha / d).otherwise(F.least(F.lit(1.0), (tail + alpha) / d))
-    return one.select("off", "ent", "at", "n_v", "n", "k", p.alias("p"))
+    return value_tails(e, {field: F.col(field)}, alpha=alpha, half_life=half_life).select("off", "ent", "at", "n_v", "n", "k", "p")
 
 
 def good_turing(e: DataFrame, field: str, alpha: float = ALPHA, least: float = 30.0, half_life: int = HALF_LIFE) -> DataFrame:
     """As ``dirichlet``, but the reserve is the share of values with a decayed count within 1 +- 0.25, at most 0.99, where that is larger and n is at least ``least``."""
-    m = known_values(e, field, half_life=half_life).where("known")
-    seen = F.col("seen") > 0
-    hit = (F.col("u") == F.col("v")) & seen
-    one = m.groupBy("off", "ent", "at").agg(
-        F.coalesce(F.sum(F.when(seen, F.col("n_u"))), F.lit(0.0)).alias("n"),
-        F.coalesce(F.sum(seen.cast("long")), F.lit(0)).alias("k"),
-        F.coalesce(F.sum((seen & F.col("n_u").between(0.75, 1.25)).cast("long")), F.lit(0)).alias("n1"),
-        F.max(F.when(hit, F.col("n_u"))).alias("n_v"),
-        F.collect_list(F.when(seen, F.col("n_u"))).alias("ns"),
-    )
-    plain = alpha / (F.col("n") + alpha * (F.col("k") + 1))
-    gt = F.least(F.lit(0.99), F.col("n1") / F.col("n"))
-    use = (F.col("n") >= least) & (gt > plain)
-    one = one.withColumn("use", use).withColumn("reserve", F.when(use, gt).otherwise(plain))
-    mass = lambda x: F.when(F.col("use"), x * (1 - F.col("reserve")) / F.col("n")).otherwise((x + alpha) / (F.col("n") + alpha * (F.col("k") + 1)))
-    observed = F.coalesce(mass(F.col("n_v")), F.col("reserve"))
-    one = one.withColumn("observed", observed)
-    tail = F.aggregate(F.filter(F.transform("ns", mass), lambda x: x <= F.col("observed")), F.lit(0.0), lambda s, x: s + x)
-    p = F.when(F.col("k") == 0, 1.0).otherwise(F.least(F.lit(1.0), tail + F.when(F.col("reserve") <= F.col("observed"), F.col("reserve")).otherwise(0.0)))
-    return one.select("off", "ent", "at", "n1", "reserve", p.alias("p"))
+    return value_tails(e, {field: F.col(field)}, alpha=alpha, half_life=half_life, least=least).select("off", "ent", "at", "n1", "reserve", "p")
 
 
 PAIRS = (("event_type", "k"), ("band", "event_type"), ("band", "k"))
 
 
+def pair_fields(pairs: tuple[tuple[str, str], ...] = PAIRS) -> dict[str, Column]:
+    """Each pair of fields as a field of its own; an event that lacks one of them lacks the pair."""
+    return {f"{a}\u00d7{b}": F.concat(a, F.lit("\x1f"), b) for a, b in pairs}
+
+
+def least_of_pairs(found: DataFrame) -> DataFrame:
+    """off, ent, at, tests, min_p and p: the least tail of an event's pairs, corrected for their number."""
+    return found.groupBy("off", "ent", "at").agg(F.count("*").alias("tests"), F.min("p").alias("min_p")).withColumn("p", sidak(F.col("min_p"), F.col("tests")))
+
+
 def pairing(e: DataFrame, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
     """off, ent, at, tests, min_p and p: the least novelty tail over the pairs of fields, corrected for their number."""
-    found = None
-    for a, b in pairs:
-        one = dirichlet(e.withColumn("_pair", F.concat_ws("\x1f", a, b)), "_pair").select("off", "ent", "at", "p")
-        found = one if found is None else found.unionAll(one)
-    return found.groupBy("off", "ent", "at").agg(F.count("*").alias("tests"), F.min("p").alias("min_p")).withColumn("p", sidak(F.col("min_p"), F.col("tests")))
+    return least_of_pairs(value_tails(e, pair_fields(pairs)))
 
 
 def population(e: DataFrame, field: str, alpha: float = ALPHA, least: float = 1000.0, most_values: int = 1000, half_life: int = HALF_LIFE) -> DataFrame:
-    """off, n_v, n, k, status and p against the counts of the whole population.
+    """off, ent, at, n_v, n, k, status and p against the counts of the whole population before the event.
 
-    Counts are two-level prefix sums by (value, day), so no value is one task's load; the vocabulary
-    is checked against ``most_values`` first, beyond which the field abstains.
+    The population is one key, which is cut along time. The arm abstains where the decayed total is below
+    ``least``, or where more than ``most_values`` values had been seen.
     """
-    from ..plans.conform import running
-
-    rows = e.where(F.col("known") & F.col(field).isNotNull()).select("off", "at", F.col(field).alias("v"))
-    vocabulary = rows.select(F.col("v").alias("u")).distinct()
-    if vocabulary.limit(most_values + 1).count() > most_values:
-        return rows.select("off", F.lit(None).cast("double").alias("n_v"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("long").alias("k"), F.lit("abstained_structural").alias("status"), F.lit(None).cast("double").alias("p"))
-    met = rows.crossJoin(F.broadcast(vocabulary))  # at most most_values rows, checked
-    w = weight(F.col("at"), half_life)
-    hit = F.col("v") == F.col("u")
-    sums = running(met, ["u"], {"w_u": F.when(hit, w).otherwise(0.0), "seen": hit.cast("long")})
-    sums = sums.withColumn("n_u", F.col("w_u") / w)
-    one = sums.groupBy("off").agg(
-        F.sum(F.when(F.col("seen") > 0, F.col("n_u")).otherwise(0.0)).alias("n"),
-        F.sum((F.col("seen") > 0).cast("long")).alias("k"),
-        F.coalesce(F.max(F.when(hit & (F.col("seen") > 0), F.col("n_u"))), F.lit(0.0)).alias("n_v"),
-        F.max(F.when(hit, (F.col("seen") > 0).cast("int")).otherwise(0)).alias("was_seen"),
-        F.collect_list(F.when(F.col("seen") > 0, F.col("n_u"))).alias("ns"),
-    )
-    d = F.col("n") + alpha * (F.col("k") + 1)
-    tail = F.aggregate(F.filter("ns", lambda x: x <= F.col("n_v")), F.lit(0.0), lambda s, x: s + x + alpha)
-    p = F.when(F.col("was_seen") == 0, alpha / d).otherwise(F.least(F.lit(1.0), (tail + alpha) / d))
-    enough = F.col("n") >= least
-    return one.select("off", "n_v", "n", "k", F.when(enough, "evaluated").otherwise("abstained_structural").alias("status"), F.when(enough, p).alias("p"))
+    x = value_tails(e, {field: F.col(field)}, key=None, alpha=alpha, half_life=half_life)
+    enough = (F.col("n") >= least) & (F.col("k") <= most_values)
+    return x.select("off", "ent", "at", "n_v", "n", "k", F.when(enough, "evaluated").otherwise("abstained_structural").alias("status"), F.when(enough, F.col("p")).alias("p"))
 
 
 def first_seen(e: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import scalar as S
 from ..operators import combine as K
 from ..operators import novelty as N
 from ..operators import rates as R
+from ..operators.tails import value_tails
 from ..plans import conform as C
 from .base import DAY, EVENTS, HOUR, LABELS, VERDICTS, novelty_ctes, r6, settled_events, verdicts
 from .ranking import _labels
@@ -35,14 +36,16 @@ av AS (SELECT off, ent, tm, detector, 'evaluated' AS status, false AS shadow, p
 
 def all_arms(spark, sf_dir) -> DataFrame:
     """off, ent, at, detector, status, shadow and p (null where the arm abstains); a shadow arm is scored, but enters no combination."""
-    e = settled_events(spark, sf_dir)
+    e = settled_events(spark, sf_dir).withColumn("cell", S.weekly_hour(F.col("at")))
+    fields = {f"novelty_{f}": F.col(f) for f in ("band", "event_type", "k")} | {"cellgrid": F.col("cell")} | N.pair_fields()
+    found = value_tails(e, fields)
+    single = found.where(~F.col("field").contains("\u00d7")).withColumnRenamed("field", "detector").select("off", "ent", "at", "detector", F.lit("evaluated").alias("status"), (F.col("detector") == "cellgrid").alias("shadow"), "p")
 
-    def tagged(x, detector, shadow=False, status=F.lit("evaluated")):
-        return x.select("off", "ent", "at", F.lit(detector).alias("detector"), status.alias("status"), F.lit(shadow).alias("shadow"), "p")
+    def tagged(x, detector, status=F.lit("evaluated")):
+        return x.select("off", "ent", "at", F.lit(detector).alias("detector"), status.alias("status"), F.lit(False).alias("shadow"), "p")
 
-    three = verdicts(spark, sf_dir).select("off", "ent", "at", "detector", F.lit("evaluated").alias("status"), F.lit(False).alias("shadow"), "p")
-    marginal = N.population(e, "event_type").join(e.select("off", "ent", "at"), "off")
-    return three.unionByName(tagged(R.cell_grid(e), "cellgrid", shadow=True)).unionByName(tagged(N.pairing(e), "pairing")).unionByName(tagged(marginal, "marginal_event_type", status=F.col("status")))
+    pairs = N.least_of_pairs(found.where(F.col("field").contains("\u00d7")))
+    return single.unionByName(tagged(pairs, "pairing")).unionByName(tagged(N.population(e, "event_type"), "marginal_event_type", status=F.col("status")))
 
 
 @register("verdict_table", f"WITH {ALL_ARMS} SELECT off, ent, detector, status, shadow, round(p, 6) AS p FROM av")

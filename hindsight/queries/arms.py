@@ -33,15 +33,14 @@ def cellgrid(spark, sf_dir):
     "novelty_good_turing",
     f"""WITH {EVENTS}, {novelty_ctes('x', 'k')},
 g AS (SELECT m.off, any_value(o.n) AS n, any_value(o.k) AS k, sum(CASE WHEN seen > 0 AND n_u BETWEEN 0.75 AND 1.25 THEN 1 ELSE 0 END) AS n1, max(CASE WHEN u = v AND seen > 0 THEN n_u END) AS n_v FROM x_m m JOIN x_o o USING (off) WHERE m.known GROUP BY m.off),
-h AS (SELECT *, n >= 5 AND least(0.99, n1 / n) > 1.0 / (n + k + 1) AS use, 1.0 / (n + k + 1) AS plain FROM g),
+h AS (SELECT *, n >= 30 AND least(0.99, n1 / n) > 1.0 / (n + k + 1) AS use, 1.0 / (n + k + 1) AS plain FROM g),
 i AS (SELECT *, CASE WHEN use THEN least(0.99, n1 / n) ELSE plain END AS reserve FROM h),
 j AS (SELECT *, coalesce(CASE WHEN use THEN n_v * (1 - reserve) / n ELSE (n_v + 1) / (n + k + 1) END, reserve) AS observed FROM i),
 t AS (SELECT j.off, sum(mass) AS s FROM (SELECT j.off, CASE WHEN use THEN n_u * (1 - reserve) / j.n ELSE (n_u + 1) / (j.n + j.k + 1) END AS mass, observed FROM x_m m JOIN j USING (off) WHERE m.known AND m.seen > 0) j WHERE mass <= observed GROUP BY j.off)
 SELECT off, CAST(n1 AS BIGINT) AS n1, round(reserve, 6) AS reserve, round(CASE WHEN k = 0 THEN 1.0 ELSE least(1.0, coalesce(s, 0) + CASE WHEN reserve <= observed THEN reserve ELSE 0 END) END, 6) AS p FROM j LEFT JOIN t USING (off)""",
 )
 def good_turing(spark, sf_dir):
-    """With a least history of 5, as these entities have."""
-    return N.good_turing(settled_events(spark, sf_dir), "k", least=5.0).select("off", "n1", r6("reserve", "reserve"), r6("p", "p"))
+    return N.good_turing(settled_events(spark, sf_dir), "k").select("off", "n1", r6("reserve", "reserve"), r6("p", "p"))
 
 
 @register(

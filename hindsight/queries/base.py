@@ -50,14 +50,10 @@ v AS (SELECT off, ent, tm, 'novelty_band' AS detector, p FROM bd_p UNION ALL SEL
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """off, ent, at, detector, p: novelty of three fields, settled events only."""
-    from ..operators.novelty import dirichlet
-
-    e = settled_events(spark, sf_dir)
-    found = None
-    for field in ("band", "event_type", "k"):
-        one = dirichlet(e, field).select("off", "ent", "at", F.lit(f"novelty_{field}").alias("detector"), "p")
-        found = one if found is None else found.unionAll(one)
-    return found
+    from ..operators.tails import value_tails
+
+    found = value_tails(settled_events(spark, sf_dir), {f: F.col(f) for f in ("band", "event_type", "k")})
+    return found.select("off", "ent", "at", F.concat(F.lit("novelty_"), "field").alias("detector"), "p")
 
 
 #: x2, j and Fisher's tail of each event: the finite sum for up to three verdicts.
