@@ -200,3 +200,14 @@ def beta_lower(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else str(fnv1a64(t)))
+
+
+@F.pandas_udf(T.IntegerType())
+def splitmix_fold(index: pd.Series, seed: pd.Series, folds: pd.Series) -> pd.Series:
+    """The finaliser of the splitmix generator on seed + index, modulo the number of folds."""
+    with np.errstate(over="ignore"):
+        z = index.to_numpy().astype(np.uint64) + seed.to_numpy().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return pd.Series((z % folds.to_numpy().astype(np.uint64)).astype(np.int32))

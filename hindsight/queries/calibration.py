@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import combine as K
+from ..operators import online as O
 from ..plans import conform as C
-from .base import COMBINED, DAY, VERDICTS, fused, r6, verdicts
+from .base import COMBINED, DAY, VERDICTS, fused, r6, red, verdicts
 
 
 @register("fisher_combination", f"WITH {COMBINED} SELECT off, ent, j, round(x2, 6) AS x2, round(fisher_p, 6) AS fisher_p FROM f")
@@ -104,28 +106,53 @@ q AS (SELECT *, CASE WHEN w > 0 THEN round(fisher_p * avg(w) OVER (PARTITION BY
 k AS (SELECT *, max(CASE WHEN q <= r * 0.2 / m THEN r END) OVER (PARTITION BY d) AS k FROM r) SELECT off, d, coalesce(r <= k, false) AS rejected FROM k""",
 )
 def weighted_bh(spark, sf_dir):
-    from pyspark.sql import Window
-
     x = fused(spark, sf_dir).join(C.events(spark, sf_dir).select("off", "event_type"), "off")
     x = x.withColumn("w", F.when(F.col("event_type") == "error", 2.0).when(F.col("event_type") == "view", 0.0).otherwise(1.0))
-    q = F.when(F.col("w") > 0, F.round(F.col("fisher_p") * F.avg("w").over(Window.partitionBy("d")) / F.col("w"), 9)).otherwise(F.lit(float("inf")))
-    return K.step_up(x.withColumn("q", q), "d", "q", 0.2).select("off", "d", "rejected")
+    return K.weighted_step_up(x, "d", "fisher_p", "w", 0.2).select("off", "d", "rejected")
+
+
+@register(
+    "cross_fitted_bh",
+    f"""WITH {COMBINED}, s AS (SELECT f.off, d, fisher_p AS p, ntile(4) OVER (ORDER BY x.value, f.off) AS stratum, ((CAST(f.off AS UHUGEINT) + 1 + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z0 FROM f JOIN e0 x USING (off)),
+s1 AS (SELECT *, (xor(z0, z0 >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z1 FROM s), s2 AS (SELECT *, (xor(z1, z1 >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z2 FROM s1),
+s3 AS (SELECT off, d, p, stratum, CAST(xor(z2, z2 >> 31::UHUGEINT) % 5::UHUGEINT AS INTEGER) AS fold FROM s2),
+l AS (SELECT stratum, f.fold, least(1.0, (1 + count(CASE WHEN p > 0.5 THEN 1 END)) / (count(*) * 0.5)) AS pi0 FROM s3, range(5) f(fold) WHERE s3.fold <> f.fold GROUP BY 1, 2),
+g AS (SELECT stratum, fold, CASE WHEN max((1 - pi0) / pi0) OVER (PARTITION BY fold) <= 0 THEN 1.0 ELSE (1 - pi0) / pi0 END AS w FROM l), w AS (SELECT s3.*, coalesce(w, 1.0) AS w FROM s3 LEFT JOIN g USING (stratum, fold)),
+q AS (SELECT *, CASE WHEN w > 0 THEN round(p * avg(w) OVER (PARTITION BY d) / w, 9) ELSE CAST('inf' AS DOUBLE) END AS q FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY q, off) AS r, count(*) OVER (PARTITION BY d) AS m FROM q),
+k AS (SELECT *, max(CASE WHEN q <= r * 0.2 / m THEN r END) OVER (PARTITION BY d) AS k FROM r) SELECT off, d, stratum, fold, round(w, 6) AS weight, coalesce(r <= k, false) AS rejected FROM k""",
+)
+def cross_fitted_bh(spark, sf_dir):
+    """Weighted Benjamini-Hochberg by day, with weights by strata of the event's value that each fold takes from the others."""
+    x = fused(spark, sf_dir).join(C.events(spark, sf_dir).select("off", "value"), "off")
+    w = K.cross_fitted_weights(x, "value", "fisher_p")
+    return K.weighted_step_up(w, "d", "fisher_p", "weight", 0.2).select("off", "d", "stratum", "fold", r6("weight", "weight"), "rejected")
 
 
 @register(
     "higher_criticism",
-    f"""WITH {COMBINED}, r AS (SELECT d, fisher_p AS p, row_number() OVER (PARTITION BY d ORDER BY round(fisher_p, 9), off) AS i, count(*) OVER (PARTITION BY d) AS n FROM f)
-SELECT d, max(n) AS n, round(max(CASE WHEN i <= greatest(floor(0.5 * n), 1) AND p > 0 AND p < 1 THEN sqrt(n) * (i / n - p) / sqrt(p * (1 - p)) END), 5) AS hc FROM r WHERE i <= 32 GROUP BY d""",
+    f"""WITH {COMBINED}, r AS (SELECT d, fisher_p AS p, row_number() OVER (PARTITION BY d ORDER BY fisher_p, off) AS i, count(*) OVER (PARTITION BY d) AS n FROM f),
+x AS (SELECT *, CASE WHEN i <= greatest(floor(0.5 * n), 1) AND p > 0 AND p < 1 THEN sqrt(n) * (i / n - p) / sqrt(p * (1 - p)) END AS v FROM r)
+SELECT d, max(n) AS n, round(max(v), 5) AS hc, round(max(CASE WHEN i <= 32 THEN v END), 5) AS hc_tail, greatest(floor(0.5 * max(n)), 1) > 32 AS truncated FROM x GROUP BY d""",
 )
 def higher_criticism(spark, sf_dir):
-    x = fused(spark, sf_dir).select("off", "d", F.round("fisher_p", 9).alias("_o"), "fisher_p")
-    return K.higher_criticism(x.select("off", "d", F.col("fisher_p").alias("p")), "d", "p").select("d", "n", F.round("hc", 5).alias("hc"))
+    """By day over the whole first half of its p-values, and over the 32 smallest, which a bounded summary would hold."""
+    x = K.higher_criticism(fused(spark, sf_dir).select("off", "d", F.col("fisher_p").alias("p")), "d", "p")
+    return x.select("d", "n", F.round("hc", 5).alias("hc"), F.round("hc_tail", 5).alias("hc_tail"), "truncated")
 
 
 @register("lord_online")
 def lord_online(spark, sf_dir):
-    """LORD++ over the ordered stream of Fisher p-values: each level depends on all earlier rejections."""
-    return K.lord(fused(spark, sf_dir), "fisher_p").select("off", r6(F.col("level") * 1e6, "level_ppm"), "rejected")
+    """LORD++ over the ordered stream of Fisher p-values, in blocks whose levels are found by parallel passes."""
+    return O.lord(fused(spark, sf_dir), "fisher_p").select("off", "test", r6(F.col("level") * 1e6, "level_ppm"), "rejected")
+
+
+@register("online_daily")
+def online_daily(spark, sf_dir):
+    """By day: tests, rejections, labelled events among them, the day's mean level, and the wealth spent so far."""
+    x = O.lord(fused(spark, sf_dir), "fisher_p").join(C.events(spark, sf_dir).select("off", red().cast("int").alias("red")), "off").withColumn("d", C.day())
+    g = x.groupBy("d").agg(F.count("*").alias("tests"), F.count_if("rejected").alias("rejections"), F.count_if(F.col("rejected") & (F.col("red") == 1)).alias("hits"), F.sum("level").alias("spent"))
+    so_far = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day
+    return g.select("d", "tests", "rejections", "hits", r6(F.col("spent") / F.col("tests") * 1e6, "mean_level_ppm"), r6(F.sum("spent").over(so_far), "spent"))
 
 
 @register(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators import combine as K
 from ..plans import conform as C
+from ..plans.ranks import numbered
 from .base import COMBINED, DAY, HOUR, LABELS, VERDICTS, fused, r6, red, verdicts
 
 #: p-values are ranked after rounding, so that both engines break ties alike.
@@ -135,11 +136,11 @@ def history_weighting(spark, sf_dir):
     return s.groupBy("stratum").agg(F.count("*").alias("n"), r6(F.avg((F.col("fisher_p") <= 0.1).cast("double")), "share"))
 
 
-@register("canonical_order", f"WITH {VERDICTS} SELECT row_number() OVER (ORDER BY detector, off) AS place, detector, off, ent FROM v WHERE tm >= {C.ORIGIN + 29 * DAY}")
+@register("canonical_order", f"WITH {VERDICTS} SELECT row_number() OVER (ORDER BY detector, off) AS place, detector, off, ent FROM v")
 def canonical_order(spark, sf_dir):
-    """Verdicts of the last day in canonical order."""
-    v = verdicts(spark, sf_dir).where(F.col("at") >= C.ORIGIN + 29 * DAY)
-    return v.select(F.row_number().over(Window.orderBy("detector", "off")).cast("long").alias("place"), "detector", "off", "ent")
+    """All verdicts in canonical order: their places come from ranges of the order, not from one sorted task."""
+    v = verdicts(spark, sf_dir).select("detector", "off", "ent")
+    return numbered(v, ["detector", "off"], name="place")
 
 
 @register("optimal_split", f"WITH {VERDICTS}, {_ARM}, {LABELS}, a AS (SELECT detector, rank, sum(red) AS h FROM ranked JOIN lab USING (off) WHERE rank <= 20 GROUP BY 1, 2), c AS (SELECT detector, k, coalesce(sum(h) FILTER (rank <= k), 0) AS h FROM a, range(0, 21) t(k) GROUP BY 1, 2) SELECT x.detector AS a, y.detector AS b, CAST(max(x.h + y.h) AS BIGINT) AS most FROM c x JOIN c y ON x.detector < y.detector AND x.k + y.k = 20 GROUP BY 1, 2")
