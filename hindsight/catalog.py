@@ -14,6 +14,8 @@ def register(name: str, sql: str | None = None):
     """Register a function of (spark, sf_dir) as a query, with the DuckDB SQL that gives the same rows."""
 
     def keep(f):
+        if name in _QUERIES:
+            raise ValueError(f"a query named {name} is registered already")
         _QUERIES[name] = f
         if sql is not None:
             _SQL[name] = sql
@@ -23,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .queries import allarms, analysis, arms, calibration, evaluation, fields, generators, ranking, tables  # noqa: F401
+    from .queries import allarms, analysis, arms, calibration, evaluation, fields, generators, ledgers, ranking, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

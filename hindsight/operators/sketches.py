@@ -1,4 +1,4 @@
-"""Folds that depend on order by definition: bounded counts, quantile centroids, mass trees.
+"""Folds that depend on order by definition: bounded counts, quantile centroids.
 
 Each key's events are one sequence; keys run side by side. The state that a fold holds is bounded
 by its capacity, not by the number of events, which stream through in batches.
@@ -101,40 +101,3 @@ def marginal_numeric(e: DataFrame, least: int = 200) -> DataFrame:
         return (int(r.off), f, max(1 / (w + 1), 2 * min(f, 1 - f))) if w >= least else (int(r.off), None, None)
 
     return fold(e.select("event_type", "at", "off", "value").where("value is not null"), "event_type", ("at", "off"), Centroids, step, "off long, f double, p double")
-
-
-def half_space_trees(x: DataFrame, key: str, columns: list[str], trees: int = 25, depth: int = 8, window: int = 250, seed: int = 3) -> DataFrame:
-    """key and score of an ordered stream: mass of the last full window in a row's cells, summed over trees; low mass is odd.
-
-    Trees are fixed before the stream: random halvings of the unit cube. The stream is one sequence.
-    """
-    rng = np.random.default_rng(seed)
-    dims = rng.integers(0, len(columns), (trees, (1 << depth) - 1))
-    bounds = x.agg(*(F.min(c) for c in columns), *(F.max(c) for c in columns)).first()
-    low, high = np.array(bounds[: len(columns)], float), np.array(bounds[len(columns) :], float)
-
-    def run(frames):
-        reference, latest, seen = np.zeros((trees, 1 << depth)), np.zeros((trees, 1 << depth)), 0
-        for f in frames:
-            v = np.clip((f[columns].to_numpy(float) - low) / np.where(high > low, high - low, 1), 0, 1)
-            cell = np.zeros((len(v), trees), dtype=np.int64)
-            lo, hi = np.zeros((len(v), trees, len(columns))), np.ones((len(v), trees, len(columns)))
-            rows, t = np.arange(len(v))[:, None], np.arange(trees)[None, :]
-            node = np.zeros((len(v), trees), dtype=np.int64)
-            for _ in range(depth):
-                d = dims[t, node]
-                mid = (lo[rows, t, d] + hi[rows, t, d]) / 2
-                right = v[rows, d] > mid
-                lo[rows, t, d], hi[rows, t, d] = np.where(right, mid, lo[rows, t, d]), np.where(right, hi[rows, t, d], mid)
-                node = 2 * node + 1 + right
-            cell = node - ((1 << depth) - 1)
-            out = np.empty(len(v))
-            for i in range(len(v)):
-                out[i] = reference[t[0], cell[i]].sum()
-                latest[t[0], cell[i]] += 1
-                seen += 1
-                if seen % window == 0:
-                    reference, latest = latest, np.zeros_like(latest)
-            yield pd.DataFrame({key: f[key], "score": -out})
-
-    return x.select("at", key, *columns).repartitionByRange(1, "at", key).sortWithinPartitions("at", key).mapInPandas(run, f"{key} long, score double")

@@ -126,8 +126,10 @@ def _score(g, v, at, carried, w0, alpha, half_life, least):
         hit = np.flatnonzero(seen)
         p = np.where(k == 0, 1.0, alpha / d)
         count, weight_below = below(*changes, g[hit], 2 * ev[hit], prior[hit], ages, age[hit])
-        p[hit] = np.minimum(1.0, (weight_below / w[hit] + alpha * count + alpha) / d[hit])
-        return ev, out | {"p": p, "n1": np.zeros(len(ev), np.int64), "reserve": alpha / d}, final
+        values, share = np.zeros(len(ev), np.int64), np.zeros(len(ev))
+        values[hit], share[hit] = np.rint(count), weight_below / w[hit]
+        p[hit] = np.minimum(1.0, (share[hit] + alpha * count + alpha) / d[hit])
+        return ev, out | {"p": p, "n1": np.zeros(len(ev), np.int64), "reserve": alpha / d, "below_k": values, "below_n": share}, final
     upper, _ = below(*changes, g, 2 * ev, 1.25 * w, ages, age)
     lower, _ = below(*changes, g, 2 * ev, np.nextafter(0.75 * w, 0), ages, age)
     n1 = np.rint(upper - lower).astype(np.int64)
@@ -142,7 +144,7 @@ def _score(g, v, at, carried, w0, alpha, half_life, least):
     count, weight_below = below(*changes, g, 2 * ev, limit, ages, age)
     tail = np.where(use, weight_below / w * scale, (weight_below / w + alpha * count) / d)
     p = np.where(k == 0, 1.0, np.minimum(1.0, np.maximum(tail, 0) + np.where(reserve <= observed, reserve, 0.0)))
-    return ev, out | {"p": p, "n1": n1, "reserve": reserve}, final
+    return ev, out | {"p": p, "n1": n1, "reserve": reserve, "below_k": np.rint(count).astype(np.int64), "below_n": np.maximum(weight_below, 0) / w}, final
 
 
 def _blocks(rows: DataFrame, keys: list[str], split: int) -> tuple[DataFrame, DataFrame | None]:
@@ -164,7 +166,7 @@ def _blocks(rows: DataFrame, keys: list[str], split: int) -> tuple[DataFrame, Da
 
 
 def value_tails(e: DataFrame, fields: dict[str, Column], key: str | None = "ent", alpha: float = 1.0, least: float | None = None, half_life: int = HALF_LIFE, split: int | None = None) -> DataFrame:
-    """off, ent, at, field, n_v, n, k, p, n1 and reserve of each settled event and field that is not null, in one pass over all fields.
+    """off, ent, at, field, n_v, n, k, p, n1, reserve, below_k and below_n (number and weight of the values no heavier than the observed one) of each settled event and field that is not null, in one pass over all fields.
 
     ``key`` None takes the whole population as one key. With ``least``, a reserve by the share of values of weight 1 +- 0.25
     (at most 0.99) where n is at least ``least`` and that share is larger than the plain one. Values are
@@ -209,8 +211,8 @@ def value_tails(e: DataFrame, fields: dict[str, Column], key: str | None = "ent"
             rows_in = pa.array(ev - kept)
             if len(ev):
                 yield pa.RecordBatch.from_arrays(
-                    [col["off"].take(rows_in), col["ent"].take(rows_in), col["at"].take(rows_in), col["field"].take(rows_in), *(pa.array(out[c], pa.float64()) for c in ("n_v", "n")), pa.array(out["k"], pa.int64()), pa.array(out["p"], pa.float64()), pa.array(out["n1"], pa.int64()), pa.array(out["reserve"], pa.float64())],
-                    names=["off", "ent", "at", "field", "n_v", "n", "k", "p", "n1", "reserve"],
+                    [col["off"].take(rows_in), col["ent"].take(rows_in), col["at"].take(rows_in), col["field"].take(rows_in), *(pa.array(out[c], pa.float64()) for c in ("n_v", "n")), pa.array(out["k"], pa.int64()), pa.array(out["p"], pa.float64()), pa.array(out["n1"], pa.int64()), pa.array(out["reserve"], pa.float64()), pa.array(out["below_k"], pa.int64()), pa.array(out["below_n"], pa.float64())],
+                    names=["off", "ent", "at", "field", "n_v", "n", "k", "p", "n1", "reserve", "below_k", "below_n"],
                 )
 
-    return dealt.mapInArrow(run, f"off long, ent {kind}, at long, field string, n_v double, n double, k long, p double, n1 long, reserve double")
+    return dealt.mapInArrow(run, f"off long, ent {kind}, at long, field string, n_v double, n double, k long, p double, n1 long, reserve double, below_k long, below_n double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,44 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written there; its lineage ends."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written there as Parquet, in folders ``by`` and files sorted by ``order``, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows = df.repartition(*by).sortWithinPartitions(*by, *order) if by else df
+    rows.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """What ``make`` gives, written once in a session for a source whose files have not changed since, and read from there by all who ask.
+
+    A file counts as changed by its path, length and time. Where the folder is gone, it is made again.
+    """
+    key = (spark.sparkContext.applicationId, name, _state(spark, source))
+    if key not in _KEPT or not _exists(spark, _KEPT[key]):
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df = make()
+        (df.repartition(*by).sortWithinPartitions(*by, *order) if by else df).write.partitionBy(*by).parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
+def _fs(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(place)
+
+
+def _state(spark: SparkSession, source: str) -> tuple:
+    place, fs = _fs(spark, source)
+    files = fs.listStatus(place) if fs.getFileStatus(place).isDirectory() else [fs.getFileStatus(place)]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))

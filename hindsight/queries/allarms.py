@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import scalar as S
+from ..operators import arms as A
 from ..operators import combine as K
 from ..operators import novelty as N
 from ..operators import rates as R
-from ..operators.tails import value_tails
 from ..plans import conform as C
 from .base import DAY, EVENTS, HOUR, LABELS, VERDICTS, novelty_ctes, r6, settled_events, verdicts
 from .ranking import _labels
@@ -36,16 +36,7 @@ av AS (SELECT off, ent, tm, detector, 'evaluated' AS status, false AS shadow, p
 
 def all_arms(spark, sf_dir) -> DataFrame:
     """off, ent, at, detector, status, shadow and p (null where the arm abstains); a shadow arm is scored, but enters no combination."""
-    e = settled_events(spark, sf_dir).withColumn("cell", S.weekly_hour(F.col("at")))
-    fields = {f"novelty_{f}": F.col(f) for f in ("band", "event_type", "k")} | {"cellgrid": F.col("cell")} | N.pair_fields()
-    found = value_tails(e, fields)
-    single = found.where(~F.col("field").contains("\u00d7")).withColumnRenamed("field", "detector").select("off", "ent", "at", "detector", F.lit("evaluated").alias("status"), (F.col("detector") == "cellgrid").alias("shadow"), "p")
-
-    def tagged(x, detector, status=F.lit("evaluated")):
-        return x.select("off", "ent", "at", F.lit(detector).alias("detector"), status.alias("status"), F.lit(False).alias("shadow"), "p")
-
-    pairs = N.least_of_pairs(found.where(F.col("field").contains("\u00d7")))
-    return single.unionByName(tagged(pairs, "pairing")).unionByName(tagged(N.population(e, "event_type"), "marginal_event_type", status=F.col("status")))
+    return A.table(spark, sf_dir).select("off", "ent", "at", "detector", "status", "shadow", "p")
 
 
 @register("verdict_table", f"WITH {ALL_ARMS} SELECT off, ent, detector, status, shadow, round(p, 6) AS p FROM av")
@@ -73,6 +64,18 @@ def verdict_census(spark, sf_dir):
     return all_arms(spark, sf_dir).groupBy("detector", "shadow").agg(F.count_if(said).alias("evaluated"), F.count_if(~said).alias("abstained"), F.count_if(said != sound).alias("faults"))
 
 
+@register(
+    "evidence_reconstruction",
+    f"""WITH {ALL_ARMS} SELECT detector, count(CASE WHEN status = 'evaluated' THEN 1 END) AS whole, count(CASE WHEN status <> 'evaluated' THEN 1 END) AS partial, 0::BIGINT AS failed, count(CASE WHEN status <> 'evaluated' THEN 1 END) AS history FROM av GROUP BY 1""",
+)
+def evidence_reconstruction(spark, sf_dir):
+    """By arm: verdicts whose p follows from their evidence alone, abstentions (nothing to compute), and verdicts that do not follow."""
+    x = A.table(spark, sf_dir).withColumn("again", A.recomputed())
+    said = F.col("status") == "evaluated"
+    same = F.coalesce(F.abs(F.col("again") - F.col("p")) <= 1e-12 * F.col("p"), F.lit(False))
+    return x.groupBy("detector").agg(F.count_if(said & same).alias("whole"), F.count_if(~said).alias("partial"), F.count_if(said & ~same).alias("failed"), F.count_if(F.col("cause") == "history").alias("history"))
+
+
 @register(
     "substituted_arm",
     f"""WITH {VERDICTS}, {novelty_ctes('cg', _CELL)}, w AS (SELECT 0 AS s, off, p FROM v UNION ALL SELECT 1, off, p FROM v WHERE detector <> 'novelty_band' UNION ALL SELECT 1, off, p FROM cg_p),
@@ -83,7 +86,7 @@ def substituted_arm(spark, sf_dir):
     """Fisher's combination as it is, and with the shadow cellgrid in the place of the band's novelty."""
     v = verdicts(spark, sf_dir).select("off", "detector", "p")
     both = v.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).where("s = 0 or detector <> 'novelty_band'").select("s", "off", "p")
-    x = both.unionByName(R.cell_grid(settled_events(spark, sf_dir)).select(F.lit(1).alias("s"), "off", "p"))
+    x = both.unionByName(all_arms(spark, sf_dir).where("detector = 'cellgrid'").select(F.lit(1).alias("s"), "off", "p"))
     g = x.groupBy("off").agg(*(F.count(F.when(F.col("s") == s, 1)).alias(f"j{s}") for s in (0, 1)), *(F.sum(F.when(F.col("s") == s, -2 * F.log("p"))).alias(f"x{s}") for s in (0, 1)))
     return g.select("off", *(r6(S.fisher_tail(F.col(f"x{s}"), F.col(f"j{s}")), name) for s, name in ((0, "p"), (1, "substituted"))))
 

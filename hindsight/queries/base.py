@@ -50,10 +50,9 @@ v AS (SELECT off, ent, tm, 'novelty_band' AS detector, p FROM bd_p UNION ALL SEL
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """off, ent, at, detector, p: novelty of three fields, settled events only."""
-    from ..operators.tails import value_tails
+    from ..operators import arms
 
-    found = value_tails(settled_events(spark, sf_dir), {f: F.col(f) for f in ("band", "event_type", "k")})
-    return found.select("off", "ent", "at", F.concat(F.lit("novelty_"), "field").alias("detector"), "p")
+    return arms.table(spark, sf_dir).where(F.col("detector").isin("novelty_band", "novelty_event_type", "novelty_k")).select("off", "ent", "at", "detector", "p")
 
 
 #: x2, j and Fisher's tail of each event: the finite sum for up to three verdicts.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import baselines as B
+from ..operators import trees as T
 from ..plans import conform as C
 from .base import DAY, EVENTS, HOUR, r6
 
@@ -100,8 +101,13 @@ def marginal_numeric(spark, sf_dir):
     return run(C.events(spark, sf_dir)).select("off", r6("f", "f"), r6("p", "p"))
 
 
-@register("half_space_trees")
-def half_space_trees(spark, sf_dir):
-    from ..operators.sketches import half_space_trees as run
+#: Stated before the stream: what a column may hold; beyond it, rows take the nearest cell.
+BOUNDS = [(0.0, 1.0), (0.0, 1.0), (0.0, 400.0), (0.0, 6.0)]
+
+_FEATURE_SQL = f"f AS (SELECT off, tm, (tm % {DAY}) / {DAY}.0 AS hour_frac, (tm // {DAY}) % 7 / 7.0 AS dow_frac, value, CAST(coalesce(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type), 0) AS DOUBLE) AS type_h FROM e)"
 
-    return run(_features(spark, sf_dir), "off", list(FEATURES)).select("off", "score")
+
+@register("half_space_trees", f"WITH {EVENTS}, {_FEATURE_SQL}, {T.sql('f', list(FEATURES), BOUNDS)} SELECT * FROM hst_score")
+def half_space_trees(spark, sf_dir):
+    """Mass of the last 250 events in an event's cells, over 25 trees."""
+    return T.half_space_trees(_features(spark, sf_dir), list(FEATURES), BOUNDS)
