@@ -111,3 +111,23 @@ _FEATURE_SQL = f"f AS (SELECT off, tm, (tm % {DAY}) / {DAY}.0 AS hour_frac, (tm
 def half_space_trees(spark, sf_dir):
     """Mass of the last 250 events in an event's cells, over 25 trees."""
     return T.half_space_trees(_features(spark, sf_dir), list(FEATURES), BOUNDS)
+
+
+#: What a column is divided by before distances are taken.
+SCALE = [1.0, 1.0, 100.0, 6.0]
+
+
+@register("robust_cut_forest")
+def robust_cut_forest(spark, sf_dir):
+    """The mean displacement of each event in ten cut trees of the 64 before it."""
+    from ..operators.cutforest import robust_cut_forest as run
+
+    return run(_features(spark, sf_dir), list(FEATURES), SCALE).select("off", r6("score", "score"))
+
+
+@register("one_class_svm")
+def one_class_svm(spark, sf_dir):
+    """Distance from the boundary that holds nine tenths of all events, over features of 100 landmarks."""
+    from ..operators.oneclass import one_class_svm as run
+
+    return run(_features(spark, sf_dir), "off", list(FEATURES), SCALE).select("off", r6("score", "score"))
