@@ -40,37 +40,3 @@ def competitive_ratio(payoff: np.ndarray) -> tuple[float, np.ndarray]:
     best = payoff.max(axis=0)
     value, mix, _ = solve_game(payoff[:, best > 0] / best[best > 0])
     return value, mix
-
-
-def censored_weight(log_ps: np.ndarray, most: float) -> float:
-    """The exponent a of p ** (a - 1) that fits labelled log p-values best, those beyond ``most`` censored; 1 unless the deviance exceeds 2.706."""
-    inside = log_ps[log_ps <= most]
-    n, k = len(log_ps), len(inside)
-    if not k:
-        return 1.0
-
-    def score(a: float) -> float:
-        return k * math.log(a) + (a - 1) * inside.sum() + ((n - k) * math.log(max(1e-300, 1 - math.exp(a * most))) if n > k else 0.0)
-
-    lo, hi = 1e-6, 1.0
-    for _ in range(200):
-        x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        lo, hi = (x, hi) if score(x) < score(y) else (lo, y)
-    a = (lo + hi) / 2
-    return a if 2 * (score(a) - score(1.0)) > 2.706 else 1.0
-
-
-class Tail:
-    """Empirical survival of scores, continued exponentially beyond the ``excess`` largest."""
-
-    def __init__(self, values: np.ndarray, excess: int = 200):
-        self.x = np.sort(np.asarray(values, float))
-        k = min(excess, len(self.x) - 1)
-        self.cut = self.x[-k - 1] if k > 0 else self.x[-1]
-        over = self.x[self.x > self.cut] - self.cut
-        self.rate, self.share = (1 / over.mean() if len(over) and over.mean() > 0 else 1.0), len(over) / len(self.x)
-
-    def log_survival(self, v: float) -> float:
-        if v > self.cut and self.share > 0:
-            return math.log(self.share) - self.rate * (v - self.cut)
-        return math.log((1 + (self.x >= v).sum()) / (len(self.x) + 1))

@@ -11,9 +11,9 @@ COLUMNS = "d long, rank int, off long, ent long, at long, p double"
 def queues(scored: DataFrame, budget: int, burn_in: int) -> DataFrame:
     """phase, arm, d, rank, off, ent, at and p: the first ``budget`` of each arm and day of ``scored`` (arm, d, off, ent, at, p).
 
-    Order: p to nine digits, then time, entity and place, which is total.
+    Order: ln p to nine digits, so that the deepest tails stay apart, then time, entity and place, which is total.
     """
-    order = Window.partitionBy("arm", "d").orderBy(F.round("p", 9), "at", "ent", "off")
+    order = Window.partitionBy("arm", "d").orderBy(F.round(F.log("p"), 9), "at", "ent", "off")
     x = scored.where(F.col("p").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget)
     return x.select(F.when(F.col("at") < burn_in, "burn_in").otherwise("scoring").alias("phase"), "arm", "d", "rank", "off", "ent", "at", "p")
 
