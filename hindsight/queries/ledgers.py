@@ -94,11 +94,11 @@ def _weighted(spark, sf_dir):
     return placed.where(~early), fits
 
 
-@register("arm_weights", f"WITH {ALL_ARMS}, {LABELS}, {_WEIGHTED} SELECT arm, observed, censored, round(threshold, 6) AS threshold, round(scale, 6) AS scale, round(a, 5) AS a, round(deviance, 5) AS deviance FROM wt")
+@register("arm_weights", f"WITH {ALL_ARMS}, {LABELS}, {_WEIGHTED} SELECT arm, observed, censored, round(threshold, 6) AS threshold, round(scale, 6) AS scale, round(a, 5) AS a, round(deviance, 5) + 0.0 AS deviance FROM wt")
 def arm_weights(spark, sf_dir):
     """Each arm's tail and the weight of its quantiles, learned from the burn-in's queues and labels."""
     _, fits = _weighted(spark, sf_dir)
-    return fits.select("arm", "observed", "censored", r6("threshold", "threshold"), r6("scale", "scale"), F.round("a", 5).alias("a"), F.round("deviance", 5).alias("deviance"))
+    return fits.select("arm", "observed", "censored", r6("threshold", "threshold"), r6("scale", "scale"), F.round("a", 5).alias("a"), (F.round("deviance", 5) + 0.0).alias("deviance"))
 
 
 @register(
