@@ -134,7 +134,8 @@ def sample(docs: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -
     # hashes are spread evenly: the first rows of a language lie below this, with room to spare, so few of a large one are sorted
     limits = sizes.groupBy("lang").agg((F.lit(float(-(2**63))) + F.least(F.lit(2.0) * (rows + 100) / F.count("*"), F.lit(1.1)) * 2.0**64).alias("limit"))
     w = Window.partitionBy("lang").orderBy("h")
-    first = sizes.join(limits, "lang").where(F.col("h") < F.col("limit")).drop("limit").withColumn("i", F.row_number().over(w)).where(F.col("i") <= rows)
+    # by broadcast where they are few, so that rows beyond the limit are gone before rows are dealt by language
+    first = sizes.join(sized(cut(limits), 100_000), "lang").where(F.col("h") < F.col("limit")).drop("limit").withColumn("i", F.row_number().over(w)).where(F.col("i") <= rows)
     first = first.withColumn("past", F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("past") < most_bytes)
     chosen = sized(cut(first.select("lang", "h")), 100_000)
     return d.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
