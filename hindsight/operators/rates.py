@@ -82,20 +82,43 @@ def gamma_posterior(e: DataFrame, half_life_days: float = 7.0) -> DataFrame:
     return daily(e).select("ent", "d", "n", (1 + F.coalesce(F.sum(F.col("n") * w).over(past) / scale, F.lit(0.0))).alias("a"), (1 + F.coalesce(F.sum(w).over(past) / scale, F.lit(0.0))).alias("b"))
 
 
+def hour_shares(e: DataFrame, half_life: int = HALF_LIFE) -> DataFrame:
+    """ent, hour, k (events in it) and share: the part of the entity's day that its density of earlier hours puts into this hour.
+
+    The density is the von Mises kernel's with all its harmonics, integrated over the hour in closed form from decayed moments; the
+    truncated series may leave [0, 1], to which the share is cut. Without earlier hours it is 1/24. Moments are summed by hour first, so
+    that only hours are scanned.
+    """
+    _, coefficients = harmonics()
+    own, phase = weight(F.col("at"), half_life), phase_of_day(F.col("at"))
+    waves = [(f"{c}{h}", f, h) for h in range(1, len(coefficients) + 1) for c, f in (("c", F.cos), ("s", F.sin))]
+    sums = e.groupBy("ent", F.floor(F.col("at") / HOUR).alias("hour")).agg(F.count("*").alias("k"), F.sum(own).alias("w"), *(F.sum(own * f(h * phase)).alias(n) for n, f, h in waves))
+    frame = Window.partitionBy("ent").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select("ent", "hour", "k", *(F.sum(n).over(frame).alias(n) for n in ("w", *(n for n, _, _ in waves))))
+    share = F.lit(1 / 24)
+    for h, r in enumerate(coefficients, 1):
+        a, b = (h * 2 * math.pi / 24 * (F.pmod(F.col("hour"), F.lit(24)) + x) for x in (0, 1))
+        share = share + (F.col(f"c{h}") * (F.sin(b) - F.sin(a)) - F.col(f"s{h}") * (F.cos(b) - F.cos(a))) / F.col("w") * (r / (h * math.pi))
+    return past.select("ent", "hour", "k", F.when(share.isNull(), 1 / 24).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).alias("share"))
+
+
 def volume(e: DataFrame, least_hours: int = 5, half_life: int = HALF_LIFE) -> DataFrame:
-    """ent, hour, k, expected and dispersion of each hour with events.
+    """ent, hour, k, share, expected, dispersion and status of each hour with events.
 
-    The expected count is the day's rate over 24; the dispersion is the mean of (k - e)^2 / e over the
-    entity's earlier hours, at least 1, and null before ``least_hours`` of them.
+    The expected count is the day's rate times the hour's share of the entity's day (``hour_shares``). The dispersion is the
+    decayed mean of (k - e)^2 / e over the entity's earlier hours of which anything was expected, at least 1, and
+    null before ``least_hours`` of them: the arm abstains there, as the width of its null is not known.
     """
     rate = gamma_posterior(e)
-    hours = e.groupBy("ent", F.floor(F.col("at") / HOUR).alias("hour")).agg(F.count("*").alias("k"), F.min("at").alias("at"), F.min("off").alias("off")).withColumn("d", F.floor(F.col("hour") / 24))
-    x = hours.join(rate.select("ent", "d", (F.col("a") / F.col("b") / 24).alias("expected")), ["ent", "d"])
+    hours = hour_shares(e, half_life).withColumn("d", F.floor(F.col("hour") / 24))
+    x = hours.join(rate.select("ent", "d", (F.col("a") / F.col("b")).alias("rate")), ["ent", "d"]).withColumn("expected", F.col("rate") * F.col("share"))
     frame = Window.partitionBy("ent").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    w = F.pow(F.lit(2.0), (F.col("hour") * F.lit(float(HOUR)) - F.lit(1_704_067_200_000_000)) / F.lit(float(half_life)))
-    res = F.pow(F.col("k") - F.col("expected"), F.lit(2)) / F.col("expected")
-    phi = F.when(F.count("*").over(frame) >= least_hours, F.greatest(F.lit(1.0), F.sum(res * w).over(frame) / F.sum(w).over(frame)))
-    return x.select("ent", "hour", "k", "expected", phi.alias("dispersion"))
+    w = F.when(F.col("expected") > 0, F.pow(F.lit(2.0), (F.col("hour") * F.lit(float(HOUR)) - F.lit(1_704_067_200_000_000)) / F.lit(float(half_life))))
+    res = F.pow(F.col("k") - F.col("expected"), F.lit(2)) / F.nullif(F.col("expected"), F.lit(0.0))
+    ok = F.count(w).over(frame) >= least_hours
+    phi = F.when(ok, F.greatest(F.lit(1.0), F.sum(res * w).over(frame) / F.sum(w).over(frame)))
+    said = ok | (F.col("expected") <= 0)
+    return x.select("ent", "hour", "k", "share", "expected", phi.alias("dispersion"), F.when(said, "evaluated").otherwise("abstained_unusable").alias("status"))
 
 
 def drift(e: DataFrame, shift: float = 1.3, least: int = 8) -> DataFrame:

@@ -110,26 +110,41 @@ def gamma_posterior(spark, sf_dir):
     return R.gamma_posterior(C.events(spark, sf_dir)).select("ent", "d", "n", r6("a", "a"), r6("b", "b"))
 
 
+_COEFFICIENTS = R.harmonics()[1]
+_WAVES = ", ".join(f"sum(wt * {f}({h} * 2 * pi() * (((tm % {DAY}) + {DAY}) % {DAY}) / {DAY}.0)) AS {f[0]}{h}" for h in range(1, len(_COEFFICIENTS) + 1) for f in ("cos", "sin"))
+_SHARE = " + ".join(
+    f"{c!r} / ({h} * pi()) * (sum(c{h}) OVER f * (sin({h} * 2 * pi() / 24 * (hour % 24 + 1)) - sin({h} * 2 * pi() / 24 * (hour % 24))) - sum(s{h}) OVER f * (cos({h} * 2 * pi() / 24 * (hour % 24 + 1)) - cos({h} * 2 * pi() / 24 * (hour % 24)))) / sum(w) OVER f"
+    for h, c in enumerate(_COEFFICIENTS, 1)
+)
+
+
 @register(
     "volume",
-    f"""WITH {EVENTS}, {_DAYS}, hours AS (SELECT ent, CAST(floor(tm / {HOUR}.0) AS BIGINT) AS hour, count(*) AS k FROM e GROUP BY ALL),
-x AS (SELECT h.ent, h.hour, h.k, a / b / 24 AS ex, pow(2.0, (h.hour * {float(HOUR)} - {ORIGIN}) / {float(HL)}) AS w FROM hours h JOIN post p ON p.ent = h.ent AND p.d = h.hour // 24)
-SELECT ent, hour, k, round(ex, 6) AS expected, round(CASE WHEN count(*) OVER f >= 5 THEN greatest(1.0, sum(w * (k - ex) ** 2 / ex) OVER f / sum(w) OVER f) END, 6) AS dispersion FROM x WINDOW f AS (PARTITION BY ent ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    f"""WITH {EVENTS}, {_DAYS}, hours AS (SELECT ent, CAST(floor(tm / {HOUR}.0) AS BIGINT) AS hour, count(*) AS k, sum(wt) AS w, {_WAVES} FROM e GROUP BY ALL),
+sh AS (SELECT ent, hour, k, coalesce(greatest(0.0, least(1.0, CASE WHEN count(*) OVER f > 0 THEN 1.0::DOUBLE / 24 + {_SHARE} END)), 0.0) AS s0, count(*) OVER f AS earlier FROM hours WINDOW f AS (PARTITION BY ent ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT h.ent, h.hour, h.k, CASE WHEN earlier > 0 THEN s0 ELSE 1.0::DOUBLE / 24 END AS share, a / b * CASE WHEN earlier > 0 THEN s0 ELSE 1.0::DOUBLE / 24 END AS ex FROM sh h JOIN post p ON p.ent = h.ent AND p.d = h.hour // 24),
+y AS (SELECT *, CASE WHEN ex > 0 THEN pow(2.0, (hour * {float(HOUR)} - {ORIGIN}) / {float(HL)}) END AS w FROM x),
+z AS (SELECT *, count(w) OVER f AS c, sum(w * (k - ex) ** 2 / nullif(ex, 0)) OVER f / sum(w) OVER f AS phi FROM y WINDOW f AS (PARTITION BY ent ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ent, hour, k, round(share, 6) AS share, round(ex, 6) AS expected, round(ln(CASE WHEN c >= 5 THEN greatest(1.0, phi) END), 4) AS ln_dispersion, CASE WHEN c >= 5 OR ex <= 0 THEN 'evaluated' ELSE 'abstained_unusable' END AS status FROM z""",
 )
 def volume(spark, sf_dir):
-    return R.volume(C.events(spark, sf_dir)).select("ent", "hour", "k", r6("expected", "expected"), r6("dispersion", "dispersion"))
+    """The dispersion as its logarithm: it goes into the millions where next to nothing was expected."""
+    x = R.volume(C.events(spark, sf_dir))
+    return x.select("ent", "hour", "k", r6("share", "share"), r6("expected", "expected"), F.round(F.log("dispersion"), 4).alias("ln_dispersion"), "status")
 
 
 @register("volume_tail")
 def volume_tail(spark, sf_dir):
-    """Upper tail of each hour's count: Poisson, or, where the dispersion is beyond 1, negative binomial (an incomplete beta function)."""
+    """Upper tail of each hour's count: negative binomial (an incomplete beta function) where the dispersion is beyond 1, else Poisson; null where the arm abstains, 1 where nothing is expected."""
     from ..functions.special import beta_lower, gamma_log_lower
 
-    x = R.volume(C.events(spark, sf_dir)).select("ent", "hour", "k", "expected", F.greatest(F.coalesce("dispersion", F.lit(1.0)), F.lit(1.0)).alias("dispersion"))
-    k, spread = F.col("k").cast("double"), F.col("dispersion") > 1
-    shape = F.when(spread, F.col("expected") / (F.col("dispersion") - 1)).otherwise(1.0)
-    p = F.when(spread, beta_lower(k, shape, F.col("expected") / (shape + F.col("expected")))).otherwise(F.exp(gamma_log_lower(k, F.col("expected"))))
-    return x.select("ent", "hour", "k", r6(p, "p"))
+    x = R.volume(C.events(spark, sf_dir))
+    k, spread, some = F.col("k").cast("double"), F.col("phi") > 1, F.col("expected") > 0
+    # what the special functions are given must be sound in every row, as they are computed for all
+    x = x.withColumn("phi", F.coalesce("dispersion", F.lit(1.0))).withColumn("mean", F.when(some, F.col("expected")).otherwise(1.0))
+    shape = F.when(spread, F.col("mean") / (F.col("phi") - 1)).otherwise(1.0)
+    p = F.when(~some, 1.0).when(spread, beta_lower(k, shape, F.col("mean") / (shape + F.col("mean")))).otherwise(F.exp(gamma_log_lower(k, F.col("mean"))))
+    return x.select("ent", "hour", "k", r6(F.when(F.col("status") == "evaluated", p), "p"), "status")
 
 
 @register(

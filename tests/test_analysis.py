@@ -24,7 +24,14 @@ def test_volume_tail_holds_every_hour(spark):
     rows = {(r["ent"], r["hour"]): r for r in volume(C.events(spark, DATA)).collect()}
     got = {(r["ent"], r["hour"]): r for r in catalog.queries()["volume_tail"](spark, DATA).collect()}
     assert got.keys() == rows.keys()
+    assert {r["status"] for r in rows.values()} == {"evaluated", "abstained_unusable"}
     for key, r in rows.items():
+        if r["status"] != "evaluated":
+            assert got[key]["p"] is None and r["dispersion"] is None and r["expected"] > 0
+            continue
+        if r["expected"] <= 0:
+            assert got[key]["p"] == 1.0
+            continue
         k, mean, spread = r["k"], r["expected"], max(1.0, r["dispersion"] or 1.0)
         if spread > 1:
             shape, share = mean / (spread - 1), 1 / spread
