@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import sidak_log
 from ..plans.conform import HALF_LIFE, HOUR, running, weight
+from ..plans.store import cut
 
 _NODE = "struct<field:string,value:string,k:double,block:string,d:double>"
 
@@ -40,7 +41,8 @@ def priced_pairs(e: DataFrame, fields: dict[str, Column], blocks: DataFrame | No
     x = running(x.withColumn("all", F.lit(0)), ["all"], {"wt": F.col("own") * f * (f - 1) / 2}, _hour()).drop("all")
     n = x.select("off", "ent", "at", "own", "wt", F.explode("nodes").alias("n"), (f - 1).alias("others")).select("off", "ent", "at", "own", "wt", "others", "n.field", "n.value")
     added = F.col("own") * F.col("others")
-    n = running(n, ["field", "value"], {"k": added}, _hour())
+    # a two-level sum reads its rows twice: without a cut, each step would double the readings of those before it
+    n = cut(running(n, ["field", "value"], {"k": added}, _hour()))
     if blocks is None:
         n = n.withColumn("block", F.lit(None).cast("string")).withColumn("d", F.lit(None).cast("double"))
     else:
@@ -55,7 +57,7 @@ def priced_pairs(e: DataFrame, fields: dict[str, Column], blocks: DataFrame | No
     p = g.select("off", "ent", "at", "own", "wt", F.explode(pair).alias("p"))
     ends = {"f": "field", "v": "value", "k": "k", "d": "d"}
     p = p.select("off", "ent", "at", "own", "wt", *(F.col(f"p.{s}.{c}").alias(f"{n}_{s}") for s in "ab" for n, c in ends.items()), F.col("p.a.block").alias("r"), F.col("p.b.block").alias("s"))
-    p = running(p, ["f_a", "v_a", "f_b", "v_b"], {"w": F.col("own")}, _hour())
+    p = cut(running(p, ["f_a", "v_a", "f_b", "v_b"], {"w": F.col("own")}, _hour()))
     if blocks is None:
         p = p.withColumn("m", F.lit(None).cast("double"))
     else:

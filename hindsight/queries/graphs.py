@@ -54,10 +54,10 @@ def cooccurrence_pairs(spark, sf_dir):
     "cooccurrence_least",
     f"""WITH {PAIRS}, q AS (SELECT *, CASE WHEN lam > 0 THEN least(0.0, ln(list_sum(list_transform(range(0, CAST(floor(we / wt + 1e-9) AS BIGINT) + 1), lambda i: exp(CASE WHEN i > 0 THEN i * ln(lam) - lgamma(i + 1.0) ELSE 0 END - lam))))) ELSE 0.0 END AS lp FROM pp),
 r AS (SELECT *, row_number() OVER (PARTITION BY off ORDER BY round(lp, 9), f_a, f_b) AS rn, count(*) OVER (PARTITION BY off) AS tests FROM q)
-SELECT off, ent, tests, f_a, f_b, fallback, round(lp, 5) AS least, round(CASE WHEN lp >= 0 THEN 0.0 WHEN lp < -30 THEN ln(tests) + lp ELSE ln(1 - pow(1 - exp(lp), tests)) END, 5) AS log_p FROM r WHERE rn = 1""",
+SELECT off, ent, tests, f_a, f_b, fallback, round(lp, 5) + 0.0 AS least, round(CASE WHEN lp >= 0 THEN 0.0 WHEN lp < -30 THEN ln(tests) + lp ELSE ln(1 - pow(1 - exp(lp), tests)) END, 5) + 0.0 AS log_p FROM r WHERE rn = 1""",
 )
 def cooccurrence_least(spark, sf_dir):
     """One verdict for each event: the pair whose weight is least likely to be so low, corrected for the number of pairs."""
     e = settled_events(spark, sf_dir)
     x = G.least_pair(G.priced_pairs(e, _fields(), stated_blocks(C.events(spark, sf_dir))))
-    return x.select("off", "ent", "tests", "f_a", "f_b", "fallback", F.round("least", 5).alias("least"), F.round("log_p", 5).alias("log_p"))
+    return x.select("off", "ent", "tests", "f_a", "f_b", "fallback", (F.round("least", 5) + 0.0).alias("least"), (F.round("log_p", 5) + 0.0).alias("log_p"))
