@@ -62,7 +62,7 @@ def test_held_out(spark, wait):
 
 def test_discoveries_by_day_and_level(spark):
     r = random.Random(8)
-    tests = [(h, t, off, C.ORIGIN + (off % 6) * C.DAY, round(r.random() ** 6, 3), int(r.random() < 0.3)) for h in "ac" for t in "AB" for off in range(240)]  # many ties
+    tests = [(h, t, off, C.ORIGIN + (off % 6) * C.DAY, max(0.002, round(r.random() ** 6, 3)), int(r.random() < 0.3)) for h in "ac" for t in "AB" for off in range(240)]  # many ties
     levels = (0.001, 0.05, 0.2)
     want = Counter()
     for h in "ac":
