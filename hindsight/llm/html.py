@@ -3,11 +3,14 @@
 A page becomes one sequence: each word scores positive, each tag scores negative, with
 weights that are counted from labelled pages. One linear scan finds the contiguous run with
 the greatest sum; its words are the main text. Words of links weigh by their own log-odds where no
-article or main element holds them. Elements that are no part of any article
+article or main element holds them; so do other words outside those elements, on a page that has them and
+does not hold most of its words (``MOSTLY``) elsewhere. An article within another or within a main element
+is no edge of the content. Elements that are no part of any article
 (menus, sidebars, forms, scripts, adverts, notices, reader comments) leave the sequence
 first, wherever they stand, so neither does their text appear nor does it split an article.
 
-Names of classes mislead. Where the page has article or main elements and all of them would leave
+Names of classes mislead. A part of a name does not count beside a word that denies it ("ad-free", "no-sidebar").
+Names of functions, such as a search, that hold prose and no controls within an article are sections of it. Where the page has article or main elements and all of them would leave
 with what holds them, they stay; where nothing at all is left, the page is read once more without
 regard to names and forms. A form that holds a heading h1, an article or a main element is a frame of
 the whole page, not a form.
@@ -19,6 +22,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -46,14 +50,63 @@ TRACKED = BLOCKS - frozenset("hr".split()) | frozenset("span a ins font button s
 NEVER = frozenset("head nav footer aside form menu dialog fieldset button select object".split())
 #: Parts of class, id and role names that mark what is no part of an article.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies "
-    "discussion disqus footer gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notices notification pager pagination popup promo promoted promotion "
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies "
+    "discussion disqus feedback footer gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notices notification pager pagination popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar widget".split()
 )
 
+#: Of these, parts that name a function; a section of an article may be named by its subject in the same way.
+FUNCTIONS = frozenset("login menu pager reply respond search share sharing signup skip social toolbar widget".split())
+#: Words that deny the part of a name beside them.
+DENIALS = frozenset("free has no with without".split())
+#: An element with one of the names of functions is prose with this many words, without controls and with three times the words of its links.
+PROSE = 20
+#: Words outside article and main elements, times those within, from which on the elements are not believed.
+MOSTLY = 4
+CONTROLS = frozenset("button form input select textarea".split())
+
+
+def _marks(attrs: str) -> set[str]:
+    """The parts of an element's names that mark it, those beside a denial left out."""
+    found = set()
+    for m in _MARKING.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PART.findall(name)
+            found.update(x for i, x in enumerate(parts) if x in MARKS and DENIALS.isdisjoint(parts[max(0, i - 1) : i + 2]))
+    return found
+
+
+def _prose(page: str) -> frozenset[int]:
+    """Where the elements begin that hold prose; one pass."""
+    found: set[int] = set()
+    open_: list[tuple[str, int, int, int, int]] = []
+    count: Counter = Counter()
+    plain = link = controls = at = 0
+
+    def close():
+        name, start, p, k, c = open_.pop()
+        count[name] -= 1
+        if controls == c and plain - p >= max(PROSE, 3 * (link - k)):
+            found.add(start)
 
-def _marked(attrs: str) -> bool:
-    return any(part in MARKS for m in _MARKING.finditer(attrs) for part in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
+    for m in _TOKEN.finditer(page):
+        words = len(page[at : m.start()].split())
+        plain, link = (plain, link + words) if count["a"] else (plain + words, link)
+        at = m.end()
+        name = (m["name"] or m["raw"] or "").lower()
+        if not m["close"]:
+            controls += name in CONTROLS
+            if name in TRACKED and m["name"] and not m["attrs"].endswith("/"):
+                open_.append((name, m.start(), plain, link, controls - (name in CONTROLS)))
+                count[name] += 1
+        elif count[name]:
+            while open_[-1][0] != name:
+                close()
+            close()
+    plain += len(page[at:].split())
+    while open_:
+        close()
+    return frozenset(found)
 
 
 _FORM = re.compile(r"<(/?)form\b|<(?:h1|article|main)\b", re.I)
@@ -100,7 +153,9 @@ class Open:
 
 
 def tokens(page: str, lift: bool = False, names: bool = True) -> list[tuple[str, str]]:
-    """("", text), or ("a", text) of a link outside articles, and (name or /name, "") of what may belong to an article, in order.
+    """("", text), outside articles ("a", text) of a link and ("o", text) of what is none, and (name or /name, "") of what may belong to an article, in order.
+
+    An article or main element within another is given as a div.
 
     With ``lift``, article and main elements stay whatever holds them; without ``names``, classes and
     forms are not looked at.
@@ -108,10 +163,11 @@ def tokens(page: str, lift: bool = False, names: bool = True) -> list[tuple[str,
     out: list[tuple[str, str]] = []
     stack = Open()
     frames = _frames(page)
+    prose: frozenset[int] | None = None
     at = 0
 
     def said(text):
-        out.append(("a" if stack.count["a"] and not stack.within() else "", text))
+        out.append(("" if stack.within() else "a" if stack.count["a"] else "o", text))
 
     for m in _TOKEN.finditer(page):
         skipping = stack.skipping()
@@ -138,7 +194,11 @@ def tokens(page: str, lift: bool = False, names: bool = True) -> list[tuple[str,
                 skipping = False
             if name in TRACKED and not m["attrs"].endswith("/"):
                 within = stack.within()
-                marked = names and _marked(m["attrs"])
+                marks = _marks(m["attrs"]) if names else ()
+                if marks and within and FUNCTIONS.issuperset(marks):
+                    prose = _prose(page) if prose is None else prose
+                    marks = () if m.start() in prose else marks
+                marked = bool(marks)
                 never = name in NEVER and not (name == "form" and (not names or m.start() in frames)) and not (name == "fieldset" and not names)
                 left = skipping or never or name == "header" and not within or name not in ("html", "body", "article", "main") and marked
                 left = left or name == "article" and within and marked
@@ -146,7 +206,9 @@ def tokens(page: str, lift: bool = False, names: bool = True) -> list[tuple[str,
                     left = False
                 stack.push(name, left)
         if not stack.skipping():
-            out.append(("/" + name if m["close"] else name, ""))
+            inner = name in ("article", "main") and stack.count["article"] + stack.count["main"] > (0 if m["close"] else 1)
+            said_name = "div" if inner else name
+            out.append(("/" + said_name if m["close"] else said_name, ""))
     if at < len(page) and not stack.skipping():
         said(page[at:])
     return out
@@ -163,8 +225,8 @@ def _sequence(page: str) -> list[tuple[str, str]]:
 
 
 @cache
-def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float, float]:
-    """Scores of tags, of a word, and of a word of a link outside articles, from labelled pages.
+def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], dict[str, float]]:
+    """Scores of tags, and of a word by where it stands ("", "a", "o" as in ``tokens``), from labelled pages.
 
     A tag inside the content costs a small share of a word, so that even a block of one word
     adds to the sum. What stands only outside costs several words, by its log-odds; the
@@ -174,7 +236,8 @@ def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float, fl
     for page in pages:
         before, content, after = re.split(r"\[\[|\]\]", page)
         inside.update(n for n, t in tokens(content) if not t)
-        words.update({("in", n): len(t.split()) for n, t in tokens(content) if t})
+        for n, t in tokens(content):  # read without the element that holds it
+            words["in", "" if n == "o" else n] += len(t.split())
         for part, side in ((before, -1), (after, 0)):
             names = [n for n, t in tokens(part) if not t]
             outside.update(names)
@@ -188,22 +251,34 @@ def weights(pages: tuple[str, ...] = PAGES) -> tuple[dict[str, float], float, fl
         scores[name] = -0.05 if i else -max(0.5, math.log((o + 1) / (i + 1)))
         if edge[name] and not i:
             scores[name] = -20.0 * (1 + math.log(edge[name]))
-    return scores, 1.0, min(0.0, math.log((words["in", "a"] + 1) / (words["out", "a"] + 1)))
+    odds = lambda n: min(0.0, math.log((words["in", n] + 1) / (words["out", n] + 1)))
+    return scores, {"": 1.0, "a": odds("a"), "o": odds("o")}
 
 
-def main_text(page: str | None) -> str:
-    """The text of the best run: blocks in page order, joined by one newline; empty if there is none."""
-    if not page:
-        return ""
-    scores, word, link = weights()
-    seq = _sequence(page)
+def best_run(values: Iterable[float]) -> tuple[int, int]:
+    """Where the contiguous run of the greatest positive sum begins and ends (exclusive), the first of equal ones; (0, 0) if there is none."""
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (name, text) in enumerate(seq):
-        total += (link if name else word) * len(text.split()) if text else scores.get(name, -0.3)
+    for i, x in enumerate(values):
+        total += x
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, best_from, best_to = total, start, i + 1
+    return best_from, best_to
+
+
+def main_text(page: str | None) -> str:
+    """The text of the best run: blocks in page order, joined by one newline; empty if there is none."""
+    if not page:
+        return ""
+    scores, word = weights()
+    seq = _sequence(page)
+    count = Counter()
+    for name, text in seq:
+        count[name] += len(text.split())
+    if not count[""] or count["o"] > MOSTLY * count[""]:
+        word = word | {"o": 1.0}
+    best_from, best_to = best_run(word[name] * len(text.split()) if text else scores.get(name, -0.3) for name, text in seq)
     blocks: list[str] = []
     parts: list[str] = []
     for name, text in seq[best_from:best_to]:
