@@ -158,6 +158,16 @@ def drift(spark, sf_dir):
     return R.drift(C.events(spark, sf_dir)).select("ent", "d", "n", r6("cusum", "cusum"), r6("z", "z"), "status")
 
 
+@register("drift_tail")
+def drift_tail(spark, sf_dir):
+    """Upper normal tail of each day's standardised sum, and its logarithm; null where the arm abstains. erfc has no SQL form."""
+    from ..functions.special import normal_upper
+
+    x = R.drift(C.events(spark, sf_dir))
+    x = x.withColumn("p", F.when(F.col("status") == "evaluated", normal_upper(F.coalesce("z", F.lit(0.0)))))
+    return x.select("ent", "d", "status", r6("p", "p"), r6(F.log("p"), "ln_p"))
+
+
 @register(
     "burst",
     f"""WITH {EVENTS}, i AS (SELECT DISTINCT ent, tm, wt FROM e), g AS (SELECT *, (tm - lag(tm) OVER (PARTITION BY ent ORDER BY tm)) / 1e6 AS gap FROM i),
