@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .queries import allarms, analysis, arms, calibration, evaluation, fields, generators, graphs, growth, ledgers, ranking, tables  # noqa: F401
+    from .queries import allarms, analysis, arms, calibration, evaluation, fields, fullarms, generators, graphs, growth, ledgers, ranking, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
