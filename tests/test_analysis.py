@@ -44,3 +44,19 @@ def test_volume_tail_holds_every_hour(spark):
 def test_the_rest_imports_without_the_training_data_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.llm is None and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_good_turing_reads_histories_of_five(spark):
+    from hindsight.operators.novelty import dirichlet
+    from hindsight.queries.base import settled_events
+
+    past = {r["off"]: r for r in dirichlet(settled_events(spark, DATA), "k").collect()}
+    got = {r["off"]: r for r in catalog.queries()["novelty_good_turing"](spark, DATA).collect()}
+    assert got.keys() == past.keys()
+    used = 0
+    for off, r in past.items():
+        share, plain = min(0.99, got[off]["n1"] / r["n"]) if r["n"] else 0.0, 1 / (r["n"] + r["k"] + 1)
+        use = r["n"] >= 5 and share > plain
+        used += use
+        assert abs(got[off]["reserve"] - (share if use else plain)) < 1e-6
+    assert used > len(past) / 2
