@@ -8,9 +8,10 @@ are the library's own.
 
 No piece of the vocabulary joins a letter to a following blank mark, nor holds a letter that only
 stands alone, so a text falls into segments that never merge with each other, and what a segment
-becomes is kept for the next one like it. What it becomes depends on nothing but which of its
-candidates, counted as they come up, are skipped. An occurrence draws the number of candidates up to
-its first skip, then up to the next one; what was made with the same skips before is taken again.
+becomes without a skip is kept for the next one like it. What it becomes depends on nothing but which
+of its candidates, counted as they come up, are skipped. An occurrence draws the number of candidates
+up to its first skip, then up to the next one. Occurrences that skip any, and segments not met before,
+are merged many at a time: in each round every one of them takes its next candidate (``_fold``).
 
 Letters outside the vocabulary become byte pieces, and so does a blank mark that the text itself
 contains; hence decoding gives back every text exactly. This is checked: each segment's pieces
@@ -25,21 +26,27 @@ import re
 from array import array
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, list_array, slices, texts_of
+from .common import arrow_map, list_array, slices
+from .shingles import mix, runs
 
 BLANK = "▁"
 DROPOUT = 0.1
 KEPT_SEGMENTS = 400_000
 _MASK = (1 << 64) - 1
 _NEVER = float("inf")
-#: Segments up to this length keep what they became after skips too.
+#: Segments up to this length are merged many at a time, in these classes of length; longer ones one by one.
 _SHORT = 40
+_CLASSES = (1, 4, 6, 8, 10, 14, _SHORT)
+_STEP = 0x9E3779B97F4A7C15
+_LEVEL = 0xD1B54A32D192ED03
+_U = np.uint64
 
 
 def _path(path: str | None) -> str:
@@ -50,6 +57,44 @@ def _path(path: str | None) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Pairs:
+    """What two neighbouring symbols, by their ids, merge into: a table of slots by hash, and a sorted list of the pairs whose slot was taken."""
+
+    def __init__(self, piece_id: dict[str, int], none: int, bits: int = 20):
+        get, found = piece_id.get, []
+        for piece, i in piece_id.items():
+            for k in range(1, len(piece)):
+                a, b = get(piece[:k]), get(piece[k:])
+                if a is not None and b is not None:
+                    found.append((a, b, i))
+        left, right, to = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        self.none, self._n, self._shift = none, none + 1, _U(64 - bits)
+        pairs = left * self._n + right
+        slots = self._slots(pairs)
+        _, first = np.unique(slots, return_index=True)
+        rest = np.setdiff1d(np.arange(len(pairs)), first)
+        rest = rest[np.argsort(pairs[rest])]
+        self._pair, self._to, self._over = np.full(1 << bits, -1, np.int64), np.full(1 << bits, none, np.int32), np.zeros(1 << bits, bool)
+        self._pair[slots[first]], self._to[slots[first]], self._over[slots[rest]] = pairs[first], to[first], True
+        self._more, self._more_to = pairs[rest], to[rest]
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * _U(_STEP) >> self._shift).view(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids that a and b merge into; ``none`` where they do not."""
+        pairs = a.astype(np.int64) * self._n + b
+        slots = self._slots(pairs)
+        hit = self._pair[slots] == pairs
+        out = np.where(hit, self._to[slots], self.none)
+        missed = np.flatnonzero(~hit & self._over[slots])
+        if len(missed):
+            at = np.minimum(np.searchsorted(self._more, pairs[missed]), len(self._more) - 1)
+            there = self._more[at] == pairs[missed]
+            out[missed[there]] = self._more_to[at[there]]
+        return out
+
+
 class Codec:
     """Encoder and decoder of one model file, seed and chance of dropout."""
 
@@ -88,6 +133,100 @@ class Codec:
         self._gaps = np.array(self._limits, dtype=np.uint64)
         self._young: dict = {}
         self._old: dict = {}
+        none = len(self.table)
+        self._pairs = Pairs(self.piece_id, none)
+        self._order = np.full(none + 1, np.iinfo(np.int32).max, np.int32)
+        ids = np.array([*self.piece_id.values()], dtype=np.int64)
+        self._order[ids] = np.unique([self.rank[x] for x in self.piece_id], return_inverse=True)[1]
+        self._n_letters = np.zeros(none, np.int64)
+        self._n_letters[ids] = [*map(len, self.piece_id)]
+        self._letter_id = np.full(0x110000, none, np.int32)
+        for piece, i in self.piece_id.items():
+            if len(piece) == 1 and piece != BLANK:
+                self._letter_id[ord(piece)] = i
+        self._letter_id[0x20] = self.piece_id.get(BLANK, none)
+
+    def _draw(self, keys: np.ndarray, level: np.ndarray, at: np.ndarray) -> None:
+        """``_next`` for many: ``at`` moves on to the next skip, and ``level`` with it."""
+        todo = np.arange(len(keys))
+        while len(todo):
+            x = mix(keys[todo] + level[todo] * _U(_LEVEL))
+            gap = np.searchsorted(self._gaps, x, side="right")
+            level[todo] += _U(1)
+            at[todo] += gap
+            todo = todo[(gap == len(self._limits)) & (at[todo] < 3 * _SHORT)]
+
+    def _fold(self, segments: list[str], keys: np.ndarray | None = None, skip: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes | None]]:
+        """``_encode`` for many: how many candidates come up, and the ids; with ``keys`` skipping as these draw, first the candidate ``skip``.
+
+        No ids where a segment is too long or holds a letter that is no piece.
+        """
+        counts, out = np.zeros(len(segments), np.int64), [None] * len(segments)
+        if not segments:
+            return counts, out
+        none, never, order, pairs = self._pairs.none, np.iinfo(np.int32).max, self._order, self._pairs
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        starts = np.cumsum(lengths) - lengths
+        letters = self._letter_id[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        fit = np.add.reduceat(letters == none, starts) == 0
+        for least, width in zip(_CLASSES[:-1], _CLASSES[1:], strict=True):
+            rows = np.flatnonzero(fit & (lengths > least) & (lengths <= width))
+            if not len(rows):
+                continue
+            # a symbol stands where its first letter stood; there is a place without one at either end
+            n, wide = len(rows), width + 2
+            symbol = np.full((n, wide), none, np.int32)
+            inside = np.arange(width) < lengths[rows][:, None]
+            symbol[:, 1:-1][inside] = letters[(starts[rows][:, None] + np.arange(width))[inside]]
+            to = np.full((n, wide), none, np.int32)
+            to[:, :-1] = pairs(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, wide - 1)
+            agenda = order[to]
+            symbol, to, ranks = symbol.ravel(), to.ravel(), agenda.ravel()
+            after, before = np.arange(n * wide) + 1, np.arange(n * wide) - 1
+            live, number, count = np.arange(n), 0, np.zeros(n, np.int64)
+            if keys is not None:
+                own, level, at = keys[rows], np.ones(n, np.uint64), skip[rows].astype(np.int64)
+                on = np.flatnonzero(at == len(self._limits))
+                if len(on):
+                    k, v, a = own[on], level[on], at[on]
+                    self._draw(k, v, a)
+                    level[on], at[on] = v, a
+            while True:
+                i = live * wide + agenda[live].argmin(axis=1)
+                more = ranks[i] != never
+                if not more.all():
+                    live, i = live[more], i[more]
+                if not len(live):
+                    break
+                count[live] += 1
+                if keys is not None:
+                    stop = at[live] == number
+                    if stop.any():
+                        who = live[stop]
+                        ranks[i[stop]] = never
+                        k, v, a = own[who], level[who], at[who] + 1
+                        self._draw(k, v, a)
+                        level[who], at[who] = v, a
+                        i = i[~stop]
+                j = after[i]
+                k, h = after[j], before[i]
+                symbol[i], symbol[j], ranks[j] = to[i], none, never
+                after[i], before[k] = k, i
+                ends = np.concatenate([h, i])
+                to[ends] = pairs(symbol[ends], np.concatenate([symbol[i], symbol[k]]))
+                ranks[ends] = order[to[ends]]
+                number += 1
+            counts[rows] = count
+            there = symbol != none
+            ids, sizes = symbol[there], there.reshape(n, wide).sum(axis=1)
+            ends = np.cumsum(sizes)
+            took = [segments[x] for x in rows.tolist()]
+            if (np.add.reduceat(self._n_letters[ids], ends - sizes) != lengths[rows]).any() or b"".join(map(self.table.__getitem__, ids.tolist())) != "".join(took).encode():
+                raise ValueError("a segment does not decode to itself")
+            data, begin = ids.tobytes(), 0
+            for x, end in zip(rows.tolist(), (4 * ends).tolist(), strict=True):
+                out[x], begin = data[begin:end], end
+        return counts, out
 
     def _next(self, key: int, at: int, level: int, stop: int) -> tuple[int, int]:
         """The next skip from candidate ``at`` on, or some number from ``stop`` on, and the next level of ``key``."""
@@ -199,26 +338,53 @@ class Codec:
             at, level = self._next(key, at + 1, level, found[0])
         return found[1]
 
-    def ids(self, text: str, key: str = "") -> np.ndarray:
-        """The text's ids; ``key`` (an id, say) lets equal texts differ."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        segments = self._segments.findall(" " + text)
-        if sum(map(len, segments)) != len(text) + 1:
+    def _meet(self, segments: set[str]) -> None:
+        """Have what the segments become at hand; what was not met since the last turn is forgotten."""
+        new = [x for x in segments if x not in self._young]
+        if len(self._young) + len(new) > self.kept:
+            self._old, self._young, new = self._young, {}, segments
+        old, unknown = self._old.get, []
+        for x in new:
+            found = old(x)
+            if found:
+                self._young[x] = found
+            else:
+                unknown.append(x)
+        counts, made = self._fold(unknown)
+        for x, count, ids in zip(unknown, counts.tolist(), made, strict=True):
+            self._young[x] = (count, ids) if ids is not None else self._encode(x, ())
+
+    def many(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and how many each text has; a key (an id, say) lets equal texts differ."""
+        split = [self._segments.findall(" " + t) if t else [] for t in texts]
+        if any(sum(map(len, x)) != len(t) + 1 for x, t in zip(split, texts, strict=True) if t):
             raise ValueError("the segments do not make up the text")
-        look_up, get = self._look_up, self._young.get
-        if not self._limits:
-            return np.frombuffer(b"".join([(get(s) or look_up(s))[1] for s in segments]), dtype=np.int32)
-        own = xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(key, self.seed & _MASK))
-        keys = np.arange(len(segments), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own)
-        x = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        gaps = np.searchsorted(self._gaps, x ^ (x >> np.uint64(31)), side="right")
-        out = []
-        for segment, gap, k in zip(segments, gaps.tolist(), keys.tolist(), strict=True):
-            found = get(segment) or look_up(segment)
-            out.append(found[1] if gap >= found[0] else self._skipped(segment, gap, k))
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        segments = [*chain.from_iterable(split)]
+        del split
+        if not segments:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), np.int64)
+        self._meet(set(segments))
+        found = [*map(self._young.__getitem__, segments)]
+        out = [ids for _, ids in found]
+        ends = np.cumsum(sizes)
+        if self._limits:
+            counts = np.fromiter((n for n, _ in found), np.int64, len(found))
+            own = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh64_intdigest(k, self.seed & _MASK)) for t, k in zip(texts, keys, strict=True)], dtype=np.uint64)
+            place = (np.arange(len(segments)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
+            key = place * _U(_STEP) + np.repeat(own, sizes)
+            gaps = np.searchsorted(self._gaps, mix(key), side="right")
+            skipping = np.flatnonzero(gaps < counts)
+            key, gaps, at = key[skipping], gaps[skipping], skipping.tolist()
+            _, made = self._fold([segments[i] for i in at], key, gaps)
+            for n, (i, ids) in enumerate(zip(at, made, strict=True)):
+                out[i] = ids if ids is not None else self._skipped(segments[i], int(gaps[n]), int(key[n]))
+        lengths = np.concatenate([[0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4)])
+        return np.frombuffer(b"".join(out), dtype=np.int32), lengths[ends] - lengths[ends - sizes]
+
+    def ids(self, text: str, key: str = "") -> np.ndarray:
+        """The text's ids."""
+        return self.many([text], [key])[0]
 
     def text(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; it begins with the blank that encoding has put before it."""
@@ -246,11 +412,10 @@ def encode(docs: DataFrame, seed: int = 20240601, dropout: float = DROPOUT, path
         codec = _codec(path, seed, dropout)
 
         def step(batch):
-            for part in slices(batch, 512) if batch is not None else ():
-                texts = texts_of(part)
-                found = [codec.ids(t, str(i)) for t, i in zip(texts, part.column(0).to_pylist(), strict=True)]
-                lengths = [len(x) for x in found]
-                yield {"doc_id": part.column(0), "ids": list_array(np.concatenate(found), lengths, pa.int32()), "n_ids": lengths, "lossless": [codec.text(x) == t for x, t in zip(found, texts, strict=True)]}
+            for part, texts in runs(batch) if batch is not None else ():
+                ids, lengths = codec.many(texts, [*map(str, part.column(0).to_pylist())])
+                each = np.split(ids, np.cumsum(lengths)[:-1])
+                yield {"doc_id": part.column(0), "ids": list_array(ids, lengths, pa.int32()), "n_ids": lengths, "lossless": [codec.text(x) == t for x, t in zip(each, texts, strict=True)]}
 
         return step
 

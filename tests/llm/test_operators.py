@@ -638,3 +638,26 @@ def test_a_list_longer_than_what_is_held_keeps_all_sets_and_one_leader(spark, mo
     assert [(s, x, m) for s, x, m, _ in got[2]] == [(7, 7, 2), (8, 7, 2)] and 3 not in got
     assert [(s, x, light) for s, x, _, light in got[5]] == [(1, 1, True), (2, 1, True)]
     assert all(m > 2 for k in (1, 4) for _, _, m, _ in got[k])
+
+
+def test_pieces_merged_at_once_are_those_merged_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", " ", "▁ a▁b", "naïve 漢字 ☃ straße  two   blanks\n\ttab", "x" * 90 + " y" * 50]
+    texts += [" ".join("".join(rng.choice("abcdefghilmnoprstuéè.") for _ in range(rng.randrange(1, 60 if i % 7 == 0 else 12))) for _ in range(40)) for i in range(30)]
+    for dropout in (0.1, 0.6, 0.97):
+        codec, plain = pieces.Codec(seed=5, dropout=dropout), pieces.Codec(seed=5, dropout=dropout)
+        ids, lengths = codec.many(texts, [str(i) for i in range(len(texts))])
+        for i, (text, got) in enumerate(zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True)):
+            own, want = pieces.xxhash.xxh64_intdigest(text, pieces.xxhash.xxh64_intdigest(str(i), 5)), []
+            for place, segment in enumerate(plain._segments.findall(" " + text) if text else []):
+                key, stop, skips = own + place * 0x9E3779B97F4A7C15 & (1 << 64) - 1, 3 * len(segment), set()
+                at, level = plain._next(key, 0, 0, stop)
+                while at < stop:
+                    skips.add(at)
+                    at, level = plain._next(key, at + 1, level, stop)
+                want += np.frombuffer(plain._encode(segment, skips)[1], np.int32).tolist()
+            assert got.tolist() == want and codec.text(got) == text
+    one_by_one = []
+    monkeypatch.setattr(codec, "_encode", lambda segment, skips: one_by_one.append(segment))
+    codec.many(["some other words of everyday length, none of them met before"], ["7"])
+    assert not one_by_one
