@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "6m"
+#: Share of the driver's largest heap past which garbage is collected between jobs.
+HEAP_SHARE = 0.45
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     that setting is missing and the master is local, as in a plain test.
     """
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    _give_back_heap(df.sparkSession)
+    return out
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -52,8 +56,23 @@ def release(df: DataFrame) -> None:
 
     Its cleaner acts when the driver collects garbage, which a loop of small jobs may not cause for long.
     """
+    _collect(df.sparkSession)
+
+
+def _collect(spark: SparkSession) -> None:
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _give_back_heap(spark: SparkSession) -> None:
+    """Have the driver's garbage collected once its heap has grown past ``HEAP_SHARE`` of what it may take.
+
+    A query of many small jobs leaves so much behind, mostly plans, that the heap grows to its limit
+    though a fraction of it is in use; collecting it gives the rest back to the system.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        _collect(spark)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
@@ -182,6 +201,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _give_back_heap(spark)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

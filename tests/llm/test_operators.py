@@ -661,3 +661,14 @@ def test_pieces_merged_at_once_are_those_merged_one_by_one(monkeypatch):
     monkeypatch.setattr(codec, "_encode", lambda segment, skips: one_by_one.append(segment))
     codec.many(["some other words of everyday length, none of them met before"], ["7"])
     assert not one_by_one
+
+
+def test_heap_is_given_back_between_jobs(spark, monkeypatch):
+    from hindsight.llm import common
+
+    collected = []
+    monkeypatch.setattr(common, "_collect", lambda s: collected.append(s))
+    for share, times in ((1.1, 0), (0.0, 2)):
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        assert common.cut(spark.range(3)).count() == common.stored(spark.range(3), "rows").count() == 3
+        assert len(collected) == times
