@@ -12,7 +12,8 @@ Two lines within one edit share the half before or the half behind the edit, so
 share a half with another line emit variants. A variant is the line without its i-th word, as a
 sum of hashes of words and places, which costs a line no more than its length. Lines that share a
 variant *and* i differ in that one word; a line that equals another's variant lacks one word. The
-same holds for characters; there a line emits only variants of the half that it does not share.
+same holds for characters; there a line emits only variants of the half that it does not share, and a
+line of up to ``DIRECT_CHARS`` characters, where this is cheaper than sums, the hash of what is left.
 Hence every member of such a group is within one edit of the group's earliest, one comparison
 for each member is enough, and no group is expanded into pairs.
 """
@@ -27,6 +28,8 @@ from .common import cut, empty_as, sized, stored
 MIN_WORDS = 10
 #: Length from which a line is compared by characters too, where that is asked for.
 MIN_CHARS = 20
+#: Length up to which a line's variants by characters are hashed as texts; lines of this length and one more have sums too, as they meet longer ones.
+DIRECT_CHARS = 400
 #: Rows of a checked frame up to which it is broadcast (some tens of bytes each).
 BROADCAST_ROWS = 250_000
 #: Occurrences from which a line is joined by broadcast, when the other lines are shuffled.
@@ -46,19 +49,21 @@ def _place() -> Column:
 def _halves(words: Column) -> Column:
     """Hashes of the half lines that a line may share with one of its own length or one word more or less."""
     n = F.size(words)
-    keys = []
-    for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit("first"), m, F.slice(words, 1, m)), F.xxhash64(F.lit("last"), m, F.slice(words, n - m + 1, m))]
-    return F.array_distinct(F.array(*keys))
+    hashes = lambda m: [F.xxhash64(F.lit("first"), m, F.slice(words, 1, m)), F.xxhash64(F.lit("last"), m, F.slice(words, n - m + 1, m))]
+    return F.array(*_both_halves(n, hashes))
+
+
+def _both_halves(n: Column, hashes) -> list[Column]:
+    """The hashes for half the length and for half of one less; null where, for an odd length, the latter are the same again."""
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return hashes(half) + [F.when(n % 2 == 0, x) for x in hashes(less)]
 
 
 def _char_halves(line: Column) -> Column:
     """The same by characters, in the order first, last, first, last."""
     n = F.char_length(line)
-    keys = []
-    for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.substring(line, n - m + 1, m))]
-    return F.array(*keys)
+    hashes = lambda m: [F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.substring(line, n - m + 1, m))]
+    return F.array(*_both_halves(n, hashes))
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
@@ -76,7 +81,7 @@ def near_lines(docs: DataFrame, found: DataFrame, by_chars: bool = False) -> Dat
     """Lines (h1, h2) of ``found``, the occurrences in ``docs``, of which another, within one edit of a word or of a character, has first stood earlier."""
     halves = "char_halves" if by_chars else "halves"
     units = lambda line: F.split(line, "" if by_chars else " ")
-    keyed = found.where(f"{halves} is not null").select("doc_id", "row_hash", "line_no", "h1", "h2", F.posexplode(halves).alias("side", "half"))
+    keyed = found.where(f"{halves} is not null").select("doc_id", "row_hash", "line_no", "h1", "h2", F.posexplode(halves).alias("side", "half")).where("half is not null")
     shared = cut(keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
     first = cut(keyed.join(sized(shared, BROADCAST_ROWS), "half", "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place"), *_sides(by_chars)))
     sides = first.columns[3:]
@@ -88,10 +93,11 @@ def near_lines(docs: DataFrame, found: DataFrame, by_chars: bool = False) -> Dat
     texts = cut(texts.dropDuplicates(["h1", "h2"]))
 
     # sums over the words' hashes: before the i-th in their places, after it one place to the left
+    direct, summed = (_direct(texts), texts.where(F.char_length("line") >= DIRECT_CHARS)) if by_chars else (None, texts)
     one = Window.partitionBy("h1", "h2")
     run = one.orderBy("i")
     term = lambda at, salt: F.pmod(F.xxhash64("word", at, F.lit(salt)), F.lit(_BITS))
-    sums = texts.repartition("h1", "h2").select("h1", "h2", *sides, *([F.char_length("line").alias("n")] if by_chars else []), "id", "no", F.posexplode(units("line")).alias("i", "word"))
+    sums = summed.repartition("h1", "h2").select("h1", "h2", *sides, *([F.char_length("line").alias("n")] if by_chars else []), "id", "no", F.posexplode(units("line")).alias("i", "word"))
     for salt in (1, 2):
         stay, move = term(F.col("i"), salt), term(F.col("i") - 1, salt)
         sums = sums.withColumn(f"v{salt}", F.sum(stay).over(run) - stay + F.sum(move).over(one) - F.sum(move).over(run)).withColumn(f"s{salt}", F.sum(stay).over(one))
@@ -99,9 +105,10 @@ def near_lines(docs: DataFrame, found: DataFrame, by_chars: bool = False) -> Dat
     itself = F.struct(F.xxhash64("s1", "s2").alias("key"), F.lit(-1).alias("i"))
     if by_chars:
         # behind a shared first half, or before a shared last half
-        half = F.floor((F.col("n") - 1) / 2)
-        sums = sums.where((F.col("i") == 0) | (F.col("first") & (F.col("i") >= half)) | (F.col("last") & (F.col("i") < F.col("n") - half)))
+        sums = sums.where((F.col("i") == 0) | _unshared())
     rows = sums.select("h1", "id", "no", F.explode(F.when(F.col("i") == 0, F.array(variant, itself)).otherwise(F.array(variant))).alias("k")).select("h1", "id", "no", "k.key", "k.i")
+    if by_chars:
+        rows = rows.unionAll(direct)
 
     group = Window.partitionBy("key")
     linked = (
@@ -124,6 +131,21 @@ def _sides(by_chars: bool) -> list[Column]:
     return [F.max(F.col("side") % 2 == k).alias(name) for k, name in enumerate(("first", "last"))] if by_chars else []
 
 
+def _unshared() -> Column:
+    """Whether the i-th of n characters stands behind a shared first half, or before a shared last half."""
+    half = F.floor((F.col("n") - 1) / 2)
+    return (F.col("first") & (F.col("i") >= half)) | (F.col("last") & (F.col("i") < F.col("n") - half))
+
+
+def _direct(texts: DataFrame) -> DataFrame:
+    """h1, id, no, key and i of the variants by characters, and of the lines themselves (i = -1), of lines that are not too long for it: hashes of their texts."""
+    n = F.char_length("line")
+    short = texts.where(n <= DIRECT_CHARS + 1).repartition("h1", "h2").select("h1", "id", "no", "first", "last", "line", n.alias("n"), F.explode(F.sequence(F.lit(-1), n - 1)).alias("i"))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("i")), F.substring("line", F.col("i") + 2, F.col("n")))
+    key = F.xxhash64(F.when(F.col("i") < 0, F.col("line")).otherwise(rest))
+    return short.where((F.col("i") < 0) | _unshared()).select("h1", "id", "no", key.alias("key"), "i")
+
+
 def within_one(a: str, b: str) -> Column:
     """Whether two arrays of words are at most one insertion, deletion or replacement apart: what they share from both ends leaves at most one word of each."""
     x, y = F.col(a), F.col(b)

@@ -663,6 +663,23 @@ def test_pieces_merged_at_once_are_those_merged_one_by_one(monkeypatch):
     assert not one_by_one
 
 
+def test_lines_about_the_length_of_direct_variants(spark):
+    rng = random.Random(8)
+    texts, repeated = [], []
+    for n in (20, 21, 30, *range(lines.DIRECT_CHARS - 2, lines.DIRECT_CHARS + 4)):
+        for at in (0, n // 2 - 1, n // 2, n - 1):
+            line = "".join(rng.choice("abcdefghé") for _ in range(n))
+            for other in (line[:at] + line[at + 1 :], line[:at] + "z" + line[at + 1 :], line[:at] + "z" + line[at:]):
+                if len(other) >= lines.MIN_CHARS:
+                    texts += [line, other] if not texts or texts[-2] != line else [other]
+                    repeated.append(len(texts) - 1)
+    found = {r["doc_id"] for r in lines.dedup_lines(docs_of(spark, texts), min_chars=lines.MIN_CHARS).where("n_removed > 0").collect()}
+    assert set(repeated) - found == set() and {i for i, t in enumerate(texts) if t in texts[:i]} | set(repeated) >= found
+    frame = spark.createDataFrame([(1, 2, 3, 4, True, True, "some line of text")], "h1 long, h2 long, id long, no int, first boolean, last boolean, line string")
+    rows = lines._direct(frame)
+    assert rows.count() == 18 and "Window" not in rows._jdf.queryExecution().toString()
+
+
 def test_heap_is_given_back_between_jobs(spark, monkeypatch):
     from hindsight.llm import common
 
