@@ -21,6 +21,8 @@ _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "6m"
 #: Share of the driver's largest heap past which garbage is collected between jobs.
 HEAP_SHARE = 0.45
+#: Percent of the driver's heap that may be free after a collection, at least and at most; Java's own limits, 40 and 70, keep three times what is in use.
+HEAP_FREE = {"MinHeapFreeRatio": 10, "MaxHeapFreeRatio": 25}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,14 +63,40 @@ def release(df: DataFrame) -> None:
 
 def _collect(spark: SparkSession) -> None:
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    with contextlib.suppress(Exception):  # not every JVM has these options, which may be set while it runs
+        options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        for name, percent in HEAP_FREE.items():
+            options.setVMOption(name, str(percent))
+    jvm.System.gc()
+    with contextlib.suppress(Exception):
+        _trim_native(spark)
+
+
+def _trim_native(spark: SparkSession) -> str:
+    """``jcmd System.trim_native_heap`` on the driver: what its compiler and collector have freed goes back to the system."""
+    new, jvm = spark.sparkContext._gateway.new_array, spark.sparkContext._jvm
+    java = jvm.java.lang
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    of = java.Class.forName
+    # by reflection, as the server's own class is not open to callers
+    types = array(java.Class, of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;"))
+    invoke = of("javax.management.MBeanServerConnection").getMethod("invoke", types)
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    return invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, commands, "systemTrimNativeHeap", array(java.Object), array(java.String)))
 
 
 def _give_back_heap(spark: SparkSession) -> None:
     """Have the driver's garbage collected once its heap has grown past ``HEAP_SHARE`` of what it may take.
 
     A query of many small jobs leaves so much behind, mostly plans, that the heap grows to its limit
-    though a fraction of it is in use; collecting it gives the rest back to the system.
+    though a fraction of it is in use; collecting it within ``HEAP_FREE`` gives the rest back to the system.
     """
     runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():

@@ -689,3 +689,13 @@ def test_heap_is_given_back_between_jobs(spark, monkeypatch):
         monkeypatch.setattr(common, "HEAP_SHARE", share)
         assert common.cut(spark.range(3)).count() == common.stored(spark.range(3), "rows").count() == 3
         assert len(collected) == times
+
+
+def test_collected_heap_keeps_little_that_is_free(spark):
+    from hindsight.llm import common
+
+    jvm = spark.sparkContext._jvm
+    common._collect(spark)
+    options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    assert {name: int(options.getVMOption(name).getValue()) for name in common.HEAP_FREE} == common.HEAP_FREE
+    assert "rim native heap" in common._trim_native(spark)
