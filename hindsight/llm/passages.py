@@ -27,10 +27,11 @@ and shingles by 64.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -47,10 +48,10 @@ _REACH = (1 << 14) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def hash_values(tokens: np.ndarray, hashes: int) -> np.ndarray:
-    """One row of values for each hash function."""
-    x = tokens[None, :] ^ (np.arange(1, hashes + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[:, None]
-    return shingles.mix(x)
+def hash_values(tokens: np.ndarray, hashes: int) -> Iterator[np.ndarray]:
+    """The tokens' values under each hash function in turn."""
+    for seed in np.arange(1, hashes + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15):
+        yield shingles.mix(tokens ^ seed)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -109,15 +110,19 @@ def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return c - (x >> 18 & _REACH), c, c + (x >> 4 & _REACH), x & 15
 
 
-def surroundings(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Four times 16 bits for each node: the shingles to its left and to its right as far as each of ``AROUND``; 0 where the text ends before."""
+def surroundings(tokens: np.ndarray, nodes: np.ndarray, begins: np.ndarray | int = 0, ends: np.ndarray | int | None = None) -> np.ndarray:
+    """Four times 16 bits for each node: the shingles to its left and to its right as far as each of ``AROUND``; 0 where the text ends before.
+
+    ``begins`` and ``ends`` bound each node's text where ``tokens`` are those of several.
+    """
+    ends = len(tokens) if ends is None else ends
     out = np.zeros(len(nodes), dtype=np.uint64)
     shift = 0
     for sign in (-1, 1):
         x = np.zeros(len(nodes), dtype=np.uint64)
         for n in range(1, max(AROUND) + 1):
             at = nodes + sign * n * SHINGLE
-            inside = (at >= 0) & (at < len(tokens))
+            inside = (at >= begins) & (at < ends)
             x = shingles.mix(x ^ tokens[np.where(inside, at, 0)])
             if n in AROUND:
                 out |= np.where(inside, x >> _U(48) | _U(1), _U(0)) << _U(shift)
@@ -125,53 +130,49 @@ def surroundings(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _window_keys(docs: DataFrame, hashes: int, width: int) -> DataFrame:
-    """Values of the nodes of ``_window_rows`` alone, without their windows."""
+def windows_of(texts: list[np.ndarray], hashes: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of many texts' tokens, each at least ``width`` long, the compact windows: the text's number, its node's value, the packed window and the surroundings.
 
-    def make():
-        def step(batch):
-            for part, texts in shingles.runs(batch) if batch is not None else ():
-                keys, rids, counts = [np.zeros(0, np.uint64)], [], []
-                for rid, tokens in zip(part.column(0).to_pylist(), shingles.sequences(texts, SHINGLE), strict=True):
-                    if len(tokens) < width:
-                        continue
-                    values = hash_values(tokens, hashes)
-                    keys.append(values[nodes_of(values, width)])
-                    rids.append(rid)
-                    counts.append(len(keys[-1]))
-                yield {"key": pa.array(np.concatenate(keys).view(np.int64)), "rid": pa.array(np.repeat(np.array(rids, dtype=np.int64), counts))}
-
-        return step
-
-    return arrow_map(docs, make, "key long, rid long")
+    The texts stand end to end. A run of ``width`` that reaches into the next one counts for nothing.
+    """
+    tokens = np.concatenate(texts)
+    sizes = np.array([len(x) for x in texts])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    across = (ends[:-1, None] - np.arange(1, width)).ravel()
+    numbers, keys, packed, places = [], [], [], []
+    for f, values in enumerate(hash_values(tokens, hashes)):
+        least = _sliding(values, width, np.minimum)
+        least[across] = 0
+        pad = np.zeros(width - 1, dtype=values.dtype)
+        at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == values)
+        own = values[at]
+        cuts = np.searchsorted(at, begins).tolist() + [len(at)]
+        number = np.repeat(np.arange(len(texts)), np.diff(cuts))
+        nodes = at - begins[number]
+        left, right, listed, held = [], [], nodes.tolist(), own.tolist()
+        for a, b, m in zip(cuts[:-1], cuts[1:], sizes.tolist(), strict=True):
+            x, y = _bounds(listed[a:b], held[a:b], m)
+            left += x
+            right += y
+        left, right = np.array(left), np.array(right)
+        wide = right - left + 1 >= width
+        numbers.append(number[wide])
+        keys.append(own[wide])
+        packed.append(_pack(left, nodes, right, f)[wide])
+        places.append(at[wide])
+    number, place = np.concatenate(numbers), np.concatenate(places)
+    return number, np.concatenate(keys).view(np.int64), np.concatenate(packed), surroundings(tokens, place, begins[number], ends[number])
 
 
 def _window_rows(docs: DataFrame, hashes: int, width: int) -> DataFrame:
     def make():
         def step(batch):
             for part, texts in shingles.runs(batch) if batch is not None else ():
-                keys, packed, around, rids, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
-                for rid, tokens in zip(part.column(0).to_pylist(), shingles.sequences(texts, SHINGLE), strict=True):
-                    if len(tokens) < width:
-                        continue
-                    values = hash_values(tokens, hashes)
-                    row, nodes = np.nonzero(nodes_of(values, width))
-                    own = values[row, nodes]
-                    left, right = [], []
-                    ends = np.searchsorted(row, np.arange(hashes + 1)).tolist()
-                    at, held = nodes.tolist(), own.tolist()
-                    for a, b in zip(ends[:-1], ends[1:], strict=True):
-                        x, y = _bounds(at[a:b], held[a:b], len(tokens))
-                        left += x
-                        right += y
-                    left, right = np.array(left), np.array(right)
-                    wide = right - left + 1 >= width
-                    keys.append(own[wide])
-                    packed.append(_pack(left, nodes, right, row)[wide])
-                    around.append(surroundings(tokens, nodes[wide]))
-                    rids.append(rid)
-                    counts.append(int(wide.sum()))
-                yield {"key": pa.array(np.concatenate(keys).view(np.int64)), "rid": pa.array(np.repeat(np.array(rids, dtype=np.int64), counts)), "window": pa.array(np.concatenate(packed)), "around": pa.array(np.concatenate(around))}
+                long = [(rid, tokens) for rid, tokens in zip(part.column(0).to_pylist(), shingles.sequences(texts, SHINGLE), strict=True) if len(tokens) >= width]
+                if long:
+                    number, keys, packed, around = windows_of([tokens for _, tokens in long], hashes, width)
+                    yield {"key": pa.array(keys), "rid": pa.array(np.array([rid for rid, _ in long], dtype=np.int64)[number]), "window": pa.array(packed), "around": pa.array(around)}
 
         return step
 
@@ -406,10 +407,10 @@ def _identified(docs: DataFrame) -> DataFrame:
     return marked.select(F.when(F.col("marked"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), empty_as(F.col("text")))).otherwise(F.col("doc_id")).alias("rid"), "doc_id", "text")
 
 
-def _shared(windows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``windows`` whose key stands in two documents by ``keys`` (key, rid), with the first of them (a)."""
-    keys = keys.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a <> z").select("key", "a")
-    return windows.join(keys, "key")
+def _shared(windows: DataFrame) -> DataFrame:
+    """Rows of ``windows`` whose key stands in two documents, with the first of them (a)."""
+    one = Window.partitionBy("key")
+    return windows.withColumn("a", F.min("rid").over(one)).withColumn("z", F.max("rid").over(one)).where("a <> z").drop("z")
 
 
 def _first_windows(live: DataFrame) -> DataFrame:
@@ -432,10 +433,10 @@ def _open(live: DataFrame, found: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, min_words: int, percent: int, hashes: int, agree: int) -> DataFrame:
     """Verified passages: source a, document b, and where they start (and stop in b), in words. ``docs`` has rid and text."""
     width = min_words - SHINGLE + 1
-    live = _first_windows(stored(_shared(_window_rows(docs, hashes, width), _window_keys(docs, hashes, width)), "windows"))
+    live = _first_windows(stored(_shared(_window_rows(docs, hashes, width)), "windows"))
     found = cut(_verified(docs, live, min_words, percent, agree))
     left = stored(_open(live, found), "open")
-    further = _first_windows(_shared(left, left))
+    further = _first_windows(_shared(left))
     return found.unionAll(_verified(docs, further, min_words, percent, agree))
 
 

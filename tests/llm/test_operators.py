@@ -699,3 +699,27 @@ def test_collected_heap_keeps_little_that_is_free(spark):
     options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
     assert {name: int(options.getVMOption(name).getValue()) for name in common.HEAP_FREE} == common.HEAP_FREE
     assert "rim native heap" in common._trim_native(spark)
+
+
+def test_windows_of_texts_end_to_end_are_those_of_each_text():
+    rng = np.random.default_rng(5)
+    width = 7
+    texts = [rng.integers(0, most, n).astype(np.uint64) for n, most in ((7, 5), (60, 9), (8, 2), (200, 1 << 40), (30, 1), (7, 1 << 40))]
+    number, keys, packed, around = passages.windows_of(texts, 3, width)
+    left, node, right, f = passages._unpack(packed)
+    found = sorted(zip(number.tolist(), f.tolist(), left.tolist(), node.tolist(), right.tolist(), keys.tolist(), around.tolist(), strict=True))
+    want = []
+    for i, tokens in enumerate(texts):
+        for h, values in enumerate(passages.hash_values(tokens, 3)):
+            for a, c, b in passages.compact_windows(values, width):
+                want.append((i, h, a, c, b, int(values[c : c + 1].view(np.int64)[0]), int(passages.surroundings(tokens, np.array([c]))[0])))
+    assert found == sorted(want)
+
+
+def test_windows_are_made_from_one_reading_of_the_texts(spark, monkeypatch):
+    rows = [(1, " ".join(f"w{i}" for i in range(80))), (2, " ".join(f"w{i}" for i in range(10, 90))), (3, " ".join(f"v{i}" for i in range(90)))]
+    schemas, plain = [], passages.arrow_map
+    monkeypatch.setattr(passages, "arrow_map", lambda df, make, schema: schemas.append(schema) or plain(df, make, schema))
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"], [tuple(s) for s in r["spans"]]) for r in found] == [(2, 1, [(0, 70)])]
+    assert sum(schema.startswith("key long, rid long") for schema in schemas) == 1
