@@ -187,6 +187,21 @@ def gamma_log_lower(a: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(log_gamma_lower(a.to_numpy(float), x.to_numpy(float)))
 
 
+@F.pandas_udf(T.DoubleType())
+def least_span(kappa: pd.Series, theta: pd.Series, spans: pd.Series) -> pd.Series:
+    """The least ln P(a, x) over a row's spans, of which the i-th from 0 has a = (i + 2) kappa and x = span / theta; null without spans."""
+    out = np.full(len(spans), np.nan)
+    rows = np.flatnonzero(spans.notna().to_numpy())
+    if len(rows):
+        lists = [np.asarray(x, float) for x in spans.to_numpy()[rows]]
+        sizes = np.array([len(x) for x in lists])
+        starts = np.cumsum(sizes) - sizes
+        i = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        k, t = np.repeat(kappa.to_numpy(float)[rows], sizes), np.repeat(theta.to_numpy(float)[rows], sizes)
+        out[rows] = np.fmin.reduceat(log_gamma_lower((i + 2) * k, np.concatenate(lists) / t), starts)
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.DoubleType())
 def beta_binomial_log_tail(k: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(log_beta_binomial_tail(k.to_numpy(), m.to_numpy(), a.to_numpy(float), b.to_numpy(float)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sidak
-from ..plans.conform import HALF_LIFE, before, weight
+from ..plans.conform import HALF_LIFE, before, by_entity, weight
 from .tails import value_tails
 
 ALPHA = 1.0
@@ -60,7 +60,7 @@ def population(e: DataFrame, field: str, alpha: float = ALPHA, least: float = 10
 
 def first_seen(e: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """off, ent, at and novel: whether any field's value is the entity's first of it among settled events."""
-    rows = e.where("known")
+    rows = by_entity(e.where("known").select("off", "ent", "at", *fields))
     novel = F.lit(False)
     for f in fields:
         earlier = F.coalesce(F.count("*").over(before("ent", f)), F.lit(0))
@@ -69,19 +69,17 @@ def first_seen(e: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def novelty_rate(e: DataFrame, fields: tuple[str, ...] = ("event_type", "k"), least: float = 50.0, half_life: int = HALF_LIFE, window: int = 3_600_000_000) -> DataFrame:
-    """off, ent, k, m, h_novel, h_total: novel events among those of the hour so far, and the decayed history of finished hours.
+    """off, ent, at, k, m, h_novel, h_total and status: novel events among those of the hour so far, and the decayed history of finished hours.
 
     A finished hour joins the history undecayed at the first event of a later hour; from then on it decays.
     """
     rows = first_seen(e, fields).withColumn("hour", F.floor(F.col("at") / window))
     here = Window.partitionBy("ent", "hour").orderBy("at", "off").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("m", F.count("*").over(here)).withColumn("k", F.sum(F.col("novel").cast("long")).over(here))
-    hours = rows.groupBy("ent", "hour").agg(F.min(F.struct("at", "off")).alias("first"), F.count("*").alias("t"), F.sum(F.col("novel").cast("long")).alias("h"))
-    nxt = F.lead("first.at").over(Window.partitionBy("ent").orderBy("hour"))
-    hours = hours.withColumn("joined", nxt)
-    past = Window.partitionBy("ent").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    w = weight(F.col("joined"), half_life)
-    hours = hours.select("ent", "hour", F.coalesce(F.sum(F.col("t") * w).over(past), F.lit(0.0)).alias("wt"), F.coalesce(F.sum(F.col("h") * w).over(past), F.lit(0.0)).alias("wh"))
-    own = weight(F.col("at"), half_life)
-    out = rows.join(hours, ["ent", "hour"]).select("off", "ent", "k", "m", (F.col("wh") / own).alias("h_novel"), (F.col("wt") / own).alias("h_total"))
+    # at an hour's first event, the event before it has the counts of the hour that has finished
+    order, own = Window.partitionBy("ent").orderBy("at", "off"), weight(F.col("at"), half_life)
+    for name, count in (("_t", "m"), ("_h", "k")):
+        rows = rows.withColumn(name, F.when(F.col("m") == 1, F.lag(count).over(order)))
+    past = lambda x: F.coalesce(F.sum(F.col(x) * own).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) / own
+    out = rows.select("off", "ent", "at", "k", "m", past("_h").alias("h_novel"), past("_t").alias("h_total"))
     return out.withColumn("status", F.when(F.col("h_total") >= least, "evaluated").otherwise("abstained_structural"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import phase_of_day, weekly_hour
-from ..functions.special import bessel_ratios
-from ..plans.conform import DAY, HALF_LIFE, HOUR, before, weight
+from ..functions.scalar import phase_of_day, sidak_log, weekly_hour
+from ..functions.special import bessel_ratios, least_span
+from ..plans.conform import DAY, HALF_LIFE, HOUR, before, by_entity, weight
 
 
 def harmonics(bandwidth_hours: float = 1.5) -> tuple[float, list[float]]:
@@ -20,6 +22,7 @@ def harmonics(bandwidth_hours: float = 1.5) -> tuple[float, list[float]]:
 
 def circular_moments(e: DataFrame, n: int, half_life: int = HALF_LIFE) -> DataFrame:
     """``e`` with w0 and, for h = 1..n, c{h} and s{h}: decayed sums of cos and sin of h times the phase, over the entity's earlier events."""
+    e = by_entity(e)
     own, frame, phase = weight(F.col("at"), half_life), before("ent"), phase_of_day(F.col("at"))
     total = lambda x: F.coalesce(F.sum(x * own).over(frame), F.lit(0.0)) / own
     return e.select("*", phase.alias("phase"), total(F.lit(1.0)).alias("w0"), F.count("*").over(frame).alias("earlier"), *(total(F.cos(h * phase)).alias(f"c{h}") for h in range(1, n + 1)), *(total(F.sin(h * phase)).alias(f"s{h}") for h in range(1, n + 1)))
@@ -31,40 +34,44 @@ def density_at(n: int, coefficients: list[float]):
     return F.when(F.col("w0") > 0, F.greatest(F.lit(0.0), (1 + 2 * s / F.col("w0")) / (2 * math.pi))).otherwise(1 / (2 * math.pi))
 
 
-def tail_mass(moments: DataFrame, n: int, coefficients: list[float], grid: int = 512) -> DataFrame:
-    """off, ent, at, earlier and u: the share of the density's mass that lies no higher than at the event, at least 1 / (2 grid)."""
-    import numpy as np
-    import pandas as pd
-
+def tail_mass(n: int, coefficients: list[float], grid: int = 512) -> Column:
+    """The share of the density's mass that lies no higher than at the event, at least 1 / (2 grid), from the columns of ``circular_moments``."""
     phases = 2 * math.pi * np.arange(grid) / grid
     cos = np.stack([np.cos(h * phases) for h in range(1, n + 1)])
     sin = np.stack([np.sin(h * phases) for h in range(1, n + 1)])
     k = np.array(coefficients)
-
-    def run(frames):
-        for f in frames:
-            c, s, w = f[[f"c{h}" for h in range(1, n + 1)]].to_numpy(), f[[f"s{h}" for h in range(1, n + 1)]].to_numpy(), f["w0"].to_numpy()
+    cs, ss = [f"c{h}" for h in range(1, n + 1)], [f"s{h}" for h in range(1, n + 1)]
+
+    @F.pandas_udf("double")
+    def share(f: pd.DataFrame) -> pd.Series:
+        out = np.empty(len(f))
+        for at in range(0, len(f), 512):  # the grid of so many events stays in the processor's cache
+            part = f.iloc[at : at + 512]
+            c, s, w = part[cs].to_numpy(), part[ss].to_numpy(), part["w0"].to_numpy()
             safe = np.where(w > 0, w, 1.0)[:, None]
             dens = np.maximum(0.0, (1 + 2 * ((k * c / safe) @ cos + (k * s / safe) @ sin)) / (2 * math.pi))
-            ph = f["phase"].to_numpy()[:, None] * np.arange(1, n + 1)
+            ph = part["phase"].to_numpy()[:, None] * np.arange(1, n + 1)
             own = np.maximum(0.0, (1 + 2 * (k * (c / safe * np.cos(ph) + s / safe * np.sin(ph))).sum(axis=1)) / (2 * math.pi))
             u = np.maximum((dens * (dens <= own[:, None])).sum(axis=1) / dens.sum(axis=1), 1 / (2 * grid))
-            yield pd.DataFrame({"off": f["off"], "ent": f["ent"], "at": f["at"], "earlier": f["earlier"], "u": np.where(w > 0, u, 1.0)})
+            out[at : at + 512] = np.where(w > 0, u, 1.0)
+        return pd.Series(out)
 
-    return moments.mapInPandas(run, "off long, ent long, at long, earlier long, u double")
+    return share(F.struct("w0", "phase", *cs, *ss))
 
 
-def timing(e: DataFrame, least: int = 20, half_life: int = HALF_LIFE) -> DataFrame:
-    """off, u, z and status: the log tail mass against the decayed mean and variance of the entity's own earlier ones."""
+def timing(e: DataFrame, least: int = 20, half_life: int = HALF_LIFE, also: tuple[str, ...] = ()) -> DataFrame:
+    """off, u, z and status: the log tail mass against the decayed mean and variance of the entity's own earlier ones; and the columns ``also`` of ``e``."""
     _, coefficients = harmonics()
     n = len(coefficients)
-    u = tail_mass(circular_moments(e, n, half_life), n, coefficients)
+    also = tuple(x for x in also if x not in ("off", "ent", "at"))
+    # a column of a function in Python keeps the rows where they are, for the second frame
+    u = circular_moments(e.select("off", "ent", "at", *also), n, half_life).select("off", "ent", "at", "earlier", *also, tail_mass(n, coefficients).alias("u"))
     frame, own, x = before("ent"), weight(F.col("at"), half_life), F.log("u")
     w, wx, wxx = (F.sum(v * own).over(frame) for v in (F.lit(1.0), x, x * x))
     m = wx / w
     var = F.greatest(F.lit(0.0), wxx / w - m * m)
     ok = (F.col("earlier") >= least) & (var > 1e-12)
-    return u.select("off", "u", F.when(ok, (x - m) / F.sqrt(var)).alias("z"), F.when(ok, "evaluated").otherwise("abstained_structural").alias("status"))
+    return u.select("off", "ent", "at", *also, "u", F.when(ok, (x - m) / F.sqrt(var)).alias("z"), F.when(ok, "evaluated").otherwise("abstained_structural").alias("status"))
 
 
 def daily(e: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def hour_shares(e: DataFrame, half_life: int = HALF_LIFE) -> DataFrame:
     _, coefficients = harmonics()
     own, phase = weight(F.col("at"), half_life), phase_of_day(F.col("at"))
     waves = [(f"{c}{h}", f, h) for h in range(1, len(coefficients) + 1) for c, f in (("c", F.cos), ("s", F.sin))]
-    sums = e.groupBy("ent", F.floor(F.col("at") / HOUR).alias("hour")).agg(F.count("*").alias("k"), F.sum(own).alias("w"), *(F.sum(own * f(h * phase)).alias(n) for n, f, h in waves))
+    sums = e.select("ent", "at").repartition("ent").groupBy("ent", F.floor(F.col("at") / HOUR).alias("hour")).agg(F.count("*").alias("k"), F.sum(own).alias("w"), *(F.sum(own * f(h * phase)).alias(n) for n, f, h in waves))
     frame = Window.partitionBy("ent").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     past = sums.select("ent", "hour", "k", *(F.sum(n).over(frame).alias(n) for n in ("w", *(n for n, _, _ in waves))))
     share = F.lit(1 / 24)
@@ -109,9 +116,13 @@ def volume(e: DataFrame, least_hours: int = 5, half_life: int = HALF_LIFE) -> Da
     decayed mean of (k - e)^2 / e over the entity's earlier hours of which anything was expected, at least 1, and
     null before ``least_hours`` of them: the arm abstains there, as the width of its null is not known.
     """
-    rate = gamma_posterior(e)
     hours = hour_shares(e, half_life).withColumn("d", F.floor(F.col("hour") / 24))
-    x = hours.join(rate.select("ent", "d", (F.col("a") / F.col("b")).alias("rate")), ["ent", "d"]).withColumn("expected", F.col("rate") * F.col("share"))
+    # ``gamma_posterior`` from the hours: days without events add nothing to a, and b is a geometric series over all days since the first
+    days = Window.partitionBy("ent").orderBy("d")
+    fade = 2.0 ** (-1 / 7.0)
+    a = 1 + F.coalesce(F.sum(F.col("k") * F.pow(F.lit(2.0), (F.col("d") - 19723) / F.lit(7.0))).over(days.rangeBetween(Window.unboundedPreceding, -1)) / F.pow(F.lit(2.0), (F.col("d") - 1 - 19723) / F.lit(7.0)), F.lit(0.0))
+    b = 1 + (1 - F.pow(F.lit(fade), F.col("d") - F.min("d").over(days.rowsBetween(Window.unboundedPreceding, 0)))) / (1 - fade)
+    x = hours.withColumn("rate", a / b).withColumn("expected", F.col("rate") * F.col("share"))
     frame = Window.partitionBy("ent").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     w = F.when(F.col("expected") > 0, F.pow(F.lit(2.0), (F.col("hour") * F.lit(float(HOUR)) - F.lit(1_704_067_200_000_000)) / F.lit(float(half_life))))
     res = F.pow(F.col("k") - F.col("expected"), F.lit(2)) / F.nullif(F.col("expected"), F.lit(0.0))
@@ -141,7 +152,11 @@ def drift(e: DataFrame, shift: float = 1.3, least: int = 8) -> DataFrame:
 
 def burst(e: DataFrame, least: int = 50, longest: int = 32, half_life: int = HALF_LIFE) -> DataFrame:
     """ent, at, gaps, kappa, theta and spans (seconds, of the newest 3..32 instants, this one included) of each distinct instant."""
-    x = e.select("ent", "at").distinct()
+    return burst_of(e.select("ent", "at").repartition("ent").distinct(), least, longest, half_life)
+
+
+def burst_of(x: DataFrame, least: int = 50, longest: int = 32, half_life: int = HALF_LIFE, also: tuple[str, ...] = ()) -> DataFrame:
+    """``burst`` of instants that stand once each, and the columns ``also`` of theirs."""
     w = Window.partitionBy("ent").orderBy("at")
     x = x.withColumn("gap", (F.col("at") - F.lag("at").over(w)) / 1e6)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -151,17 +166,13 @@ def burst(e: DataFrame, least: int = 50, longest: int = 32, half_life: int = HAL
     kappa = F.when(F.col("var") > 0, F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("m") * F.col("m") / F.col("var")))).otherwise(1.0)
     last = F.collect_list("at").over(w.rowsBetween(-(longest - 1), 0))
     spans = F.when(F.size(last) >= 3, F.transform(F.sequence(F.lit(3), F.greatest(F.size(last), F.lit(3))), lambda k: F.greatest(F.lit(1.0), (F.col("at") - F.element_at(last, -k)) / 1e6)))
-    return x.withColumn("kappa", kappa).select("ent", "at", "gaps", "kappa", (F.col("m") / F.col("kappa")).alias("theta"), spans.alias("spans"), F.when(F.col("gaps") >= least, "evaluated").otherwise("abstained_structural").alias("status"))
+    return x.withColumn("kappa", kappa).select("ent", "at", *also, "gaps", "kappa", (F.col("m") / F.col("kappa")).alias("theta"), spans.alias("spans"), F.when(F.col("gaps") >= least, "evaluated").otherwise("abstained_structural").alias("status"))
 
 
 def burst_log_p(scored: DataFrame) -> DataFrame:
-    """``burst`` with log_p: the least log probability that a gamma of (k - 1) kappa gaps is as short, corrected for the number of spans."""
-    from ..functions.scalar import sidak_log
-    from ..functions.special import gamma_log_lower
-
-    x = scored.where("status = 'evaluated' and spans is not null").select("ent", "at", "kappa", "theta", F.size("spans").alias("tests"), F.posexplode("spans").alias("i", "span"))
-    x = x.withColumn("lp", gamma_log_lower((F.col("i") + 2) * F.col("kappa"), F.col("span") / F.col("theta")))
-    return x.groupBy("ent", "at").agg(F.max("tests").alias("tests"), F.min("lp").alias("lp")).withColumn("log_p", sidak_log(F.col("lp"), F.col("tests")))
+    """ent, at, tests and log_p of the evaluated rows of ``burst``: the least log probability that a gamma of (k - 1) kappa gaps is as short, corrected for the number of spans."""
+    x = scored.where("status = 'evaluated' and spans is not null")
+    return x.select("ent", "at", F.size("spans").alias("tests"), least_span(F.col("kappa"), F.col("theta"), F.col("spans")).alias("lp")).withColumn("log_p", sidak_log(F.col("lp"), F.col("tests")))
 
 
 def cooccurrence(e: DataFrame, a: str = "event_type", b: str = "k", half_life: int = HALF_LIFE) -> DataFrame:

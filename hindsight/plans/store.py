@@ -41,17 +41,32 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), order: tuple[str,
 def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """What ``make`` gives, written once in a session for a source whose files have not changed since, and read from there by all who ask.
 
-    A file counts as changed by its path, length and time. Where the folder is gone, it is made again.
+    A file counts as changed by its path, length and time. Where the folder is gone, it is made again. Each task writes what it has of
+    each of the folders ``by``, in ``order``: a few folders would be as many tasks, if the rows were dealt by them.
     """
-    key = (spark.sparkContext.applicationId, name, _state(spark, source))
-    if key not in _KEPT or not _exists(spark, _KEPT[key]):
+    key = _key(spark, name, source)
+    if not _is_kept(spark, key):
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df = make()
-        (df.repartition(*by).sortWithinPartitions(*by, *order) if by else df).write.partitionBy(*by).parquet(path)
+        (df.sortWithinPartitions(*by, *order) if by else df).write.partitionBy(*by).parquet(path)
         _KEPT[key] = path
     return spark.read.parquet(_KEPT[key])
 
 
+def found(spark: SparkSession, name: str, source: str) -> DataFrame | None:
+    """What ``kept`` has written in this session for the source as it is now; None if nothing."""
+    key = _key(spark, name, source)
+    return spark.read.parquet(_KEPT[key]) if _is_kept(spark, key) else None
+
+
+def _key(spark: SparkSession, name: str, source: str) -> tuple:
+    return (spark.sparkContext.applicationId, name, _state(spark, source))
+
+
+def _is_kept(spark: SparkSession, key: tuple) -> bool:
+    return key in _KEPT and _exists(spark, _KEPT[key])
+
+
 def _fs(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
