@@ -28,12 +28,12 @@ def every_verdict_census(spark, sf_dir):
 @register("full_composite")
 def full_composite(spark, sf_dir):
     """Fisher's combination over all arms that speak, and the arm that leads."""
-    return A.composite(A.every_verdict(spark, sf_dir)).select("off", "ent", "j", r6("x2", "x2"), r6("ln_p", "ln_p"), "leader")
+    return A.combined(spark, sf_dir).select("off", "ent", "j", r6("x2", "x2"), r6("ln_p", "ln_p"), "leader")
 
 
 @register("full_top_alerts")
 def full_top_alerts(spark, sf_dir):
     """The twenty events of each day after burn-in with the least combined ln p over all arms; ties to earlier events."""
-    c = A.composite(A.every_verdict(spark, sf_dir)).where(F.col("at") >= C.BURN_IN).withColumn("d", C.day()).withColumn("key", F.round("ln_p", 9))
+    c = A.combined(spark, sf_dir).where(F.col("at") >= C.BURN_IN).withColumn("d", C.day()).withColumn("key", F.round("ln_p", 9))
     top = K.top_per_day(c, 20, ["key", "at", "ent", "off"], by=("d",))
     return top.join(C.events(spark, sf_dir).select("off", red().cast("int").alias("red")), "off").select("d", "off", "ent", "j", r6("ln_p", "ln_p"), "leader", "red")
