@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, release, stored
+from .common import arrow_map, list_array, release, slices, stored
 
 DEGREE = 32
 ROUNDS = 8
-SETTLED = 0.02
+SETTLED = 0.08
 BEAM = 160
-EXPAND = 40
-BLOCK = 128
+EXPAND = 80
+BLOCK = 2048
+PASSES = 8
+STRIP = 256
 TOLD = 5
 
 
@@ -130,105 +132,177 @@ def _in_groups(columns: tuple[str, ...], work):
     return make
 
 
-def _start(nodes: DataFrame, dims: int, seed: int, degree: int, count: int) -> DataFrame:
-    """(u, w, sim) of each node's best in blocks of neighbouring signatures."""
-    bits = min(40, max(1, (count // BLOCK).bit_length()))
-    planes = np.random.default_rng(seed).standard_normal((dims, bits)).astype(np.float32)
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after another, and the length of each list."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    change = np.ones(len(x), bool)
+    change[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in (x, *more)])
+    return np.flatnonzero(change)
+
+
+def _start(nodes: DataFrame, dims: int, seed: int, degree: int, count: int, block: int = BLOCK, passes: int = PASSES) -> DataFrame:
+    """(u, w, sim, old), lists of each node's best in a block of neighbouring signatures, for each of ``passes`` sets of hyperplanes."""
+    blocks = max(1, count // block)
+    passes = passes if blocks > 1 else 1
+    bits = min(40, max(1, blocks.bit_length()))
+    planes = np.random.default_rng(seed).standard_normal((passes, dims, bits)).astype(np.float32)
 
     def sign():
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
             x, level = _from_q(batch.column(1))
-            side = x @ planes[:-1] + level[:, None] * planes[-1] > 0
-            yield {"node": batch.column(0), "q": batch.column(1), "at": side.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))}
+            for i in range(passes):
+                side = x @ planes[i, :-1] + level[:, None] * planes[i, -1] > 0
+                yield {"pass": np.full(len(x), i), "node": batch.column(0), "q": batch.column(1), "at": side.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))}
 
         return step
 
-    signed = arrow_map(nodes.select("node", "q"), sign, "node long, q binary, at long")
+    signed = arrow_map(nodes.select("node", "q"), sign, "pass long, node long, q binary, at long")
     # the global place of a node: its place in its part of the order, which is written, and the sizes of the parts before
     place = F.monotonically_increasing_id()
-    ordered = stored(signed.repartitionByRange("at", "node").sortWithinPartitions("at", "node").select("node", "q", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("i")), "order")
+    ordered = stored(signed.repartitionByRange("pass", "at", "node").sortWithinPartitions("pass", "at", "node").select("pass", "node", "q", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("i")), "order")
     parts = ordered.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()  # as many rows as tasks
     before, sizes = 0, []
     for r in parts:
         sizes.append((r["part"], before))
         before += r["rows"]
     starts = nodes.sparkSession.createDataFrame(sizes, "part long, before long")
-    blocks = max(1, count // BLOCK)
-    ranked = ordered.join(F.broadcast(starts), "part").select(F.floor((F.col("before") + F.col("i")) * blocks / count).alias("block"), "node", "q")
+    # each pass has all nodes: a block lies within one
+    inner = F.floor((F.col("before") + F.col("i") - F.col("pass") * count) * blocks / count)
+    ranked = ordered.join(F.broadcast(starts), "part").select((F.col("pass") * blocks + inner).alias("block"), "node", "q")
 
     def best(batch, cuts):
         ids, (x, level) = batch.column(1).to_numpy(), _from_q(batch.column(2))
+        half = np.einsum("ij,ij->i", x, x) / 2
         a = 0
         for b in cuts:
-            own, s = ids[a:b], _closeness(x[a:b], level[a:b])
-            a = b
-            np.fill_diagonal(s, -np.inf)
-            k = min(degree, len(own) - 1)
+            k = min(degree, b - a - 1)
             if k < 1:
+                a = b
                 continue
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            yield {"u": np.repeat(own, k), "w": own[near].ravel(), "sim": np.take_along_axis(s, near, axis=1).ravel()}
+            for c in range(a, b, STRIP):
+                d = min(b, c + STRIP)
+                s = x[c:d] @ x[a:b].T - half[c:d, None] - half[None, a:b]
+                if level[a:b].any():
+                    s -= (level[c:d, None] - level[None, a:b]) ** 2 / 2
+                s[np.arange(d - c), np.arange(c - a, d - a)] = -np.inf
+                near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                yield _packed(ids[c:d], np.full(d - c, k), ids[a:b][near].ravel(), np.take_along_axis(s, near, axis=1).ravel()) | {"old": np.zeros(d - c, bool)}
+            a = b
+
+    return arrow_map(ranked.repartition("block").sortWithinPartitions("block", "node"), _in_groups(("block",), best), TOLD_SCHEMA)
 
-    return arrow_map(ranked.repartition("block").sortWithinPartitions("block", "node"), _in_groups(("block",), best), "u long, w long, sim float")
 
+TOLD_SCHEMA = "u long, w array<long>, sim array<float>, old boolean"
+LINKS_SCHEMA = "u long, w array<long>, sim array<float>, old array<boolean>"
 
-def _keep(pairs: DataFrame, degree: int) -> DataFrame:
-    """The best ``degree`` links of each node; ``old`` is true for a link it had before."""
-    best = pairs.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "w"))
-    return best.withColumn("r", rank).where(F.col("r") <= degree).drop("r")
+
+def _packed(u: np.ndarray, lengths: np.ndarray, w: np.ndarray, sim: np.ndarray) -> dict:
+    return {"u": u, "w": list_array(w, lengths, pa.int64()), "sim": list_array(sim.astype(np.float32), lengths, pa.float32())}
+
+
+def _keep(told: DataFrame, degree: int) -> DataFrame:
+    """The best ``degree`` links of each node among all lists for it, the best first; ``old`` is true for a link it had before."""
+
+    def best(batch, cuts):
+        (w, sizes), (sim, _) = _lists(batch, "w"), _lists(batch, "sim")
+        u, old = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), sizes) for c in ("u", "old"))
+        order = np.lexsort((-sim, w, u))
+        u, w, sim, old = u[order], w[order], sim[order], old[order]
+        first = _starts(u, w)
+        if not len(first):
+            return
+        u, w, sim, old = u[first], w[first], sim[first], np.logical_or.reduceat(old, first)
+        order = np.lexsort((w, -sim, u))
+        u, w, sim, old = u[order], w[order], sim[order], old[order]
+        first = _starts(u)
+        sizes = np.diff(np.append(first, len(u)))
+        kept = np.arange(len(u)) - np.repeat(first, sizes) < degree
+        sizes = np.minimum(sizes, degree)
+        yield _packed(u[first], sizes, w[kept], sim[kept]) | {"old": list_array(old[kept], sizes, pa.bool_())}
+
+    return arrow_map(told.repartition("u").sortWithinPartitions("u"), _in_groups(("u",), best), LINKS_SCHEMA)
 
 
 def _reverse(links: DataFrame, degree: int) -> DataFrame:
-    """Of the nodes that link to w, ``degree`` by the order of a hash."""
+    """Of the nodes that link to u, ``degree`` by the order of a hash: (u, w, old), one row for each."""
+    each = links.select("u", F.explode(F.arrays_zip("w", "old")).alias("x")).select("u", "x.w", "x.old")
     rank = F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("u", "w"), "u"))
-    return links.select("u", "w", "old").withColumn("r", rank).where(F.col("r") <= degree).select(F.col("w").alias("u"), F.col("u").alias("w"), "old")
+    return each.withColumn("r", rank).where(F.col("r") <= degree).select(F.col("w").alias("u"), F.col("u").alias("w"), "old")
+
+
+def _messages(nodes: DataFrame, links: DataFrame, degree: int) -> DataFrame:
+    """(at, u, q, least, old): each node's vector for those that it knows or that know it, once for each; old if it is so on both sides."""
+    back = _reverse(links, degree).groupBy("u").agg(F.collect_list("w").alias("bw"), F.collect_list("old").alias("bold"))
+    sent = nodes.select(F.col("node").alias("u"), "q").join(links, "u", "left").join(back, "u", "left").select("u", "q", "w", "sim", "old", "bw", "bold")
+
+    def make():
+        def step(whole):
+            for batch in slices(whole, 1000) if whole is not None else ():
+                (w, n), (sim, _), (old, _), (bw, bn), (bold, _) = (_lists(batch, c) for c in ("w", "sim", "old", "bw", "bold"))
+                row, to, flag = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), bn)]), np.concatenate([w, bw]), np.concatenate([old, bold]).astype(bool)
+                if not len(to):
+                    continue
+                order = np.lexsort((to, row))
+                row, to, flag = row[order], to[order], flag[order]
+                first = _starts(row, to)
+                flag, row, to = np.logical_and.reduceat(flag, first), row[first], to[first]
+                least = np.full(len(n), -np.inf, np.float32)
+                full = n >= degree
+                least[full] = sim[(np.cumsum(n) - 1)[full]]  # lists have the best first
+                yield {"at": to, "u": batch.column(0).take(pa.array(row)), "q": batch.column(1).take(pa.array(row)), "least": least[row], "old": flag}
+
+        return step
+
+    return arrow_map(sent, make, "at long, u long, q binary, least float, old boolean")
 
 
 def _meet(messages: DataFrame, told: int) -> DataFrame:
-    """At each node, the pairs of what it received that improve one of the two: (u, w, sim)."""
+    """At each node, the pairs of what it received that improve one of the two, as lists (u, w, sim, old)."""
 
     def compare(batch, cuts):
         ids, old, least = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("u", "old", "least"))
         x, level = _from_q(batch.column(batch.schema.get_field_index("q")))
-        us, ws, sims = [], [], []
+        us, ns, ws, sims = [], [], [], []
         a = 0
         for b in cuts:
             if b - a > 1:
                 s = _closeness(x[a:b], level[a:b])
                 own = ids[a:b]
-                s[own[:, None] == own[None, :]] = -np.inf
-                fresh = ~old[a:b]
-                s[~(fresh[:, None] | fresh[None, :])] = -np.inf
+                np.fill_diagonal(s, -np.inf)
+                stale = old[a:b]
+                s[stale[:, None] & stale[None, :]] = -np.inf
                 k = min(told, b - a - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 got = np.take_along_axis(s, best, axis=1)
-                row, column = np.nonzero(got > least[a:b][:, None])
-                us.append(own[row])
+                better = got > least[a:b][:, None]
+                row, column = np.nonzero(better)
+                count = better.sum(axis=1)
+                us.append(own[count > 0])
+                ns.append(count[count > 0])
                 ws.append(own[best[row, column]])
                 sims.append(got[row, column])
             a = b
         if us:
-            yield {"u": np.concatenate(us), "w": np.concatenate(ws), "sim": np.concatenate(sims).astype(np.float32)}
-
-    return arrow_map(messages, _in_groups(("at",), compare), "u long, w long, sim float")
-
-
-def build(nodes: DataFrame, dims: int, count: int, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED, told: int = TOLD, seed: int = 11) -> DataFrame:
-    """The graph's links (u, w, sim, old): at most ``degree`` of each node."""
-    first = [_start(nodes, dims, seed + i, degree, count).withColumn("old", F.lit(False)) for i in range(2)]
-    links = cut(_keep(first[0].unionAll(first[1]), degree))
-    for _ in range(rounds):
-        both = links.select("u", "w", "old").unionAll(_reverse(links, degree)).groupBy("u").agg(F.collect_list(F.struct("w", "old")).alias("to"))
-        floor = links.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        sent = nodes.select(F.col("node").alias("u"), "q").join(both, "u").join(floor, "u", "left")
-        messages = sent.select(F.explode("to").alias("t"), "u", "q", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-        messages = messages.select(F.col("t.w").alias("at"), "u", "q", "least", F.col("t.old").alias("old")).repartition("at").sortWithinPartitions("at", "u")
-        better = _meet(messages, told)
-        now = cut(_keep(links.withColumn("old", F.lit(True)).unionAll(better.withColumn("old", F.lit(False))), degree))
-        changed, total = now.agg(F.sum((~F.col("old")).cast("long")), F.count("*")).first()
+            u = np.concatenate(us)
+            yield _packed(u, np.concatenate(ns), np.concatenate(ws), np.concatenate(sims)) | {"old": np.zeros(len(u), bool)}
+
+    return arrow_map(messages.repartition("at").sortWithinPartitions("at", "u"), _in_groups(("at",), compare), TOLD_SCHEMA)
+
+
+def build(nodes: DataFrame, dims: int, count: int, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED, told: int = TOLD, seed: int = 11, block: int = BLOCK) -> DataFrame:
+    """The graph's links (u, w, sim, old), lists of at most ``degree`` for each node."""
+    links = stored(_keep(_start(nodes, dims, seed, degree, count, block), degree), "links")
+    for _ in range(rounds if count > 2 * block else min(rounds, 1)):
+        better = _meet(_messages(nodes, links, degree), told)
+        now = stored(_keep(links.select("u", "w", "sim", F.lit(True).alias("old")).unionAll(better), degree), "links")
+        changed, total = now.agg(F.sum(F.size(F.filter("old", lambda x: ~x))), F.sum(F.size("old"))).first()
         links = now
         release(nodes)
         if not total or changed <= settled * total:
@@ -236,43 +310,122 @@ def build(nodes: DataFrame, dims: int, count: int, degree: int = DEGREE, rounds:
     return links
 
 
-def _similar(rows: DataFrame) -> DataFrame:
-    """(query, node, sim) from the vectors ``a`` (float32, a query's) and ``q``."""
+def _unseen(met: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """(query, node) of the ids that each query has met and not seen, from lists (query, ids)."""
+
+    def work(batch, cuts):
+        (ids, sizes), now = _lists(batch, "ids"), batch.column(1).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        queries, nodes = [], []
+        a = 0
+        for b in cuts:
+            m = b - int(now[a:b].sum())  # what was seen comes first
+            new = np.setdiff1d(ids[ends[m] : ends[b]], ids[ends[a] : ends[m]])
+            nodes.append(new)
+            queries.append(np.repeat(batch.column(0)[a].as_py(), len(new)))
+            a = b
+        yield {"query": np.concatenate(queries).astype(np.int64), "node": np.concatenate(nodes).astype(np.int64)}
+
+    rows = reduce(DataFrame.unionAll, (x.select("query", F.lit(False).alias("now"), F.col("fresh").alias("ids")) for x in seen), met.select("query", F.lit(True).alias("now"), F.col("to").alias("ids")))
+    return arrow_map(rows.repartition("query").sortWithinPartitions("query", "now"), _in_groups(("query",), work), "query long, node long")
+
+
+_STATE = "query long, state binary, front array<long>, fresh array<long>"
+
+
+def _pack(a: np.ndarray, ids: np.ndarray, sims: np.ndarray, done: np.ndarray) -> bytes:
+    return np.array([len(a), len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + a.astype("<f4").tobytes() + sims.astype("<f4").tobytes() + done.astype(np.int8).tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    d, n = np.frombuffer(raw, "<i8", 2).tolist()
+    at = 16 + 8 * n
+    return np.frombuffer(raw, "<f4", d, at), np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<f4", n, at + 4 * d), np.frombuffer(raw, np.int8, n, at + 4 * d + 4 * n).astype(bool)
+
+
+def _first(queries: DataFrame) -> DataFrame:
+    """Each query's state before the search: its own node, which is kept as the nearest and is to be expanded."""
 
     def make():
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            a = np.ascontiguousarray(_raw(batch.column(2))).view("<f4")
-            yield {"query": batch.column(0), "node": batch.column(1), "sim": np.einsum("ij,ij->i", a, _from_q(batch.column(3))[0])}
+            ids = batch.column(0).to_numpy()
+            own = list_array(ids, [1] * len(ids), pa.int64())
+            yield {"query": ids, "state": [_pack(a, ids[i : i + 1], np.full(1, np.inf), np.ones(1)) for i, a in enumerate(_raw(batch.column(1)).copy().view("<f4"))], "front": own, "fresh": own}
 
         return step
 
-    return arrow_map(rows.select("query", "node", "a", "q"), make, "query long, node long, sim float")
+    return arrow_map(queries.select("query", "a"), make, _STATE)
+
+
+def _advance(state: DataFrame, new: DataFrame, beam: int, expand: int) -> DataFrame:
+    """Each query's state with the nodes ``new`` (query, node, q) among its nearest, and the next ones to expand, which count as done.
+
+    A state is one value, as every further column is one more for each of the new nodes.
+    """
+    rows = new.select("query", "node", "q").unionAll(state.select("query", F.lit(None).cast("long"), "state"))
+
+    def work(batch, cuts):
+        node_of, q = batch.column(1), batch.column(2)
+        fresh = node_of.is_valid().to_numpy(zero_copy_only=False)
+        upto, nodes = np.concatenate([[0], np.cumsum(fresh)]), node_of.drop_null().to_numpy()
+        x = _from_q(q.filter(pa.array(fresh)))[0] if fresh.any() else np.zeros((0, 0), np.float32)
+        states = q.filter(pa.array(~fresh)).to_pylist()
+        out = {"query": [], "state": [], "front": [], "fresh": []}
+        a = 0
+        for g, b in enumerate(cuts):  # each group has one state, and groups are in order
+            i, j = upto[a], upto[b]
+            asked, ids, sims, done = _unpack(states[g])
+            own = nodes[i:j]
+            node, was = np.concatenate([ids, own]), np.concatenate([done, np.zeros(j - i, bool)])
+            sim = np.concatenate([sims, x[i:j] @ asked]) if j > i else sims
+            order = np.lexsort((node, -sim))[:beam]
+            node, sim, was = node[order], sim[order], was[order]
+            front = np.flatnonzero(~was)[:expand]
+            was[front] = True
+            for c, v in (("query", batch.column(0)[a].as_py()), ("state", _pack(asked, node, sim, was)), ("front", node[front]), ("fresh", own)):
+                out[c].append(v)
+            a = b
+        if out["query"]:
+            yield out | {c: list_array(np.concatenate(out[c]), [len(v) for v in out[c]], pa.int64()) for c in ("front", "fresh")}
+
+    return arrow_map(rows.repartition("query").sortWithinPartitions("query"), _in_groups(("query",), work), _STATE)
+
+
+def _pool(state: DataFrame) -> DataFrame:
+    """(query, node, sim) of what the states hold."""
+
+    def make():
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            held = [_unpack(x) for x in batch.column(1).to_pylist()]
+            yield {"query": np.repeat(batch.column(0).to_numpy(), [len(h[1]) for h in held]), "node": np.concatenate([h[1] for h in held]), "sim": np.concatenate([h[2] for h in held])}
+
+        return step
+
+    return arrow_map(state.select("query", "state"), make, "query long, node long, sim float")
 
 
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND, most_steps: int = 40) -> DataFrame:
-    """(query, node, sim) of the ``beam`` nearest nodes that the greedy search has seen. ``queries``: query, which is a node, and a, its vector."""
-    around = links.select("u", "w").unionAll(_reverse(links, 2 * degree).select("u", "w")).distinct()
-    around = stored(around.groupBy(F.col("u").alias("node")).agg(F.collect_list("w").alias("to")), "links")
+    """(query, node, sim) of the ``beam`` nearest nodes that the greedy search has seen. ``queries``: query, which is a node, and a, its vector.
+
+    A query is one row with lists, and so is a node with its links: rows of their own are only nodes that a query has not seen.
+    """
+    around = links.select("u", F.explode("w").alias("w")).unionAll(_reverse(links, 2 * degree).select("u", "w")).distinct()
+    around = stored(around.groupBy(F.col("u").alias("node")).agg(F.collect_list("w").alias("to")), "around")
     vectors = nodes.select("node", "q")
-    pool = _similar(queries.join(vectors.select(F.col("node").alias("query"), "q"), "query").select("query", F.col("query").alias("node"), "a", "q"))
-    pool = cut(pool.withColumn("done", F.lit(False)))
-    seen = [pool.select("query", "node")]  # by step; only the nearest of them stay in the pool
-    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    seen = [state := stored(_first(queries), "state")]  # by step; only the nearest of them stay in a state
     for _ in range(most_steps):
-        front = cut(pool.where(~F.col("done")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= expand).select("query", "node"))
-        if not front.limit(1).count():
+        front = state.select("query", F.explode("front").alias("node"))
+        if front.isEmpty():
             break
-        met = front.join(around, "node").select("query", F.explode("to").alias("node")).distinct()
-        met = met.join(reduce(DataFrame.unionAll, seen), ["query", "node"], "left_anti")
-        new = cut(_similar(met.join(queries, "query").join(vectors, "node")))
-        seen.append(new.select("query", "node"))
-        marked = pool.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        pool = marked.unionAll(new.withColumn("done", F.lit(False)))
-        pool = cut(pool.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
+        met = _unseen(front.join(around, "node"), seen)
+        state = stored(_advance(state, met.join(vectors, "node"), beam, expand), "state")
+        seen.append(state)
         release(nodes)
-    return pool.select("query", "node", "sim")
+    return _pool(state)
 
 
 def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM) -> DataFrame:

@@ -723,3 +723,29 @@ def test_windows_are_made_from_one_reading_of_the_texts(spark, monkeypatch):
     found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["source_id"], [tuple(s) for s in r["spans"]]) for r in found] == [(2, 1, [(0, 70)])]
     assert sum(schema.startswith("key long, rid long") for schema in schemas) == 1
+
+
+def test_blocks_give_most_links_before_any_round(spark):
+    """Rounds send millions of vectors: 5,000 vectors without structure need none to know most of their nearest."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).standard_normal((5000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.usable(e, "vec_id", "embedding").withColumn("node", F.xxhash64("v"))
+    nodes = neighbours.stored(neighbours._nodes(found.select("v")), "nodes")
+    id_of = {r["node"]: r["vec_id"] for r in found.collect()}
+    links = {id_of[r["u"]]: [id_of[w] for w in r["w"]] for r in neighbours.build(nodes, 25, 5000, rounds=0).collect()}
+    assert links.keys() == set(range(5000)) and all(len(set(w)) == 32 and u not in w for u, w in links.items())
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -2
+    near = np.argsort(-s, axis=1)[:, :32]
+    assert np.mean([len(set(links[u]) & set(near[u].tolist())) / 32 for u in range(200)]) > 0.9
+
+
+def test_a_state_is_one_value_and_comes_back_whole():
+    rng = np.random.default_rng(0)
+    for d, n in ((3, 1), (64, 160), (5, 7)):
+        a, ids, sims, done = rng.standard_normal(d).astype(np.float32), rng.integers(-(2**62), 2**62, n), rng.standard_normal(n).astype(np.float32), rng.random(n) < 0.5
+        for want, got in zip((a, ids, sims, done), neighbours._unpack(neighbours._pack(a, ids, sims, done)), strict=True):
+            assert np.array_equal(want, got)
